@@ -1,7 +1,8 @@
 """Linear text classifier over hashed word and character n-grams.
 
-A document's features are the shares of its words and of its 4-byte character n-grams in hashed buckets, so a
-score is two means of weights over the whole text: scoring needs no vocabulary and no sort. The model is fitted
+A document's features are hashed buckets of its words, counted over the root of their number so that a telling
+word shows in a long text too, and of its 4-byte character n-grams, as shares. A score is two scaled sums of
+weights over the whole text: scoring needs no vocabulary and no sort. The model is fitted
 in one task on a bounded sample of labelled rows and has a fixed size, whatever the corpus.
 """
 
@@ -18,7 +19,7 @@ from curalume.llm.bytes_np import EXACT, U64, row_groups, texts, words
 
 BUCKETS = 1 << 16
 _N = 4
-_SCALE = 50.0
+_WORD, _CHAR = 5.0, 50.0
 
 
 class Model(NamedTuple):
@@ -51,14 +52,14 @@ def _spans(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(data: np.ndarray, offsets: np.ndarray):
-    """Per row: the distinct buckets and their shares."""
+    """Per row: the distinct buckets and their values."""
     w = words(data, offsets, values=EXACT)
     word, char = _word_buckets(w.hash), _char_buckets(data)
     lo, hi = _spans(offsets)
     for i in range(len(offsets) - 1):
         i1, c1 = np.unique(word[w.first[i] : w.first[i + 1]], return_counts=True)
         i2, c2 = np.unique(char[lo[i] : hi[i]], return_counts=True)
-        yield np.concatenate((i1, i2)), np.concatenate((c1 / max(1, c1.sum()), c2 / max(1, c2.sum())))
+        yield np.concatenate((i1, i2)), np.concatenate((_WORD * c1 / max(1, c1.sum()) ** 0.5, _CHAR * c2 / max(1, c2.sum())))
 
 
 def raw_scores(data: np.ndarray, offsets: np.ndarray, model: Model, word_hash: np.ndarray | None = None, first: np.ndarray | None = None) -> np.ndarray:
@@ -69,11 +70,11 @@ def raw_scores(data: np.ndarray, offsets: np.ndarray, model: Model, word_hash: n
     lo, hi = _spans(offsets)
     hi = np.minimum(hi, max(0, len(data) - _N + 1))
     lo = np.minimum(lo, hi)
-    for buckets, a, b in ((_word_buckets(word_hash), first[:-1], first[1:]), (_char_buckets(data), lo, hi)):
+    for buckets, a, b, scale in ((_word_buckets(word_hash), first[:-1], first[1:], _WORD / np.sqrt(np.maximum(1, np.diff(first)))), (_char_buckets(data), lo, hi, _CHAR / np.maximum(1, hi - lo))):
         for c in range(model.weights.shape[1]):
             total = np.zeros(len(buckets) + 1)
             np.cumsum(model.weights[buckets, c], out=total[1:])
-            out[:, c] += _SCALE * (total[b] - total[a]) / np.maximum(1, b - a)
+            out[:, c] += scale * (total[b] - total[a])
     return out
 
 
@@ -100,7 +101,7 @@ def _fit(y: np.ndarray, index: np.ndarray, value: np.ndarray, at: np.ndarray, k:
             rows = order[s : s + 64]
             pick = np.concatenate([np.arange(at[r], at[r + 1]) for r in rows])
             own = np.repeat(np.arange(len(rows)), at[rows + 1] - at[rows])
-            i, v = index[pick], _SCALE * value[pick]
+            i, v = index[pick], value[pick]
             z = np.stack([np.bincount(own, v * w[i, j], len(rows)) for j in range(k - 1)], 1) + b
             e = (_softmax(z) - np.eye(k)[y[rows]])[:, 1:] / len(rows)
             u, inv = np.unique(i, return_inverse=True)
@@ -126,7 +127,7 @@ def _calibrated(z: np.ndarray, y: np.ndarray, k: int) -> tuple[float, np.ndarray
     return slope, shift
 
 
-def trained(labelled: DataFrame, max_rows: int = 8000, epochs: int = 6, rate: float = 0.05, l2: float = 1e-4) -> Model | None:
+def trained(labelled: DataFrame, max_rows: int = 8000, epochs: int = 8, rate: float = 0.1, l2: float = 1e-4) -> Model | None:
     """Fit on labelled(doc_id, text, label string); None without two labels.
 
     At most `max_rows` rows, those of least id hash, are used: the bound of the fit. Features are made where the
@@ -165,7 +166,7 @@ def trained(labelled: DataFrame, max_rows: int = 8000, epochs: int = 6, rate: fl
         pick = np.concatenate([np.arange(at[r], at[r + 1]) for r in rows]) if len(rows) else np.empty(0, np.int64)
         w, b = _fit(y[rows], i[pick], v[pick], np.r_[0, np.cumsum(at[rows + 1] - at[rows])], len(names), epochs, rate, l2)
         own = np.repeat(np.arange(len(y)), np.diff(at))
-        z = np.stack([np.bincount(own, _SCALE * v * w[i, j], len(y)) for j in range(len(names) - 1)], 1) + b
+        z = np.stack([np.bincount(own, v * w[i, j], len(y)) for j in range(len(names) - 1)], 1) + b
         slope, shift = _calibrated(z[held_out], y[held_out], len(names))
         yield pa.RecordBatch.from_arrays([pa.array([names]), pa.array([w.astype(np.float32).tobytes()]), pa.array([b.tolist()]), pa.array([float(slope)]), pa.array([shift.tolist()])], names=["classes", "w", "b", "slope", "shift"])
 

@@ -114,40 +114,59 @@ def _lists(token: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def index_lists(entries: DataFrame, percent: int) -> DataFrame:
-    """The index lists with two sets or more: (token, doc_id, n, pos, leader).
+    """The index lists with two sets or more: (token, doc_id, n, pos, alone).
 
-    The leader of an entry is the smallest set of its list whose size it can match, the first by id among equals.
+    alone counts the set's prefix shingles that are in no other set's prefix.
     """
 
     def run(batches):
         c = _columns(batches, ["token", "doc_id", "n", "pos"])
-        order = np.lexsort((c["doc_id"], c["n"], c["token"]))
+        order = np.argsort(c["token"], kind="stable")
         c = {k: v[order] for k, v in c.items()}
-        keep, leader = np.zeros(len(order), bool), np.zeros(len(order), np.int64)
+        keep = np.zeros(len(order), bool)
         for a, b in _lists(c["token"]):
             keep[a:b] = True
-            n = c["n"][a:b]
-            i = 0
-            while i < b - a:
-                j = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
-                leader[a + i : a + j] = c["doc_id"][a + i]
-                i = max(j, i + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(c[k][keep]) for k in ("token", "doc_id", "n", "pos")] + [pa.array(leader[keep])], names=["token", "doc_id", "n", "pos", "leader"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[k][keep]) for k in ("token", "doc_id", "n", "pos")], names=["token", "doc_id", "n", "pos"])
 
-    return entries.repartition("token").mapInArrow(run, "token long, doc_id long, n long, pos long, leader long")
+    lists = saved(entries.repartition("token").mapInArrow(run, "token long, doc_id long, n long, pos long"), "lists")
+    met = lists.groupBy("doc_id").agg(F.count("*").alias("met"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    return lists.join(met, "doc_id").select("token", "doc_id", "n", "pos", (prefix - F.col("met")).cast("long").alias("alone"))
+
+
+def leading_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb): each entry of a list with one leader of it, the set with the smallest share of shingles of its own that fits in size."""
+
+    def run(batches):
+        c = _columns(batches, ["token", "doc_id", "n", "alone"])
+        order = np.lexsort((c["doc_id"], c["alone"] / c["n"], c["token"])) if len(c["n"]) else np.empty(0, np.int64)
+        c = {k: v[order] for k, v in c.items()}
+        to = np.full(len(order), -1, np.int64)
+        for a, b in _lists(c["token"]):
+            left = np.arange(a, b)
+            while len(left) > 1:
+                n, m = c["n"][left], c["n"][left[0]]
+                fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+                to[left[fits][1:]] = left[0]
+                left = left[~fits]
+        i = np.flatnonzero(to >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (c["doc_id"][i], c["doc_id"][to[i]], c["n"][i], c["n"][to[i]])], names=["a", "b", "na", "nb"])
+
+    return lists.repartition("token").mapInArrow(run, "a long, b long, na long, nb long").where("a <> b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
 
 
 def skipping_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b, na, nb, c): pairs across components that no bound excludes, and in how many lists they met.
 
-    `lists` has token, doc_id, n, pos, component, pivot, far (the distance to the pivot, null if unknown).
+    `lists` has token, doc_id, n, pos, alone, component, pivot (-1: none), far (the distance to the pivot).
     Blocks of a list by position are skipped when, for all their entries, sizes differ too much, positions
-    leave too few common shingles, or distances to one pivot differ by more than a link allows.
+    leave too few common shingles, too many shingles are without a partner, or distances to one pivot differ
+    by more than a link allows.
     """
     away = 1 - percent / 100 + 1e-9
 
     def run(batches):
-        c = _columns(batches, ["token", "doc_id", "n", "pos", "component", "pivot", "far"])
+        c = _columns(batches, ["token", "doc_id", "n", "pos", "alone", "component", "pivot", "far"])
         order = np.lexsort((c["doc_id"], c["pos"], c["token"]))
         c = {k: v[order] for k, v in c.items()}
         out: list[tuple[np.ndarray, ...]] = []
@@ -160,8 +179,8 @@ def skipping_pairs(lists: DataFrame, percent: int) -> DataFrame:
             if (c["component"][a:b] == c["component"][a]).all():
                 continue
             blocks = [(i, min(i + _BLOCK, b)) for i in range(a, b, _BLOCK)]
-            low = {k: [c[k][i:j].min() for i, j in blocks] for k in ("n", "pos", "component", "pivot", "far")}
-            high = {k: [c[k][i:j].max() for i, j in blocks] for k in ("n", "pos", "component", "pivot", "far")}
+            low = {k: [c[k][i:j].min() for i, j in blocks] for k in ("n", "pos", "alone", "component", "pivot", "far")}
+            high = {k: [c[k][i:j].max() for i, j in blocks] for k in ("n", "pos", "alone", "component", "pivot", "far")}
             for x, (i, j) in enumerate(blocks):
                 for y in range(x, len(blocks)):
                     if 100 * high["n"][x] < percent * low["n"][y] or 100 * high["n"][y] < percent * low["n"][x]:
@@ -169,6 +188,8 @@ def skipping_pairs(lists: DataFrame, percent: int) -> DataFrame:
                     most = min(high["pos"][x], high["pos"][y]) + min(high["n"][x] - low["pos"][x], high["n"][y] - low["pos"][y])
                     if (100 + percent) * most < percent * (low["n"][x] + low["n"][y]):
                         break  # later blocks have later positions
+                    if (100 + percent) * (low["alone"][x] + low["alone"][y]) > (100 - percent) * (high["n"][x] + high["n"][y]):
+                        continue
                     if low["component"][x] == high["component"][x] == low["component"][y] == high["component"][y]:
                         continue
                     one = low["pivot"][x] == high["pivot"][x] == low["pivot"][y] == high["pivot"][y] >= 0
@@ -179,6 +200,7 @@ def skipping_pairs(lists: DataFrame, percent: int) -> DataFrame:
                     n1, n2, p1, p2 = c["n"][l, None], c["n"][None, r], c["pos"][l, None], c["pos"][None, r]
                     ok = (c["component"][l, None] != c["component"][None, r]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
                     ok &= (100 + percent) * (np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2)) >= percent * (n1 + n2)
+                    ok &= (100 + percent) * (c["alone"][l, None] + c["alone"][None, r]) <= (100 - percent) * (n1 + n2)
                     ok &= ~((c["pivot"][l, None] == c["pivot"][None, r]) & (c["pivot"][l, None] >= 0) & (np.abs(c["far"][l, None] - c["far"][None, r]) > away))
                     if x == y:
                         ok = np.triu(ok, 1)
@@ -236,7 +258,7 @@ def verified(pairs: DataFrame, wanted: DataFrame, n: int, group_rows: int = 2000
     return both.mapInArrow(run, "a long, b long, common long, na long, nb long")
 
 
-def ngram_jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, share: float = 0.001, limit: int = 100_000) -> DataFrame:
+def ngram_jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, share: float = 0.0002, limit: int = 200_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs`.
 
     Two texts link when 100 * |intersection| >= percent * |union| of their sets of distinct n-word shingles
@@ -256,19 +278,17 @@ def ngram_jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text
     wanted = saved(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(lists.select("doc_id").distinct(), "doc_id", "left_semi"), "wanted")
 
     linked = (100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb"))
-    sizes = firsts.select(F.col("doc_id").alias("leader"), F.col("n_shingles").alias("n_leader"))
-    met = lists.where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.max("n").alias("n"), F.count("*").alias("c")).join(sizes, "leader").where(_enough("n", "n_leader", "c", percent))
-    best = met.groupBy(F.col("doc_id").alias("a")).agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("b"))
-    first_round = saved(verified(best, wanted, n), "links")
+    best = leading_pairs(lists, percent).where(_enough("na", "nb", "c", percent)).groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
+    first_round = saved(verified(saved(best, "pairs"), wanted, n), "links")
     exact = first_round.where(linked).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     parts = star_contraction(exact)
 
     pivots = first_round.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("pivot"), F.min(1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"), F.count("*").alias("k")).where("k = 1").drop("k")
     pivots = pivots.unionByName(pivots.select(F.col("pivot").alias("doc_id"), "pivot", F.lit(0.0).alias("far")).distinct().join(pivots, "doc_id", "left_anti"))
-    labelled = lists.drop("leader").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(pivots, "doc_id", "left")
-    labelled = labelled.select("token", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("component"), F.coalesce("pivot", F.lit(-1)).alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far"))
+    labelled = lists.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(pivots, "doc_id", "left")
+    labelled = labelled.select("token", "doc_id", "n", "pos", "alone", F.coalesce("component", "doc_id").alias("component"), F.coalesce("pivot", F.lit(-1)).alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far"))
     rest = skipping_pairs(labelled, percent).where(_enough("na", "nb", "c", percent))
-    second_round = saved(verified(rest.select("a", "b").distinct(), wanted, n).where(linked), "links")
+    second_round = saved(verified(saved(rest.select("a", "b"), "pairs"), wanted, n).where(linked), "links")
     edges = exact.unionByName(second_round.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     same_id = known.join(copies, ["n_shingles", "sig1", "sig2"]).where("doc_id <> first").select(F.col("first").alias("src"), F.col("doc_id").alias("dst"))
     classes = star_contraction(edges.unionByName(same_id)).withColumnRenamed("node", "doc_id")

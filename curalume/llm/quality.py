@@ -65,6 +65,20 @@ def counts(data: np.ndarray, offsets: np.ndarray, window: int = 8):
     return w, (n_words, chars, symbols, dup_lines, repeat)
 
 
+def _judged(column: pa.Array, m: Model | None, min_words: int, repeat_percent: int, min_probability: float, good: str):
+    data, offsets = texts(column)
+    columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+    for lo, hi in row_groups(offsets):
+        part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        w, found = counts(part, at)
+        p = probabilities(raw_scores(part, at, m, w.hash, w.first), m)[:, m.classes.index(good)] if m and good in m.classes else np.full(hi - lo, np.nan)
+        for held, x in zip(columns, (*found, p), strict=True):
+            held.append(x)
+    *found, p = (np.concatenate(c) if c else np.empty(0) for c in columns)
+    failed = (found[0] < min_words) | (100 * found[4] > repeat_percent * found[0])
+    return found, failed, p, ~failed & (np.isnan(p) | (p >= min_probability))
+
+
 def quality_rules(docs: DataFrame, model: Model | None, id: str = "doc_id", text: str = "text", min_words: int = 20, repeat_percent: int = 30, min_probability: float = 0.5, good: str = "1") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability, kept), a row per row of `docs`.
 
@@ -78,26 +92,26 @@ def quality_rules(docs: DataFrame, model: Model | None, id: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
         for batch in batches:
-            data, offsets = texts(batch.column(1))
-            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for lo, hi in row_groups(offsets):
-                part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                w, found = counts(part, at)
-                p = probabilities(raw_scores(part, at, m, w.hash, w.first), m)[:, m.classes.index(good)] if m and good in m.classes else np.full(hi - lo, np.nan)
-                for column, x in zip(columns, (*found, p), strict=True):
-                    column.append(x)
-            *found, p = (np.concatenate(c) if c else np.empty(0) for c in columns)
-            n_words, repeat = found[0], found[4]
-            failed = (n_words < min_words) | (100 * repeat > repeat_percent * n_words)
-            kept = ~failed & (np.isnan(p) | (p >= min_probability))
+            found, failed, p, kept = _judged(batch.column(1), shared.value, min_words, repeat_percent, min_probability, good)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in found), pa.array(failed), pa.array(p, pa.float64(), mask=np.isnan(p)), pa.array(kept)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def good_documents(docs: DataFrame, model: Model | None, text: str = "text", min_words: int = 20, repeat_percent: int = 30, min_probability: float = 0.5, good: str = "1") -> DataFrame:
+    """The rows of `docs` that quality_rules keeps, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_judged(batch.column(at), shared.value, min_words, repeat_percent, min_probability, good)[3]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_model(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Model | None:
     """The classifier of labels(doc_id, quality 0/1) over docs(doc_id, text); rows without text or label are left out."""
     known = labels.where("quality is not null").select("doc_id", F.col("quality").cast("string").alias("label"))

@@ -6,11 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curalume.llm.decontaminate import decontaminated
+from curalume.llm.mixing import mix_to_targets
 from curalume.llm.ngram_join import ngram_jaccard_classes
 from curalume.llm.quality import quality_model, quality_rules
 from curalume.llm.suffix_dedup import suffix_dedup
 from curalume.plans.tables import table
 
+#: Target shares of the tokens of the domains in the labels table.
+TARGETS = {"clean": 0.9, "low": 0.05, "toxic": 0.05}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """labels as (doc_id, domain): toxic text, else low or clean by quality."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean").alias("domain"))
+
+
+def op1_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated, mix = mix_to_targets(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), TARGETS)
+    return rated.select("doc_id", "n_tokens", *(F.col("posterior")[j].alias(f"p_{d}") for j, d in enumerate(mix.domains)), "rate")
+
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_classes(table(spark, sf_dir, "documents"))
@@ -33,6 +47,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing_to_targets": op1_mixing_to_targets,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_quality_rules": op5_quality_rules,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,

@@ -164,7 +164,7 @@ def local_runs(docs: DataFrame, length: int, k: int) -> DataFrame:
         if held:
             yield from _settle_locally(held, length)
 
-    return docs.where("doc_id is not null and text is not null").mapInArrow(run, _ROWS)
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, _ROWS)
 
 
 def _meet(of: np.ndarray, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -343,7 +343,7 @@ def suffix_order_spans(windows: DataFrame, length: int) -> DataFrame:
     return windows.repartition("key").mapInArrow(run, "doc_id long, lo long, hi long")
 
 
-def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50, k: int = 12, crowd: int = 20_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50, k: int = 12, crowd: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): per row of `docs` the removed byte spans, ascending and maximal, and the bytes left.
 
     A byte of the UTF-8 text goes if a string of `length` bytes over it also starts in a document with a smaller
@@ -352,11 +352,13 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length
     nothing. Ids are unique; repeated equal rows are one document, and all its rows get the same spans. Other
     columns are ignored; an empty table gives no rows.
     `k` is the minimiser's width; `crowd` is how many different runs of one minimiser a task sorts before they
-    are dealt out by window instead.
+    are dealt out by window instead. `carry` names columns that come
+    along in a struct named carried, and adds kept_text, the bytes left without those of a cut character.
     """
     if not 0 < k < length or length - k + 1 > 255:
         raise ValueError("k must be below length and within 254 of it")
-    whole = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    taken = [F.struct(*carry).alias("carried")] if carry else []
+    whole = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *taken)
     met = saved(meeting_runs(local_runs(whole, length, k), length, crowd), "runs")
     dealt = whole.repartition("doc_id")
     classes = met.where("n is not null")
@@ -386,6 +388,8 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length
                 at.append(at[-1] + (0 if found is None or not len(found) else len(lo)))
             both = np.concatenate(flat) if flat else np.empty((0, 2), np.int64)
             spans = pa.StructArray.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["start", "end"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), spans), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), spans), pa.array(kept, pa.binary()), *batch.columns[3:], *([pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())] if carry else [])], names=["doc_id", "n_bytes", "spans", "kept", "carried", "kept_text"][: 6 if carry else 4])
 
-    return dealt.join(per_doc, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    joined = dealt.join(per_doc, "doc_id", "left").select("doc_id", "text", "gone", *(["carried"] if taken else []))
+    carried = f", carried {whole.schema['carried'].dataType.simpleString()}, kept_text string" if taken else ""
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary" + carried)
