@@ -127,7 +127,7 @@ def _calibrated(z: np.ndarray, y: np.ndarray, k: int) -> tuple[float, np.ndarray
     return slope, shift
 
 
-def trained(labelled: DataFrame, max_rows: int = 8000, epochs: int = 8, rate: float = 0.1, l2: float = 1e-4) -> Model | None:
+def trained(labelled: DataFrame, max_rows: int = 8000, epochs: int = 8, rate: float = 0.2, l2: float = 1e-4) -> Model | None:
     """Fit on labelled(doc_id, text, label string); None without two labels.
 
     At most `max_rows` rows, those of least id hash, are used: the bound of the fit. Features are made where the
