@@ -127,11 +127,12 @@ def _calibrated(z: np.ndarray, y: np.ndarray, k: int) -> tuple[float, np.ndarray
     return slope, shift
 
 
-def trained(labelled: DataFrame, max_rows: int = 8000, epochs: int = 8, rate: float = 0.2, l2: float = 1e-4) -> Model | None:
-    """Fit on labelled(doc_id, text, label string); None without two labels.
+def trained(docs: DataFrame, labelled: DataFrame, max_rows: int = 8000, epochs: int = 8, rate: float = 0.2, l2: float = 1e-4) -> Model | None:
+    """Fit on docs(doc_id, text) with labelled(doc_id, label string); None without two labels.
 
-    At most `max_rows` rows, those of least id hash, are used: the bound of the fit. Features are made where the
-    rows lie; a fifth of the rows is held out of the fit and calibrates it.
+    At most `max_rows` labelled documents with a text, those of least id hash, are used: the bound of the fit
+    and of what is broadcast to find their texts, which never move. Features are made where the rows lie; a
+    fifth of the rows is held out of the fit and calibrates it.
     """
 
     def features(batches):
@@ -170,8 +171,9 @@ def trained(labelled: DataFrame, max_rows: int = 8000, epochs: int = 8, rate: fl
         slope, shift = _calibrated(z[held_out], y[held_out], len(names))
         yield pa.RecordBatch.from_arrays([pa.array([names]), pa.array([w.astype(np.float32).tobytes()]), pa.array([b.tolist()]), pa.array([float(slope)]), pa.array([shift.tolist()])], names=["classes", "w", "b", "slope", "shift"])
 
-    sample = labelled.select("doc_id", "label").where("doc_id is not null and label is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    rows = labelled.select("doc_id", "text", "label").join(sample.distinct(), ["doc_id", "label"], "left_semi").select("doc_id", "text", "label").mapInArrow(features, "doc_id long, label string, i array<int>, v array<float>")
+    known = labelled.select("doc_id", "label").where("doc_id is not null and label is not null").distinct()
+    sample = docs.where("text is not null").select("doc_id").join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
+    rows = docs.where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(features, "doc_id long, label string, i array<int>, v array<float>")
     found = rows.repartition(1).mapInArrow(fit, "classes array<string>, w binary, b array<double>, slope double, shift array<double>").collect()
     if not found:
         return None

@@ -151,7 +151,7 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
     depends on the text only. An empty table gives no rows.
     """
     named = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    model = trained(named.where("text is not null").join(labelled.select("doc_id", F.col("domain").alias("label")), "doc_id"), max_rows)
+    model = trained(named, labelled.select("doc_id", F.col("domain").alias("label")), max_rows)
     members = saved(memberships(named, model), "members")
     mix = fitted(members, model, targets)
     return mixed(members, mix), mix

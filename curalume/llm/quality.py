@@ -115,4 +115,4 @@ def good_documents(docs: DataFrame, model: Model | None, text: str = "text", min
 def quality_model(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Model | None:
     """The classifier of labels(doc_id, quality 0/1) over docs(doc_id, text); rows without text or label are left out."""
     known = labels.where("quality is not null").select("doc_id", F.col("quality").cast("string").alias("label"))
-    return trained(docs.where("text is not null").select("doc_id", "text").join(known, "doc_id"), max_rows, epochs=6, l2=5e-3)
+    return trained(docs.select("doc_id", "text"), known, max_rows, epochs=6, l2=5e-3)
