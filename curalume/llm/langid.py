@@ -21,10 +21,11 @@ _FOLD = np.where(_LETTER, np.arange(256), 0x20).astype(np.uint8)
 _FOLD[0x41:0x5B] += 0x20
 _CODE = 26
 _ROWS = 1 << 12
+_PIECE = 1 << 22
 
 
 def _codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """row << 26 | n-gram for each n-gram of each row; those with two marks in a row or of a lone mark are left out."""
+    """row << 26 | n-gram for each n-gram of each row: a word with a mark on both sides, no n-gram over two words, no mark alone."""
     x = _FOLD[data]
     if len(data) > 1:  # capital letters of the Latin-1 block in UTF-8
         upper = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
@@ -41,7 +42,7 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         same = (row[:-1] == row[1:]) & ~(mark[:-1] & mark[1:])
         two = row[:-1] | (wide[:-1].astype(U64) << U64(8)) | wide[1:] | U64(1 << 24)
         out.append(two[same])
-        same3 = same[:-1] & same[1:] & (row[:-2] == row[2:])
+        same3 = same[:-1] & same[1:] & ~mark[1:-1]
         three = row[:-2] | (wide[:-2].astype(U64) << U64(16)) | (wide[1:-1].astype(U64) << U64(8)) | wide[2:] | U64(2 << 24)
         out.append(three[same3])
     return np.concatenate(out)
@@ -52,6 +53,29 @@ def _run_lengths(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sorted_[cut], np.diff(np.r_[cut, len(sorted_)])
 
 
+def _counted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct _codes, sorted, and how often each is there; a very long row is taken in pieces that end between words."""
+    if len(data) <= _PIECE:
+        return _run_lengths(np.sort(_codes(data, offsets)))
+    key, count, lo = np.empty(0, U64), np.empty(0, np.int64), 0
+    while lo < len(data):
+        hi = lo + _PIECE
+        gap = np.flatnonzero(~_LETTER[data[hi : hi + _PIECE]])
+        hi = hi + int(gap[0]) if len(gap) else len(data)
+        hi = min(hi, len(data))
+        k, c = _run_lengths(np.sort(_codes(data[lo:hi], np.array([0, hi - lo]))))
+        key, count = _merge(key, count, k, c)
+        lo = hi
+    return key, count
+
+
+def _merge(key: np.ndarray, count: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key, count = np.r_[key, more], np.r_[count, n]
+    order = np.argsort(key, kind="stable")
+    key, many = _run_lengths(key[order])
+    return key, np.add.reduceat(count[order], np.r_[0, np.cumsum(many)[:-1]]) if len(key) else np.empty(0, np.int64)
+
+
 def _groups(offsets: np.ndarray):
     for lo, hi in row_groups(offsets):
         for a in range(lo, hi, _ROWS):
@@ -72,12 +96,9 @@ def language_profiles(labelled: DataFrame, top: int = 300) -> DataFrame:
             own = np.array([names.index(x) for x in lang], np.uint64)
             data, offsets = texts(batch.column(1))
             for lo, hi in _groups(offsets):
-                c = _codes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                key, count = _run_lengths(np.sort((own[lo + (c >> U64(_CODE)).astype(np.int64)] << U64(_CODE)) | (c & U64((1 << _CODE) - 1))))
-                key, count = np.r_[held[0], key], np.r_[held[1], count]
-                order = np.argsort(key, kind="stable")
-                key, many = _run_lengths(key[order])
-                held = key, np.add.reduceat(count[order], np.r_[0, np.cumsum(many)[:-1]]) if len(key) else np.empty(0, np.int64)
+                c, count = _counted(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                key = (own[lo + (c >> U64(_CODE)).astype(np.int64)] << U64(_CODE)) | (c & U64((1 << _CODE) - 1))
+                held = _merge(*held, key, count)
         lang = pa.array(names, pa.string()).take(pa.array((held[0] >> U64(_CODE)).astype(np.int64)))
         yield pa.RecordBatch.from_arrays([lang, pa.array((held[0] & U64((1 << _CODE) - 1)).astype(np.int64)), pa.array(held[1])], names=["lang", "gram", "n"])
 
@@ -103,7 +124,7 @@ def identify(docs: DataFrame, profiles: DataFrame, id: str = "doc_id", text: str
     def scored(data, offsets):
         names, grams, place = shared.value
         n = len(offsets) - 1
-        key, count = _run_lengths(np.sort(_codes(data, offsets)))
+        key, count = _counted(data, offsets)
         row, gram = key >> U64(_CODE), key & U64((1 << _CODE) - 1)
         # one sort by row, falling count, n-gram
         order = np.sort((row << U64(51)) | ((U64((1 << 25) - 1) - np.minimum(count, (1 << 25) - 1).astype(U64)) << U64(_CODE)) | gram)
