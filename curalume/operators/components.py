@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,15 +14,15 @@ def _larger_first(a: Column, b: Column) -> list[Column]:
     return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
 
-def star_contraction(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def star_contraction(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, save: Callable[[DataFrame, str], DataFrame] = saved) -> DataFrame:
     """(node, component) for every node that has an edge to another one; component is the least node reached.
 
     Each round is a large-star and a small-star step (Kiveris et al., SoCC 2014): both are one grouped
     minimum and one join, and their output is never larger than their input. A round's edges are written
-    to the shared folder. The loop ends when every edge points straight at the least node of its component.
+    to the shared folder, by `save`. The loop ends when every edge points straight at the least node of its component.
     Self-loops and rows with a null end are ignored; no edges give no rows.
     """
-    e = saved(edges.select(*_larger_first(F.col(src), F.col(dst))).where("u <> v").distinct(), "edges")
+    e = save(edges.select(*_larger_first(F.col(src), F.col(dst))).where("u <> v").distinct(), "edges")
     for _ in range(max_rounds):
         state = e.agg(F.count("u").alias("n"), F.countDistinct("u").alias("d")).first()
         if state.n == state.d and not e.join(e.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
@@ -30,5 +32,5 @@ def star_contraction(edges: DataFrame, src: str = "src", dst: str = "dst", max_r
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
-        e = saved(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        e = save(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
