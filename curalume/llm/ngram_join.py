@@ -2,16 +2,17 @@
 
 Sets of word shingles are indexed by the rare end of their shingles (prefix filter). Index lists are kept by
 position and cut into blocks with bounds on size and position, so that most block pairs are skipped. A set's
-answers come from a highly similar set's: each set is first compared with one leader of its lists only, sets
-that are already in one component are not compared again, and for the others the known distances to a common
-leader bound their own distance (Jaccard distance is a metric). What no bound excludes is verified exactly.
+answers come from a highly similar set's: each set is first compared with one leader of its lists only, and what
+it has beyond the leader and lacks of it is kept as counts in a few hashed buckets. Sets that are already in one
+component are not compared again; for others with one leader these counts bound what they share, so the leader's
+answer plus two small differences settles most of them. What no bound excludes is verified exactly.
 
 Results are classes (connected components of the links), not all pairs: a group of copies costs one comparison a copy.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 
 from curalume.llm.bytes_np import U64, grams, mix, row_groups, signed, texts, words
 from curalume.operators.components import star_contraction
-from curalume.plans.tables import saved
+from curalume.plans.tables import Scratch, saved
 
 _BLOCK = 256
+_BUCKETS = 32
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -113,7 +115,7 @@ def _lists(token: np.ndarray) -> Iterator[tuple[int, int]]:
         yield int(cut[i]), int(cut[i + 1])
 
 
-def index_lists(entries: DataFrame, percent: int) -> DataFrame:
+def index_lists(entries: DataFrame, percent: int, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """The index lists with two sets or more: (token, doc_id, n, pos, alone).
 
     alone counts the set's prefix shingles that are in no other set's prefix.
@@ -128,7 +130,7 @@ def index_lists(entries: DataFrame, percent: int) -> DataFrame:
             keep[a:b] = True
         yield pa.RecordBatch.from_arrays([pa.array(c[k][keep]) for k in ("token", "doc_id", "n", "pos")], names=["token", "doc_id", "n", "pos"])
 
-    lists = saved(entries.repartition("token").mapInArrow(run, "token long, doc_id long, n long, pos long"), "lists")
+    lists = save(entries.repartition("token").mapInArrow(run, "token long, doc_id long, n long, pos long"), "lists")
     met = lists.groupBy("doc_id").agg(F.count("*").alias("met"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
     return lists.join(met, "doc_id").select("token", "doc_id", "n", "pos", (prefix - F.col("met")).cast("long").alias("alone"))
@@ -158,63 +160,69 @@ def leading_pairs(lists: DataFrame, percent: int) -> DataFrame:
 def skipping_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b, na, nb, c): pairs across components that no bound excludes, and in how many lists they met.
 
-    `lists` has token, doc_id, n, pos, alone, component, pivot (-1: none), far (the distance to the pivot).
-    Blocks of a list by position are skipped when, for all their entries, sizes differ too much, positions
-    leave too few common shingles, too many shingles are without a partner, or distances to one pivot differ
-    by more than a link allows.
+    `lists` has token, doc_id, n, pos, component, and pivot, n_pivot (0: no pivot), extra, missing: what the set has
+    beyond its pivot and lacks of it, as counts by bucket. Blocks of a list by position are skipped when, for all
+    their entries, sizes differ too much, positions leave too few common shingles, or all are in one component.
+    Pairs with one pivot are skipped when pivot and differences leave too few common shingles; a set and its
+    pivot have been compared before.
     """
-    away = 1 - percent / 100 + 1e-9
 
     def run(batches):
-        c = _columns(batches, ["token", "doc_id", "n", "pos", "alone", "component", "pivot", "far"])
+        c, sketch = {k: [] for k in ("token", "doc_id", "n", "pos", "component", "pivot", "n_pivot")}, {"extra": [], "missing": []}
+        for batch in batches:
+            for k in c:
+                c[k].append(batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False))
+            for k in sketch:
+                sketch[k].append(texts(batch.column(batch.schema.get_field_index(k)))[0].view(np.uint16).reshape(-1, _BUCKETS))
+        c = {k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in c.items()}
         order = np.lexsort((c["doc_id"], c["pos"], c["token"]))
         c = {k: v[order] for k, v in c.items()}
+        extra, missing = (np.concatenate(v)[order] if v else np.empty((0, _BUCKETS), np.uint16) for v in sketch.values())
+        lost, has = missing.sum(1, dtype=np.int64), c["n_pivot"] > 0
         out: list[tuple[np.ndarray, ...]] = []
         held = 0
 
-        def batch():
+        def batch_of():
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out]) if out else np.empty(0, np.int64), pa.int64()) for i in range(4)], names=["a", "b", "na", "nb"])
 
         for a, b in _lists(c["token"]):
             if (c["component"][a:b] == c["component"][a]).all():
                 continue
             blocks = [(i, min(i + _BLOCK, b)) for i in range(a, b, _BLOCK)]
-            low = {k: [c[k][i:j].min() for i, j in blocks] for k in ("n", "pos", "alone", "component", "pivot", "far")}
-            high = {k: [c[k][i:j].max() for i, j in blocks] for k in ("n", "pos", "alone", "component", "pivot", "far")}
+            low = {k: [c[k][i:j].min() for i, j in blocks] for k in ("n", "pos", "component")}
+            high = {k: [c[k][i:j].max() for i, j in blocks] for k in ("n", "pos", "component")}
             for x, (i, j) in enumerate(blocks):
                 for y in range(x, len(blocks)):
                     if 100 * high["n"][x] < percent * low["n"][y] or 100 * high["n"][y] < percent * low["n"][x]:
                         continue
                     most = min(high["pos"][x], high["pos"][y]) + min(high["n"][x] - low["pos"][x], high["n"][y] - low["pos"][y])
                     if (100 + percent) * most < percent * (low["n"][x] + low["n"][y]):
-                        break  # later blocks have later positions
-                    if (100 + percent) * (low["alone"][x] + low["alone"][y]) > (100 - percent) * (high["n"][x] + high["n"][y]):
                         continue
                     if low["component"][x] == high["component"][x] == low["component"][y] == high["component"][y]:
                         continue
-                    one = low["pivot"][x] == high["pivot"][x] == low["pivot"][y] == high["pivot"][y] >= 0
-                    if one and (low["far"][x] - high["far"][y] > away or low["far"][y] - high["far"][x] > away):
-                        continue
                     p, q = blocks[y]
                     l, r = slice(i, j), slice(p, q)
                     n1, n2, p1, p2 = c["n"][l, None], c["n"][None, r], c["pos"][l, None], c["pos"][None, r]
                     ok = (c["component"][l, None] != c["component"][None, r]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
                     ok &= (100 + percent) * (np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2)) >= percent * (n1 + n2)
-                    ok &= (100 + percent) * (c["alone"][l, None] + c["alone"][None, r]) <= (100 - percent) * (n1 + n2)
-                    ok &= ~((c["pivot"][l, None] == c["pivot"][None, r]) & (c["pivot"][l, None] >= 0) & (np.abs(c["far"][l, None] - c["far"][None, r]) > away))
+                    ok &= ~(has[l, None] & (c["pivot"][l, None] == c["doc_id"][None, r])) & ~(has[None, r] & (c["doc_id"][l, None] == c["pivot"][None, r]))
                     if x == y:
                         ok = np.triu(ok, 1)
                     u, v = np.nonzero(ok)
-                    if len(u):
-                        u, v = u + i, v + p
-                        first = c["doc_id"][u] < c["doc_id"][v]
-                        u, v = np.where(first, u, v), np.where(first, v, u)
-                        out.append((c["doc_id"][u], c["doc_id"][v], c["n"][u], c["n"][v]))
-                        held += len(u)
-                        if held > 500_000:
-                            yield batch()
-                            out, held = [], 0
-        yield batch()
+                    u, v = u + i, v + p
+                    for at in range(0, len(u), 20_000):
+                        e, f = u[at : at + 20_000], v[at : at + 20_000]
+                        common = c["n_pivot"][e] - lost[e] - lost[f] + np.minimum(missing[e], missing[f]).sum(1, dtype=np.int64) + np.minimum(extra[e], extra[f]).sum(1, dtype=np.int64)
+                        fine = ~has[e] | ~has[f] | (c["pivot"][e] != c["pivot"][f]) | ((100 + percent) * common >= percent * (c["n"][e] + c["n"][f]))
+                        e, f = e[fine], f[fine]
+                        first = c["doc_id"][e] < c["doc_id"][f]
+                        e, f = np.where(first, e, f), np.where(first, f, e)
+                        out.append((c["doc_id"][e], c["doc_id"][f], c["n"][e], c["n"][f]))
+                        held += len(e)
+                    if held > 500_000:
+                        yield batch_of()
+                        out, held = [], 0
+        yield batch_of()
 
     return lists.repartition("token").mapInArrow(run, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
 
@@ -228,15 +236,22 @@ def _enough(na: str, nb: str, c: str, percent: int):
     return (100 + percent) * (F.col(c) + behind) >= percent * (F.col(na) + F.col(nb))
 
 
+def _spread(shingles: np.ndarray) -> bytes | None:
+    """Counts by bucket; None where one does not fit."""
+    count = np.bincount((mix(shingles) % U64(_BUCKETS)).astype(np.int64), minlength=_BUCKETS)
+    return count.astype(np.uint16).tobytes() if count.max() < 1 << 16 else None
+
+
 def verified(pairs: DataFrame, wanted: DataFrame, n: int, group_rows: int = 2000) -> DataFrame:
-    """(a, b, common, na, nb): exact set sizes of pairs (a, b), from the whole texts in wanted(doc_id, text).
+    """(a, b, common, na, nb, extra, missing): exact set sizes of pairs (a, b), from the whole texts in wanted(doc_id, text).
 
-    Partners of one set b are compared with it where its text arrives once for every `group_rows` of them.
+    extra and missing count, by bucket, what a has beyond b and lacks of it. Partners of one set b are compared
+    with it where its text arrives once for every `group_rows` of them.
     """
     part = F.when(F.col("m") <= group_rows, F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / group_rows))).cast("int")
     counted = pairs.select("a", "b").join(pairs.groupBy("b").agg(F.count("*").alias("m")), "b").select("a", "b", part.alias("part"))
-    left = counted.join(wanted.select(F.col("doc_id").alias("a"), "text"), "a").select("b", "part", "a", "text")
-    right = counted.select("b", "part").distinct().join(wanted.select(F.col("doc_id").alias("b"), "text"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
+    left = wanted.select(F.col("doc_id").alias("a"), "text").join(counted.hint("merge"), "a").select("b", "part", "a", "text")
+    right = wanted.select(F.col("doc_id").alias("b"), "text").join(counted.select("b", "part").distinct().hint("merge"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
 
     def run(batches):
         key, mine = None, []
@@ -250,12 +265,12 @@ def verified(pairs: DataFrame, wanted: DataFrame, n: int, group_rows: int = 2000
                     mine.append(s)
                     continue
                 for o in mine:
-                    rows.append((a[i], b[i], len(np.intersect1d(s, o, assume_unique=True)), len(s), len(o)))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["a", "b", "common", "na", "nb"])
+                    rows.append((a[i], b[i], len(np.intersect1d(s, o, assume_unique=True)), len(s), len(o), _spread(np.setdiff1d(s, o, True)), _spread(np.setdiff1d(o, s, True))))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i < 5 else pa.binary()) for i, x in enumerate(cols)], names=["a", "b", "common", "na", "nb", "extra", "missing"])
 
     both = left.unionByName(right).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-    return both.mapInArrow(run, "a long, b long, common long, na long, nb long")
+    return both.mapInArrow(run, "a long, b long, common long, na long, nb long, extra binary, missing binary")
 
 
 def ngram_jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, share: float = 0.0002, limit: int = 200_000) -> DataFrame:
@@ -268,28 +283,35 @@ def ngram_jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text
     count and gets a null component. Other columns are ignored; an empty table gives no rows.
     `share` and `limit` bound the list of frequent shingles that is broadcast (see frequent_shingles).
     """
-    sets = saved(shingle_sets(docs, id, text, n, percent, frequent_shingles(docs, text, n, share, limit)), "sets")
+    scratch = Scratch(docs.sparkSession)
+    save = scratch.saved
+    sets = save(shingle_sets(docs, id, text, n, percent, frequent_shingles(docs, text, n, share, limit)), "sets")
     known = sets.where("n_shingles > 0 and doc_id is not null")
     copies = known.groupBy("n_shingles", "sig1", "sig2").agg(F.min("doc_id").alias("first"))
-    copies = saved(copies, "classes")
-    firsts = known.join(copies.select(F.col("first").alias("doc_id"), "n_shingles", "sig1", "sig2"), ["doc_id", "n_shingles", "sig1", "sig2"], "left_semi")
+    copies = save(copies, "classes")
+    firsts = known.join(copies.select(F.col("first").alias("doc_id"), "n_shingles", "sig1", "sig2").hint("merge"), ["doc_id", "n_shingles", "sig1", "sig2"], "left_semi")
     entries = firsts.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
-    lists = saved(index_lists(entries, percent), "lists")
-    wanted = saved(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(lists.select("doc_id").distinct(), "doc_id", "left_semi"), "wanted")
+    lists = save(index_lists(entries, percent, save), "lists")
+    wanted = save(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(lists.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "wanted")
 
     linked = (100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb"))
-    best = leading_pairs(lists, percent).where(_enough("na", "nb", "c", percent)).groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
-    first_round = saved(verified(saved(best, "pairs"), wanted, n), "links")
+    best = leading_pairs(lists, percent).groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
+    first_round = save(verified(save(best, "pairs"), wanted, n), "links")
     exact = first_round.where(linked).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    parts = star_contraction(exact)
+    parts = star_contraction(exact, save=save)
 
-    pivots = first_round.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("pivot"), F.min(1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"), F.count("*").alias("k")).where("k = 1").drop("k")
-    pivots = pivots.unionByName(pivots.select(F.col("pivot").alias("doc_id"), "pivot", F.lit(0.0).alias("far")).distinct().join(pivots, "doc_id", "left_anti"))
+    none = F.unhex(F.lit("0000" * _BUCKETS))
+    seen = first_round.groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("k"), *(F.any_value(c).alias(to) for c, to in (("b", "pivot"), ("nb", "n_pivot"), ("extra", "extra"), ("missing", "missing"))))
+    seen = seen.where("k = 1 and extra is not null and missing is not null").drop("k")
+    heads = seen.groupBy(F.col("pivot").alias("doc_id")).agg(F.max("n_pivot").alias("n_pivot")).join(seen, "doc_id", "left_anti")
+    pivots = seen.unionByName(heads.select("doc_id", F.col("doc_id").alias("pivot"), "n_pivot", none.alias("extra"), none.alias("missing")))
     labelled = lists.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(pivots, "doc_id", "left")
-    labelled = labelled.select("token", "doc_id", "n", "pos", "alone", F.coalesce("component", "doc_id").alias("component"), F.coalesce("pivot", F.lit(-1)).alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far"))
+    labelled = labelled.select("token", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("component"), F.coalesce("pivot", F.lit(0)).alias("pivot"), F.coalesce("n_pivot", F.lit(0)).alias("n_pivot"), *(F.coalesce(c, none).alias(c) for c in ("extra", "missing")))
     rest = skipping_pairs(labelled, percent).where(_enough("na", "nb", "c", percent))
-    second_round = saved(verified(saved(rest.select("a", "b"), "pairs"), wanted, n).where(linked), "links")
+    second_round = save(verified(save(rest.select("a", "b"), "pairs"), wanted, n).where(linked), "links")
     edges = exact.unionByName(second_round.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     same_id = known.join(copies, ["n_shingles", "sig1", "sig2"]).where("doc_id <> first").select(F.col("first").alias("src"), F.col("doc_id").alias("dst"))
-    classes = star_contraction(edges.unionByName(same_id)).withColumnRenamed("node", "doc_id")
-    return sets.select("doc_id", "n_shingles").join(classes, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    classes = star_contraction(edges.unionByName(same_id), save=save).withColumnRenamed("node", "doc_id")
+    result = saved(sets.select("doc_id", "n_shingles").join(classes, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "components")
+    scratch.close()
+    return result
