@@ -154,10 +154,10 @@ def page_of(http):
 
 
 def first_copies(records: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """(page_id, refers_to_page): for each record whose payload of `least_bytes` or more a smaller page has, the smallest such page."""
-    known = records.where(F.col("payload_bytes") >= least_bytes).select(page_of("http").alias("page_id"), "payload_digest")
-    first = known.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to_page"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return known.join(first, "payload_digest").where("page_id > refers_to_page").select("page_id", "refers_to_page").distinct()
+    """(page_id, refers_to): for each record whose payload of `least_bytes` or more a smaller page has, the record id of the smallest such page."""
+    known = records.where(F.col("payload_bytes") >= least_bytes).select(page_of("http").alias("page_id"), "payload_digest", "record_id").where("page_id is not null")
+    first = known.groupBy("payload_digest").agg(F.min(F.struct("page_id", "record_id")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return known.join(first, "payload_digest").where(F.col("page_id") > F.col("first.page_id")).select("page_id", F.col("first.record_id").alias("refers_to")).distinct()
 
 
 def write_warc(records: DataFrame, path: str, records_per_file: int = 5000) -> None:
@@ -240,9 +240,8 @@ def archived_pages(pages: DataFrame, version: int = 1) -> DataFrame:
     archives = page_archives(pages, version)
     first = first_copies(arc_records(archives, with_payload=False))
     records = arc_records(archives).withColumn("page_id", page_of("http"))
-    target = arc_records(archives, with_payload=False).select(page_of("http").alias("refers_to_page"), F.col("record_id").alias("refers_to")).join(first.select("refers_to_page").distinct(), "refers_to_page").distinct()
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(records.join(first.join(target, "refers_to_page"), "page_id", "left"), path)
+    write_warc(records.join(first, "page_id", "left"), path)
     back = read_warc(spark, path).withColumn("page_id", page_of("http"))
     ids = back.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("of")).join(back.where("refers_to is not null").select("refers_to").distinct(), "refers_to").distinct()
     return back.join(ids, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("of").alias("refers_to"))
