@@ -122,4 +122,16 @@ FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id""",
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS f FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > f THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND page_id > f THEN f END AS refers_to
 FROM d""",
+    "op10_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+t AS (SELECT doc_id, s, substr(h, 2 * s + 1, 1098) AS x FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 500)) AS s FROM d)),
+y AS (SELECT doc_id, s, x, unnest(range(0, least(500, len(x) // 2))) AS i FROM t),
+w AS (SELECT doc_id, s + i AS p, substr(x, 2 * i + 1, 100) AS g FROM y WHERE 2 * i + 100 <= len(x)),
+m AS (SELECT g, min(doc_id) AS f FROM w GROUP BY g),
+r AS (SELECT w.doc_id, w.p FROM w JOIN m ON m.g = w.g WHERE w.doc_id > m.f),
+b AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM r),
+c AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (z IS NULL OR z < q - 1) AS n_spans FROM (SELECT doc_id, q, lag(q) OVER (PARTITION BY doc_id ORDER BY q) AS z FROM b) GROUP BY doc_id),
+k AS (SELECT a.doc_id, string_agg(a.c, '' ORDER BY a.q) AS h FROM (SELECT doc_id, s + i AS q, substr(x, 2 * i + 1, 2) AS c FROM y) a ANTI JOIN b ON b.doc_id = a.doc_id AND b.q = a.q GROUP BY a.doc_id)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
 }
