@@ -1,10 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
 A page is a sequence of text blocks, each at the end of a path of tags from the root. For every path, the
-length of its text and its punctuation are summed over its blocks; their means are smoothed over the paths with
-the same parent, so that a short heading stands with its paragraphs, and fused. Paths above a share of the best
-one are content. Blocks inside elements that never hold an article's text are not candidates, and where the page
-marks an article, only its blocks are.
+length of its text and its punctuation are summed over its blocks; their means are smoothed over its siblings,
+weighted by their characters, so that a short heading or paragraph stands with the paragraphs around it, and fused,
+with the share of the text outside links as a factor. Paths above a share of the best one are content. Blocks inside
+elements that never hold an article's text are not candidates, and where the page marks an article, only its blocks
+are; they are scored alike.
+
+Siblings have the same parent, where lists, quotes, tables and figures without a label count as their parent's own
+children; each list without a label is a path of its own. A heading's siblings are all blocks beneath its parent.
+Text directly in a div or the like has none.
 """
 
 from __future__ import annotations
@@ -38,6 +43,12 @@ _AROUND = frozenset(
 )
 
 
+# Elements whose text stands with its siblings, and those that do not set apart what they hold.
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SIBLING = frozenset("p li dt dd td th blockquote figcaption caption pre summary".split())
+_FLOW = frozenset("ul ol dl li dd blockquote table thead tbody tfoot tr figure details".split())
+_LIST = frozenset("ul ol dl".split())
+_HREF = re.compile(r"\bhref\s*=", re.I)
 _FRAME = frozenset("html body main article".split())
 _ABOUT = frozenset("with has no without".split())
 
@@ -48,18 +59,22 @@ def _names_surroundings(name: str) -> bool:
     return not _ABOUT & set(parts) and any(x in _AROUND for x in parts)
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, str]]:
-    """(path, in an article, text) of each block of a page that can be content, in page order."""
+def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, str, int]]:
+    """(path, in an article, text, characters of it in links) of each block of a page that can be content, in page order."""
     stack: list[tuple[str, str, bool, bool]] = []  # tag, label, candidate, in an article
     text: list[str] = []
+    links: list[str] = []
     at: list[tuple[str, str, bool, bool]] = []
     skip = ""
+    lists = 0
 
     def flush():
         s = _WHITE.sub(" ", html.unescape("".join(text))).strip()
+        linked = len(_WHITE.sub(" ", html.unescape("".join(links))).strip()) if links else 0
         text.clear()
+        links.clear()
         if s:
-            yield tuple(x[1] for x in at), bool(at) and at[-1][3], s
+            yield tuple(x[1] for x in at), bool(at) and at[-1][3], s, linked
 
     def pop(names, stop=frozenset()):
         """Close the innermost element of these names, unless one of `stop` is nearer."""
@@ -78,6 +93,8 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, str]]:
                 if not text:
                     at = [x for x in stack if x[0] not in _INLINE]
                 text.append(piece)
+                if any(x[1] == "a href" for x in stack):
+                    links.append(piece)
             continue
         tag = tag.lower()
         if skip:
@@ -109,31 +126,59 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, str]]:
         if tag in _VOID:
             continue
         ok = (not stack or stack[-1][2]) and not hidden
-        stack.append((tag, f"{tag}.{label}" if label else tag, ok, (bool(stack) and stack[-1][3]) or tag in ("article", "main")))
+        name = f"{tag}.{label}" if label else tag
+        if name in _LIST:
+            lists += 1
+            name = f"{tag}#{lists}"
+        if tag == "a":
+            pop({"a"}, _CLOSES_P | _SCOPE)
+            name = "a href" if _HREF.search(m.group(3) or "") else "a"
+        stack.append((tag, name, ok, (bool(stack) and stack[-1][3]) or tag in ("article", "main")))
     yield from flush()
 
 
+def _tag(part: str) -> str:
+    return part.partition(".")[0].partition("#")[0]
+
+
+def _parent(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The element that sets a block apart: its parent, or what holds the lists, quotes and tables without a label around it."""
+    n = max(0, len(path) - 1)
+    while n and path[n - 1].partition("#")[0] in _FLOW:
+        n -= 1
+    return path[:n]
+
+
 def main_text(page: str | None, share: float = 0.1) -> str:
     """The content blocks of a page, joined by empty lines; empty if there are none."""
     found = [*blocks(page or "")]
     if any(b[1] for b in found):
-        return "\n\n".join(b[2] for b in found if b[1])
-    count: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    for path, _, s in found:
-        c = count[path]
-        c[0] += 1
-        c[1] += len(s)
-        c[2] += len(_MARK.findall(s))
-    family: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    for path, c in count.items():
-        for i in range(3):
-            family[path[:-1]][i] += c[i]
+        found = [b for b in found if b[1]]
+    count: dict[tuple, list[float]] = defaultdict(lambda: [0.0] * 4)  # blocks, characters, marks, characters in links
+    for path, _, s, linked in found:
+        for i, x in enumerate((1, len(s), len(_MARK.findall(s)), min(linked, len(s)))):
+            count[path][i] += x
+    family: dict[tuple, list[float]] = defaultdict(lambda: [0.0] * 4)
+    beneath: dict[tuple, list[float]] = defaultdict(lambda: [0.0] * 4)
+    heads = {path[:-1] for path in count if path and _tag(path[-1]) in _HEADING}
+    for path, (n, size, marks, linked) in count.items():
+        to = [beneath[path[:k]] for k in range(len(path)) if path[:k] in heads]
+        if path and _tag(path[-1]) in _SIBLING | _HEADING:
+            to.append(family[_parent(path)])
+        for total in to:
+            for i, x in enumerate((size, size * size / n, size * marks / n, linked)):
+                total[i] += x
     score = {}
-    for path, (n, size, marks) in count.items():
-        m, whole, punct = family[path[:-1]]
-        score[path] = ((size / n + whole / m) / 2) * (1 + (marks / n + punct / m) / 2)
+    for path, c in count.items():
+        tag = _tag(path[-1]) if path else ""
+        size, punct, plain = c[1] / c[0], c[2] / c[0], 1 - c[3] / c[1]
+        near = beneath[path[:-1]] if tag in _HEADING else family[_parent(path)] if tag in _SIBLING else None
+        if near:
+            size, punct = (size + near[1] / near[0]) / 2, (punct + near[2] / near[0]) / 2
+            plain = 1 - near[3] / near[0] if tag in _HEADING else plain
+        score[path] = size * (1 + punct) * plain
     best = max(score.values(), default=0.0)
-    return "\n\n".join(s for path, _, s in found if score[path] >= share * best)
+    return "\n\n".join(s for path, _, s, _ in found if score[path] >= share * best)
 
 
 def extracted(pages: DataFrame, id: str = "page_id", url: str = "url", source: str = "html", share: float = 0.1) -> DataFrame:
@@ -142,7 +187,7 @@ def extracted(pages: DataFrame, id: str = "page_id", url: str = "url", source: s
     Character references are decoded, white space in a block is one space, blocks are joined in page order by an
     empty line. A null or empty page, and one without content, has the text "". Null or repeated ids and urls each
     keep their row; other columns are ignored; an empty table gives no rows. `share` is the part of the best
-    path's fused ratio from which a path is content, where no element marks the article.
+    path's fused ratio from which a path is content, whether an element marks the article or not.
     """
 
     def run(batches):

@@ -24,6 +24,18 @@ def test_paths_by_ratio_without_an_article():
     assert main_text(page) == f"Title\n\n{words.strip()}\n\nShort.\n\n{words.strip()}"
 
 
+def test_paths_by_ratio_inside_an_article():
+    words = "A long sentence, with marks; and it goes on. " * 4
+    teasers = "".join(f"<li><a href=/{i}>Another headline, number {i}</a></li>" for i in range(5))
+    page = f"""<body><article><h1>Head</h1><div>We use small files.</div><div><p>Buy it now</p></div><ul>{teasers}</ul><a href=/x>All news</a>
+    <p>{words}</p><p>Short.</p><h2>Next</h2><p>{words}</p><blockquote><p>Said so.</p></blockquote><ul><li>One<li>Two</ul>
+    <figure><figcaption>A picture</figcaption></figure><p>{words}</p><div><div><p>Nice one</p></div><div><p>Me too</p></div></div></article><p>{words}</p>"""
+    one = words.strip()
+    assert main_text(page) == "\n\n".join(["Head", one, "Short.", "Next", one, "Said so.", "One", "Two", "A picture", one])
+    deep = f"<main><h1><a href=/>Head</a></h1><div class=text><p>{words}<p><a name=x>{words}<p>Short.</div><section><h3><a href=/1>Teaser</a></h3></section></main>"
+    assert main_text(deep) == "\n\n".join(["Head", one, one, "Short."])
+
+
 def test_odd_pages(frame):
     rows = [(1, "u", None, 0), (2, None, "", 0), (3, "u", "<p>a < b<p>", 0), (None, "u", "plain text", 0), (3, "u", "<div", 0), (4, "u", "<p>" + "word " * 50_000, 0)]
     found = extracted(frame(rows, "page_id long, url string, html string, text int")).collect()
