@@ -32,7 +32,7 @@ def op1_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sentence_dedup(table(spark, sf_dir, "documents"))
+    found = sentence_dedup(table(spark, sf_dir, "documents"), ends=True)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_sentences", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 

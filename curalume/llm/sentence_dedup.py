@@ -1,9 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-From every sentence a span of consecutive sentences is hashed; spans that occur again, in the same or another
-document, are found by one join on the hash, and all sentences of any but the first occurrence go. A span has
-`least` sentences, or more until it has `min_words` words, so that runs of tiny sentences mean nothing by
-themselves. Equal spans of one input partition are settled there, so a span that is everywhere is shuffled once
+Runs of `least` sentences and `min_words` words or more that occur again, in the same or another document, are found
+by one join on hashes, and all sentences of any but the first occurrence go. Runs of tiny sentences mean nothing by
+themselves. From every sentence the shortest such span is hashed and, with `ends`, the shortest that ends at it: each
+sentence of a longer run that repeats is in one of them that lies in the run, so that both kinds find all that the
+longer runs would. Without `ends`, short sentences at the end of a repeated run can stay. Equal spans of one input partition are settled there, so a span that is everywhere is shuffled once
 for each partition.
 """
 
@@ -37,17 +38,23 @@ def sentences(data: np.ndarray, offsets: np.ndarray):
     return w, np.flatnonzero(begin)
 
 
-def spans(data: np.ndarray, offsets: np.ndarray, least: int, min_words: int):
+def spans(data: np.ndarray, offsets: np.ndarray, least: int, min_words: int, ends: bool):
     """(row, key, sig, index of the first sentence in its row, sentences) of each span, and the sentences of each row."""
     w, first = sentences(data, offsets)
     end = np.r_[first[1:], len(w.start)]
     row = np.searchsorted(w.first, first, "right") - 1
     many = np.bincount(row, minlength=len(offsets) - 1)
     base = np.cumsum(many) - many
-    i = np.arange(len(first))
-    last = np.maximum(i + least - 1, np.searchsorted(end, first + min_words))  # the last sentence of the span
+    every = np.arange(len(first))
+    last = np.maximum(every + least - 1, np.searchsorted(end, first + min_words))  # of the shortest span from each sentence
     ok = last < (base + many)[row]
-    i, last, row = i[ok], last[ok], row[ok]
+    i, last = every[ok], last[ok]
+    if ends:
+        to = np.minimum(every - least + 1, np.searchsorted(first, end - min_words, "right") - 1)  # first of the shortest span up to each
+        ok = to >= base[row]
+        both = np.unique(np.r_[i, to[ok]] * (len(first) + 1) + np.r_[last, every[ok]])
+        i, last = both // (len(first) + 1), both % (len(first) + 1)
+    row = row[i]
     up = np.full(len(w.hash) + 1, _B, U64)
     down = np.full(len(w.hash) + 1, pow(_B, -1, 1 << 64), U64)
     up[0] = down[0] = 1
@@ -79,7 +86,7 @@ def _settle(held):
     return (d, lo, hi), (key[first], sig[first], doc[first], at[first], n[first])
 
 
-def repeated_sentences(docs: DataFrame, least: int, min_words: int) -> DataFrame:
+def repeated_sentences(docs: DataFrame, least: int, min_words: int, ends: bool) -> DataFrame:
     """(doc_id, lo, hi): sentences lo to hi - 1 of a document are in a span that occurred before."""
 
     def local(batches):
@@ -95,7 +102,7 @@ def repeated_sentences(docs: DataFrame, least: int, min_words: int) -> DataFrame
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = texts(batch.column(1))
             for a, b in row_groups(offsets):
-                (row, key, sig, at, n), _ = spans(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], least, min_words)
+                (row, key, sig, at, n), _ = spans(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], least, min_words, ends)
                 held.append((key, sig, doc[a + row], at, n))
                 size += len(row)
                 if size > _HELD:
@@ -121,17 +128,18 @@ def repeated_sentences(docs: DataFrame, least: int, min_words: int) -> DataFrame
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(local, _ROWS).repartition("key").mapInArrow(meet, "doc_id long, lo long, hi long")
 
 
-def sentence_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = 2, min_words: int = 12) -> DataFrame:
+def sentence_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = 2, min_words: int = 12, ends: bool = False) -> DataFrame:
     """(doc_id, n_sentences, removed, kept): per row of `docs` the removed runs of sentences (start, end), maximal and ascending, and the text left.
 
     Sentences are compared by their words, A-Z lower-cased, whatever the white space between; the first span is
     the one of the least id, and in it the earliest. A sentence takes its white space up to the next one with it.
-    A null or empty text has no sentences; a text shorter than a span loses nothing. Rows with a null id stay
+    With `ends` every run of `least` sentences and `min_words` words that repeats goes whole, else what the shortest
+    spans from each sentence cover of it. A null or empty text has no sentences; a text shorter than a span loses nothing. Rows with a null id stay
     whole and remove nothing. Ids are unique: repeated rows of one id count as one document that repeats itself,
     and each of its rows loses what any of them does. Other columns are ignored; an empty table gives no rows.
     """
     whole = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    gone = repeated_sentences(whole, least, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+    gone = repeated_sentences(whole, least, min_words, ends).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
 
     def cut(batches):
         for batch in batches:

@@ -109,6 +109,48 @@ def test_sentence_dedup_matches_brute_force(frame):
     assert sentence_dedup(frame([], SCHEMA)).count() == 0
 
 
+def all_runs_brute(rows, least, min_words):
+    """As sentence_brute, over every run of `least` sentences and `min_words` words or more."""
+    import re
+
+    seen, out = set(), {}
+    for d, text in sorted((r for r in rows if r[1] is not None)):
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        starts = [i for i in range(len(words)) if i == 0 or text[words[i - 1][1] - 1] in ".!?" or "\n" in text[words[i - 1][1] : words[i][0]]]
+        low = [re.sub("[A-Z]", lambda m: m[0].lower(), text[a:b]) for a, b in words]
+        ends, gone = [*starts[1:], len(words)], set()
+        for j in range(len(starts)):
+            for i in range(j - least + 2):
+                cut = [tuple(low[starts[k] : ends[k]]) for k in range(i, j + 1)]
+                key = sum(cut, ())
+                if len(key) >= min_words:
+                    if key in seen:
+                        gone |= set(range(i, j + 1))
+                    seen.add(key)
+        out[d] = gone
+    return out
+
+
+def removed_sentences(found):
+    return {x.doc_id: {k for s in x.removed for k in range(s.start, s.end)} for x in found.collect()}
+
+
+def test_last_short_sentences_of_a_repeated_run_go(frame):
+    long = lambda d: " ".join(f"{d}{i}" for i in range(20)) + "."
+    shared = f"{long('a')} {long('b')} Three words here. And three more."
+    rows = [(1, f"{shared} Own end of one.", ""), (2, f"{shared} Some other end.", ""), (3, shared, "")]
+    assert removed_sentences(sentence_dedup(frame(rows, SCHEMA), ends=True)) == {1: set(), 2: {0, 1, 2, 3}, 3: {0, 1, 2, 3}}
+
+
+@pytest.mark.parametrize("least, min_words", [(2, 12), (3, 5), (1, 9)])
+def test_sentence_dedup_matches_all_runs(frame, least, min_words):
+    r = random.Random(least)
+    pool = [" ".join(r.choice(["One", "two", "thrée", "four"]) for _ in range(r.choice([1, 2, 3, 9, 14]))) + r.choice([".", "!", "?", "\n", ". \n"]) for _ in range(40)]
+    rows = [(d, " ".join(pool[(k + i) % 40] if r.random() < 0.9 else r.choice(pool) for k in [r.randrange(40)] for i in range(r.randrange(0, 12)))) for d in range(80)]
+    found = removed_sentences(sentence_dedup(frame([(*x, "clash") for x in rows], SCHEMA), least=least, min_words=min_words, ends=True))
+    assert found == all_runs_brute(rows, least, min_words) and any(found.values())
+
+
 def test_planted_passage_goes_from_later_documents(frame):
     passage = "This is the first sentence of it here. " + " ".join(f"word{i}" for i in range(30)) + ". And a third one closes the passage now. "
     rows = [(d, f"Lead {d} of its own kind. {passage}Tail {d} is its own as well.", "") for d in range(20)]
