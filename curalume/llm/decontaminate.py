@@ -97,13 +97,14 @@ def _counts(docs: DataFrame, text: str, block: _Block) -> dict[int, int]:
     return {r.token: r.n for r in docs.select(text).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
 
 
-def _hits(docs: DataFrame, id: str, text: str, block: _Block) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def _hits(rows: DataFrame, block: _Block) -> DataFrame:
+    """(row, doc_id, n_words, spans, items) per row of `rows`, (row, doc_id, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def run(batches):
         b = shared.value
         for batch in batches:
-            data, offsets = texts(batch.column(1))
+            data, offsets = texts(batch.column(2))
             n_words, spans, span_at, items = [], [], [0], []
             for lo, hi in row_groups(offsets):
                 x = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ALNUM, LOWER)
@@ -141,14 +142,15 @@ def _hits(docs: DataFrame, id: str, text: str, block: _Block) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(np.concatenate(n_words) if n_words else np.empty(0, np.int64), pa.int64()),
                     pa.ListArray.from_arrays(pa.array(span_at, pa.int32()), pa.StructArray.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["start", "end"])),
                     pa.array(items, pa.list_(pa.string())),
                 ],
-                names=["doc_id", "n_words", "spans", "items"],
+                names=["row", "doc_id", "n_words", "spans", "items"],
             )
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    return rows.mapInArrow(run, "row long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, shingle: int = 3, block_windows: int = 100_000) -> DataFrame:
@@ -159,24 +161,28 @@ def decontaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text:
     wordless texts on either side hit nothing; items with a null id are left out, repeated item rows count as
     one item. Rows of `docs` are judged by themselves, whatever their id, and other columns are ignored; an
     empty benchmark hits nothing, an empty table gives no rows. With more than `block_windows` windows the
-    documents are joined with one block after another and the blocks' findings merged by id.
+    documents are written once with a number for each row and joined with one block after another, and the blocks'
+    findings are merged by that number.
     """
     windows = saved(item_windows(items, item_id, item_text, size), "windows")
     n = max(1, -(-windows.count() // block_windows))
+    rows = docs.select((F.monotonically_increasing_id() if n > 1 else F.lit(0).cast("long")).alias("row"), F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    if n > 1:
+        rows = saved(rows, "rows")
     parts = []
     for i in range(n):
         block = _Block(windows.where(F.pmod(F.xxhash64("w"), F.lit(n)) == i).collect(), shingle)
-        block.rarest(_counts(docs, text, block))
-        parts.append(_hits(docs, id, text, block))
+        block.rarest(_counts(rows, "text", block))
+        parts.append(_hits(rows, block))
     if n == 1:
-        return parts[0]
+        return parts[0].drop("row")
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    joined = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = every.groupBy("row").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merge = F.aggregate(
         "spans",
         F.array().cast("array<struct<start:long,end:long>>"),
         lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
     )
-    return joined.withColumn("spans", merge)
+    return joined.select("doc_id", "n_words", merge.alias("spans"), "items")

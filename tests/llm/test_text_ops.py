@@ -80,6 +80,17 @@ def test_decontamination_matches_brute_force_in_one_and_more_blocks(frame):
     assert decontaminated(frame([], DOCS), it).count() == 0
 
 
+def test_decontamination_keeps_rows_of_null_and_repeated_ids(frame):
+    items = frame([(i, " ".join(f"i{i}w{j}" for j in range(12))) for i in range(8)], "item_id long, text string")
+    text = lambda i: " ".join(f"i{i}w{j}" for j in range(12))
+    docs = frame([(d, t, "clash") for d, t in [(None, "one"), (None, text(1)), (None, None), (7, f"a b {text(2)}"), (7, f"{text(3)} c"), (7, f"{text(3)} c"), (8, "")]], DOCS)
+    expected = sorted([("None", 1, [], []), ("None", 12, [(0, 12)], ["1"]), ("None", 0, [], []), ("7", 14, [(2, 14)], ["2"]), *[("7", 13, [(0, 12)], ["3"])] * 2, ("8", 0, [], [])])
+    for block in (100_000, 5):
+        found = decontaminated(docs, items, block_windows=block)
+        assert found.columns == ["doc_id", "n_words", "spans", "items"]
+        assert sorted((str(x.doc_id), x.n_words, [(s.start, s.end) for s in x.spans], x["items"]) for x in found.collect()) == expected
+
+
 def test_language_profiles(frame):
     words = {"en": "the and that with from this have".split(), "fr": "les des une pour dans être leçon".split(), "de": "und der nicht über schön wird".split()}
     r = random.Random(3)
