@@ -115,69 +115,128 @@ def _lists(token: np.ndarray) -> Iterator[tuple[int, int]]:
         yield int(cut[i]), int(cut[i + 1])
 
 
-def index_lists(entries: DataFrame, percent: int, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """The index lists with two sets or more: (token, doc_id, n, pos, alone).
-
-    alone counts the set's prefix shingles that are in no other set's prefix.
+def _whole(batches, keys: int) -> Iterator[pa.Table]:
+    """Batches sorted by their first `keys` columns as tables that no key crosses."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:keys]]
+        new = np.zeros(batch.num_rows, bool)
+        for x, c in zip(k, batch.columns, strict=False):
+            new[1:] |= x[1:] != x[:-1]
+        new[0] = bool(held) and any(x[0] != c[-1].as_py() for x, c in zip(k, held[-1].columns, strict=False))
+        cut = np.flatnonzero(new)
+        if len(cut):
+            held.append(batch.slice(0, cut[-1]))
+            yield pa.Table.from_batches(held)
+            batch, held = batch.slice(cut[-1]), []
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def index_lists(entries: DataFrame, percent: int, save: Callable[[DataFrame, str], DataFrame], cut: int) -> DataFrame:
+    """The index lists with two sets or more: (token, doc_id, n, pos, block, alone).
+
+    block numbers the stretches of `cut` entries of a list by position. alone counts the set's prefix shingles that
+    are in no other set's prefix. Lists are sorted by Spark and read as a stream, never held whole.
     """
 
     def run(batches):
-        c = _columns(batches, ["token", "doc_id", "n", "pos"])
-        order = np.argsort(c["token"], kind="stable")
-        c = {k: v[order] for k, v in c.items()}
-        keep = np.zeros(len(order), bool)
-        for a, b in _lists(c["token"]):
-            keep[a:b] = True
-        yield pa.RecordBatch.from_arrays([pa.array(c[k][keep]) for k in ("token", "doc_id", "n", "pos")], names=["token", "doc_id", "n", "pos"])
+        names = ["token", "doc_id", "n", "pos"]
+        held, at = {k: np.empty(0, np.int64) for k in names}, 0  # the entry read last, and its place in its list
+
+        def given(c, place, keep):
+            return pa.RecordBatch.from_arrays([*(pa.array(c[k][keep]) for k in names), pa.array(place[keep] // cut)], names=[*names, "block"])
 
-    lists = save(entries.repartition("token").mapInArrow(run, "token long, doc_id long, n long, pos long"), "lists")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = {k: np.r_[held[k], batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False)] for k in names}
+            same = c["token"][1:] == c["token"][:-1]
+            start = np.flatnonzero(np.r_[True, ~same])
+            size = np.diff(np.r_[start, len(same) + 1])
+            place = np.arange(len(same) + 1) - np.repeat(start, size)
+            place[: size[0]] += at if len(held["token"]) else 0
+            yield given(c, place[:-1], np.flatnonzero((place[:-1] > 0) | same))
+            held, at = {k: v[-1:] for k, v in c.items()}, int(place[-1])
+        if at > 0:
+            yield given(held, np.array([at]), np.array([0]))
+
+    lists = save(entries.repartition("token").sortWithinPartitions("token", "pos", "doc_id").mapInArrow(run, "token long, doc_id long, n long, pos long, block long"), "lists")
     met = lists.groupBy("doc_id").agg(F.count("*").alias("met"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    return lists.join(met, "doc_id").select("token", "doc_id", "n", "pos", (prefix - F.col("met")).cast("long").alias("alone"))
+    return lists.join(met, "doc_id").select("token", "doc_id", "n", "pos", "block", (prefix - F.col("met")).cast("long").alias("alone"))
 
 
 def leading_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b, na, nb): each entry of a list with one leader of it, the set with the smallest share of shingles of its own that fits in size."""
 
     def run(batches):
-        c = _columns(batches, ["token", "doc_id", "n", "alone"])
-        order = np.lexsort((c["doc_id"], c["alone"] / c["n"], c["token"])) if len(c["n"]) else np.empty(0, np.int64)
-        c = {k: v[order] for k, v in c.items()}
-        to = np.full(len(order), -1, np.int64)
-        for a, b in _lists(c["token"]):
-            left = np.arange(a, b)
-            while len(left) > 1:
-                n, m = c["n"][left], c["n"][left[0]]
-                fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-                to[left[fits][1:]] = left[0]
-                left = left[~fits]
-        i = np.flatnonzero(to >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (c["doc_id"][i], c["doc_id"][to[i]], c["n"][i], c["n"][to[i]])], names=["a", "b", "na", "nb"])
-
-    return lists.repartition("token").mapInArrow(run, "a long, b long, na long, nb long").where("a <> b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-
-
-def skipping_pairs(lists: DataFrame, percent: int) -> DataFrame:
+        of, leaders = None, []  # the list read last and its leaders so far; none fits another, so they are few
+        for batch in batches:
+            c = _columns([batch], ["token", "doc_id", "n"])
+            got = []
+            cut = np.flatnonzero(np.r_[True, c["token"][1:] != c["token"][:-1], True]) if len(c["token"]) else np.zeros(1, np.int64)
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if c["token"][a] != of:
+                    of, leaders = c["token"][a], []
+                left, i = np.arange(a, b), 0
+                while len(left):
+                    if i == len(leaders):
+                        leaders.append((int(c["doc_id"][left[0]]), int(c["n"][left[0]])))
+                        left = left[1:]
+                    to, m = leaders[i]
+                    n = c["n"][left]
+                    fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+                    mine = left[fits]
+                    got.append((c["doc_id"][mine], np.full(len(mine), to), c["n"][mine], np.full(len(mine), m)))
+                    left, i = left[~fits], i + 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*got, strict=True)] if got else [pa.array([], pa.int64())] * 4, names=["a", "b", "na", "nb"])
+
+    ordered = lists.repartition("token").sortWithinPartitions("token", F.col("alone") / F.col("n"), "doc_id")
+    return ordered.mapInArrow(run, "a long, b long, na long, nb long").where("a <> b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+
+
+def block_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(token, x, y): pairs of blocks, x <= y, of the lists with more than one that no bound of theirs excludes."""
+    bounds = lists.groupBy("token", "block").agg(*(f(k).alias(f"{to}_{k}") for k in ("n", "pos", "component") for f, to in ((F.min, "low"), (F.max, "high"))))
+    l, r = (bounds.select("token", *(F.col(c).alias(f"{side}_{c}") for c in bounds.columns[1:])) for side in "xy")
+    pairs = l.join(r, "token").where("x_block <= y_block")
+    pairs = pairs.where(f"100 * x_high_n >= {percent} * y_low_n and 100 * y_high_n >= {percent} * x_low_n")
+    most = F.least("x_high_pos", "y_high_pos") + F.least(F.col("x_high_n") - F.col("x_low_pos"), F.col("y_high_n") - F.col("y_low_pos"))
+    pairs = pairs.where((100 + percent) * most >= percent * (F.col("x_low_n") + F.col("y_low_n")))
+    pairs = pairs.where("not (x_low_component = x_high_component and y_low_component = y_high_component and x_low_component = y_low_component)")
+    return pairs.select("token", F.col("x_block").alias("x"), F.col("y_block").alias("y"))
+
+
+def skipping_pairs(lists: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
     """(a, b, na, nb, c): pairs across components that no bound excludes, and in how many lists they met.
 
-    `lists` has token, doc_id, n, pos, component, and pivot, n_pivot (0: no pivot), extra, missing: what the set has
+    `lists` has token, doc_id, n, pos, block, component, and pivot, n_pivot (0: no pivot), extra, missing: what the set has
     beyond its pivot and lacks of it, as counts by bucket. Blocks of a list by position are skipped when, for all
     their entries, sizes differ too much, positions leave too few common shingles, or all are in one component.
     Pairs with one pivot are skipped when pivot and differences leave too few common shingles; a set and its
-    pivot have been compared before.
+    pivot have been compared before. Lists of more blocks than one are in `cut`, with the same columns, and are
+    dealt by pairs of blocks, those that their bounds leave, so that a task holds two blocks of a list at most.
     """
+    chosen = block_pairs(cut, percent)
+    sides = chosen.select("token", "x", "y", F.col("x").alias("block")).unionByName(chosen.where("x < y").select("token", "x", "y", F.col("y").alias("block")))
+    light = lists.withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
+    names = ["token", "x", "y", "block", "doc_id", "n", "pos", "component", "pivot", "n_pivot", "extra", "missing"]
+    dealt = light.select(names).unionByName(cut.join(sides, ["token", "block"]).select(names)).repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
 
     def run(batches):
-        c, sketch = {k: [] for k in ("token", "doc_id", "n", "pos", "component", "pivot", "n_pivot")}, {"extra": [], "missing": []}
-        for batch in batches:
-            for k in c:
-                c[k].append(batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False))
-            for k in sketch:
-                sketch[k].append(texts(batch.column(batch.schema.get_field_index(k)))[0].view(np.uint16).reshape(-1, _BUCKETS))
-        c = {k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in c.items()}
-        order = np.lexsort((c["doc_id"], c["pos"], c["token"]))
+        for whole in _whole(batches, 3):
+            yield from pairs_of(whole)
+
+    def pairs_of(table):
+        c = {k: table.column(k).to_numpy() for k in ("token", "x", "y", "block", "doc_id", "n", "pos", "component", "pivot", "n_pivot")}
+        order = np.lexsort((c["doc_id"], c["pos"], c["block"], c["y"], c["x"], c["token"]))
         c = {k: v[order] for k, v in c.items()}
-        extra, missing = (np.concatenate(v)[order] if v else np.empty((0, _BUCKETS), np.uint16) for v in sketch.values())
+        extra, missing = (texts(table.column(k))[0].view(np.uint16).reshape(-1, _BUCKETS)[order] for k in ("extra", "missing"))
+        group = np.cumsum(np.r_[False, (c["token"][1:] != c["token"][:-1]) | (c["x"][1:] != c["x"][:-1]) | (c["y"][1:] != c["y"][:-1])])
         lost, has = missing.sum(1, dtype=np.int64), c["n_pivot"] > 0
         out: list[tuple[np.ndarray, ...]] = []
         held = 0
@@ -185,14 +244,17 @@ def skipping_pairs(lists: DataFrame, percent: int) -> DataFrame:
         def batch_of():
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out]) if out else np.empty(0, np.int64), pa.int64()) for i in range(4)], names=["a", "b", "na", "nb"])
 
-        for a, b in _lists(c["token"]):
+        for a, b in _lists(group):
             if (c["component"][a:b] == c["component"][a]).all():
                 continue
-            blocks = [(i, min(i + _BLOCK, b)) for i in range(a, b, _BLOCK)]
+            middle = a + int(np.searchsorted(c["block"][a:b], c["y"][a])) if c["x"][a] < c["y"][a] else a
+            blocks = [(i, min(i + _BLOCK, q)) for p, q in ((a, middle), (middle, b)) for i in range(p, q, _BLOCK)]
             low = {k: [c[k][i:j].min() for i, j in blocks] for k in ("n", "pos", "component")}
             high = {k: [c[k][i:j].max() for i, j in blocks] for k in ("n", "pos", "component")}
             for x, (i, j) in enumerate(blocks):
                 for y in range(x, len(blocks)):
+                    if middle > a and not i < middle <= blocks[y][0]:
+                        continue
                     if 100 * high["n"][x] < percent * low["n"][y] or 100 * high["n"][y] < percent * low["n"][x]:
                         continue
                     most = min(high["pos"][x], high["pos"][y]) + min(high["n"][x] - low["pos"][x], high["n"][y] - low["pos"][y])
@@ -224,7 +286,7 @@ def skipping_pairs(lists: DataFrame, percent: int) -> DataFrame:
                         out, held = [], 0
         yield batch_of()
 
-    return lists.repartition("token").mapInArrow(run, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    return dealt.mapInArrow(run, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
 
 
 def _enough(na: str, nb: str, c: str, percent: int):
@@ -273,7 +335,7 @@ def verified(pairs: DataFrame, wanted: DataFrame, n: int, group_rows: int = 2000
     return both.mapInArrow(run, "a long, b long, common long, na long, nb long, extra binary, missing binary")
 
 
-def ngram_jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, share: float = 0.0002, limit: int = 200_000) -> DataFrame:
+def ngram_jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, share: float = 0.0002, limit: int = 200_000, cut: int = 4096) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs`.
 
     Two texts link when 100 * |intersection| >= percent * |union| of their sets of distinct n-word shingles
@@ -281,7 +343,8 @@ def ngram_jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text
     is the least id reachable by links. A null, empty or blank text has no shingles and no links. Of repeated
     rows with one id each gets a row; the id links if any of its texts does. A row with a null id keeps its
     count and gets a null component. Other columns are ignored; an empty table gives no rows.
-    `share` and `limit` bound the list of frequent shingles that is broadcast (see frequent_shingles).
+    `share` and `limit` bound the list of frequent shingles that is broadcast (see frequent_shingles);
+    `cut` is the number of entries of a list from which it is dealt in blocks of that many.
     """
     scratch = Scratch(docs.sparkSession)
     save = scratch.saved
@@ -291,7 +354,7 @@ def ngram_jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text
     copies = save(copies, "classes")
     firsts = known.join(copies.select(F.col("first").alias("doc_id"), "n_shingles", "sig1", "sig2").hint("merge"), ["doc_id", "n_shingles", "sig1", "sig2"], "left_semi")
     entries = firsts.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
-    lists = save(index_lists(entries, percent, save), "lists")
+    lists = save(index_lists(entries, percent, save, cut), "lists")
     wanted = save(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(lists.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "wanted")
 
     linked = (100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb"))
@@ -305,9 +368,14 @@ def ngram_jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text
     seen = seen.where("k = 1 and extra is not null and missing is not null").drop("k")
     heads = seen.groupBy(F.col("pivot").alias("doc_id")).agg(F.max("n_pivot").alias("n_pivot")).join(seen, "doc_id", "left_anti")
     pivots = seen.unionByName(heads.select("doc_id", F.col("doc_id").alias("pivot"), "n_pivot", none.alias("extra"), none.alias("missing")))
-    labelled = lists.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(pivots, "doc_id", "left")
-    labelled = labelled.select("token", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("component"), F.coalesce("pivot", F.lit(0)).alias("pivot"), F.coalesce("n_pivot", F.lit(0)).alias("n_pivot"), *(F.coalesce(c, none).alias(c) for c in ("extra", "missing")))
-    rest = skipping_pairs(labelled, percent).where(_enough("na", "nb", "c", percent))
+
+    def labelled(some: DataFrame) -> DataFrame:
+        known = some.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(pivots, "doc_id", "left")
+        return known.select("token", "doc_id", "n", "pos", "block", F.coalesce("component", "doc_id").alias("component"), F.coalesce("pivot", F.lit(0)).alias("pivot"), F.coalesce("n_pivot", F.lit(0)).alias("n_pivot"), *(F.coalesce(c, none).alias(c) for c in ("extra", "missing")))
+
+    heavy = save(lists.where("block > 0").select("token").distinct(), "heavy")
+    dealt = save(labelled(lists.join(heavy, "token", "left_semi")), "dealt")
+    rest = skipping_pairs(labelled(lists.join(heavy, "token", "left_anti")), dealt, percent).where(_enough("na", "nb", "c", percent))
     second_round = save(verified(save(rest.select("a", "b"), "pairs"), wanted, n).where(linked), "links")
     edges = exact.unionByName(second_round.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     same_id = known.join(copies, ["n_shingles", "sig1", "sig2"]).where("doc_id <> first").select(F.col("first").alias("src"), F.col("doc_id").alias("dst"))

@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from curalume.llm.ngram_join import ngram_jaccard_classes
+from curalume.llm.ngram_join import block_pairs, ngram_jaccard_classes
 
 SCHEMA = "doc_id long, text string, component_id string"
 
@@ -76,3 +76,17 @@ def test_null_and_repeated_ids_and_empty_table(frame):
     assert sorted((x.doc_id is None, x.n_shingles, x.component_id) for x in found if x.doc_id is not None) == [(False, 2, 1)] * 2
     assert [x.component_id for x in found if x.doc_id is None] == [None]
     assert ngram_jaccard_classes(frame([], SCHEMA)).count() == 0
+
+
+def test_lists_cut_into_blocks_match_brute_force(frame):
+    rows = families(3)
+    found = ngram_jaccard_classes(frame([(*x, "clash") for x in rows], SCHEMA), cut=8).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == brute(rows, 4, 85)
+
+
+def test_pairs_of_blocks_by_their_bounds(frame):
+    # blocks 0 and 1 are of one component, 2 has another, 3 is far from all in size
+    rows = [(9, b, d, n, p, c) for b, n, c in [(0, 100, 1), (1, 100, 1), (2, 100, 2), (3, 900, 3)] for p, d in [(b, 10 * b), (b, 10 * b + 1)]]
+    rows += [(9, 3, 39, 900, 3, 4)]
+    found = block_pairs(frame(rows, "token long, block long, doc_id long, n long, pos long, component long"), 85)
+    assert sorted((r.x, r.y) for r in found.collect()) == [(0, 2), (1, 2), (3, 3)]
