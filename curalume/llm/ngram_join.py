@@ -1,22 +1,27 @@
 """Exact n-gram Jaccard join that skips by set relations.
 
-Sets of word shingles are indexed by the rare end of their shingles (prefix filter). Index lists are kept by
-position and cut into blocks with bounds on size and position, so that most block pairs are skipped. A set's
-answers come from a highly similar set's: each set is first compared with one leader of its lists only, and what
-it has beyond the leader and lacks of it is kept as counts in a few hashed buckets. Sets that are already in one
-component are not compared again; for others with one leader these counts bound what they share, so the leader's
-answer plus two small differences settles most of them. What no bound excludes is verified exactly.
-
-Results are classes (connected components of the links), not all pairs: a group of copies costs one comparison a copy.
+Sets of word shingles are indexed by the rare end of their shingles (prefix filter). Two relations keep the pairs few:
+
+* Index lists are read by block and position: blocks whose sizes or positions leave too few common shingles, or that
+  are of one component or one family, are skipped whole. A pair that is left must also agree in the parity marks of
+  both sets: these differ in no more places than the sets do.
+* Sets much like one another make a family with one pivot, to which each member is compared once. A member's answers
+  follow from the pivot's: with A and B written as what they change of the pivot, A and B differ exactly where
+  the changes do. So pairs of one family are joined on their changes, which are small, and a link is
+  decided from both lists of changes alone. Families that the comparison with the pivot has linked whole are done.
+
+Sets that are in one component already are not compared again. Results are classes (connected components of the
+links), not all pairs: a group of copies costs one comparison a copy.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curalume.llm.bytes_np import U64, grams, mix, row_groups, signed, texts, words
@@ -24,7 +29,8 @@ from curalume.operators.components import star_contraction
 from curalume.plans.tables import Scratch, saved
 
 _BLOCK = 256
-_BUCKETS = 32
+#: Bits of a set's parity mark: the next power of two from its size on, within these bounds.
+_LEAST_BITS, _MOST_BITS = 512, 8192
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -44,9 +50,9 @@ def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 
 def frequent_shingles(docs: DataFrame, text: str, n: int, share: float, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur in about `share` of the documents or more, sorted, and their rank from rare to frequent.
+    """Shingles that occur in about `share` of the documents or more, sorted, and in how many.
 
-    Every document is counted. A shingle of that share has it in some partition at least, so partitions report
+    Every document is counted. A shingle of that share has it in some batch at least, so batches report
     only those. They number at most mean length / share and `limit`; the order of shingles that they fix
     changes the join's work, never its result.
     """
@@ -65,20 +71,29 @@ def frequent_shingles(docs: DataFrame, text: str, n: int, share: float, limit: i
 
     total = docs.count()
     top = docs.select(text).mapInArrow(local, "token long, c long, rows long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= max(3, share * total)).orderBy(F.desc("c"), "token").limit(limit).toPandas()
-    token = top["token"].to_numpy(np.int64).view(U64)
-    rank = np.arange(len(token))[::-1].copy()
+    token, count = top["token"].to_numpy(np.int64).view(U64), top["c"].to_numpy(np.int64)
     order = np.argsort(token)
-    return token[order], rank[order]
+    return token[order], count[order]
 
 
-def shingle_sets(docs: DataFrame, id: str, text: str, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, n_shingles, sig1, sig2, prefix): set size, 128 bits of the set, and the shingles that a partner must share one of."""
+def parity_mark(s: np.ndarray) -> bytes:
+    """Whether an odd number of the set's shingles falls in each place; half as many places are the two halves' difference."""
+    bits = min(_MOST_BITS, max(_LEAST_BITS, 1 << max(0, len(s) - 1).bit_length()))
+    odd = np.bincount((mix(s ^ U64(0x1F83D9ABFB41BD6B)) % U64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def shingle_sets(docs: DataFrame, id: str, text: str, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], cut: int) -> DataFrame:
+    """(id, n_shingles, sig1, sig2, prefix, chunk, mark): set size, 128 bits of the set, the shingles that a partner must share one of, and its parity mark.
+
+    chunk deals a shingle's list out where it has more than `cut` sets, from 1 on by the set's hash; else it is 0.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        token, rank = shared.value
+        token, count = shared.value
         for batch in batches:
-            size, sig1, sig2, prefix, at = [], [], [], [], [0]
+            size, sig1, sig2, prefix, chunk, mark, at = [], [], [], [], [], [], [0]
             for s in _sets(batch.column(1), n):
                 size.append(len(s))
                 sig1.append(int(mix(s).sum(dtype=U64)))
@@ -87,32 +102,142 @@ def shingle_sets(docs: DataFrame, id: str, text: str, n: int, percent: int, freq
                 p = np.minimum(np.searchsorted(token, s), max(0, len(token) - 1))
                 hot = token[p] == s if len(token) else np.zeros(len(s), bool)
                 rare = s[~hot][:k]
+                lot = np.zeros(len(rare), np.int32)
                 if len(rare) < k:
-                    rare = np.concatenate((rare, s[hot][np.argsort(rank[p[hot]], kind="stable")][: k - len(rare)]))
+                    c = count[p[hot]]
+                    last = np.argsort(c, kind="stable")[: k - len(rare)]
+                    rare = np.concatenate((rare, s[hot][last]))
+                    lot = np.concatenate((lot, np.where(c[last] > cut, 1 + (sig2[-1] >> 16) % -(-c[last] // cut), 0).astype(np.int32)))
                 prefix.append(rare)
+                chunk.append(lot)
+                mark.append(parity_mark(s))
                 at.append(at[-1] + len(rare))
             flat = signed(np.concatenate(prefix)) if prefix else np.empty(0, np.int64)
+            lots = np.concatenate(chunk) if chunk else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(sig1, U64).view(np.int64)), pa.array(np.array(sig2, U64).view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64()))],
-                names=["doc_id", "n_shingles", "sig1", "sig2", "prefix"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(sig1, U64).view(np.int64)), pa.array(np.array(sig2, U64).view(np.int64)), *(pa.ListArray.from_arrays(pa.array(at, pa.int32()), x) for x in (pa.array(flat, pa.int64()), pa.array(lots, pa.int32()))), pa.array(mark, pa.binary())],
+                names=["doc_id", "n_shingles", "sig1", "sig2", "prefix", "chunk", "mark"],
             )
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, sig1 long, sig2 long, prefix array<long>")
+    return docs.select(F.col(id).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, sig1 long, sig2 long, prefix array<long>, chunk array<int>, mark binary")
 
 
-def _columns(batches, names: list[str]) -> dict[str, np.ndarray]:
-    got: dict[str, list] = {k: [] for k in names}
-    for batch in batches:
-        for k in names:
-            got[k].append(batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False))
-    return {k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in got.items()}
+def index_lists(entries: DataFrame) -> DataFrame:
+    """entries (token, chunk, doc_id, n, pos) of tokens that two sets or more have; lists are sorted by Spark and read as a stream, never held whole."""
+
+    def run(batches):
+        held = None  # the last entry, whose list can go on
+        began = False  # whether the list of `held` has an entry before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            token, chunk = t.column("token").to_numpy(), t.column("chunk").to_numpy()
+            same = token[1:] == token[:-1]
+            keep = np.r_[began, same] | np.r_[same, False] | (chunk > 0)
+            if len(keep) > 1:
+                began = bool(same[-1])
+            yield from t.filter(pa.array(np.r_[keep[:-1], False])).to_batches()
+            held = t.slice(len(t) - 1).to_batches()[0]
+        if held is not None and (began or held.column("chunk")[0].as_py() > 0):
+            yield held
+
+    ordered = entries.repartition("token", "chunk").sortWithinPartitions("token")
+    return ordered.mapInArrow(run, "token long, chunk int, doc_id long, n long, pos long")
+
+
+def leading_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each set with the leader that it meets most often.
+
+    A list has a leader for each class of sizes that fit: the set with the largest share of its shingles in lists.
+    """
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    met = lists.groupBy("doc_id").agg(F.count("*").alias("met"))
+    sized = lists.join(met, "doc_id").select("token", "chunk", "doc_id", "n", F.floor(F.log("n") / math.log(100 / percent)).alias("fits"), (F.col("met") / prefix).alias("common"))
+    leaders = sized.groupBy("token", "chunk", "fits").agg(F.max_by("doc_id", F.struct("common", -F.col("doc_id"))).alias("b"))
+    pairs = sized.join(leaders, ["token", "chunk", "fits"]).where("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("c"))
+    return pairs.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
+
+
+def verified(pairs: DataFrame, wanted: DataFrame, n: int, save: Callable[[DataFrame, str], DataFrame], near: int = 101, group_rows: int = 2000) -> DataFrame:
+    """(a, b, common, na, nb, change) of pairs (a, b), exactly, from the whole texts in wanted(doc_id, text).
+
+    change is what a has beyond b, then what it lacks of b, where they share `near` per cent of their union or
+    more, else null. Partners of one set b are compared with it where its text arrives once for every `group_rows` of them.
+    """
+    part = F.when(F.col("m") <= group_rows, F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / group_rows))).cast("int")
+    pairs = save(pairs.select("a", "b"), "pairs")
+    counted = save(pairs.join(pairs.groupBy("b").agg(F.count("*").alias("m")), "b").select("a", "b", part.alias("part")), "dealt")
+    ids = counted.select(F.col("a").alias("doc_id")).unionByName(counted.select(F.col("b").alias("doc_id"))).distinct()
+    needed = save(wanted.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), "texts")
+    left = needed.select(F.col("doc_id").alias("a"), "text").join(counted.hint("merge"), "a").select("b", "part", "a", "text")
+    right = needed.select(F.col("doc_id").alias("b"), "text").join(counted.select("b", "part").distinct().hint("merge"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
+
+    def run(batches):
+        key, mine = None, []
+        for batch in batches:
+            b, part, a = (batch.column(i).to_pylist() for i in range(3))
+            rows = []
+            for i, s in enumerate(_sets(batch.column(3), n)):
+                if (b[i], part[i]) != key:
+                    key, mine = (b[i], part[i]), []
+                if a[i] is None:
+                    mine.append(s)
+                    continue
+                for o in mine:
+                    common = len(np.intersect1d(s, o, assume_unique=True))
+                    close = 100 * common >= near * (len(s) + len(o) - common)
+                    rows.append((a[i], b[i], common, len(s), len(o), signed(np.r_[np.setdiff1d(s, o, True), np.setdiff1d(o, s, True)]) if close else None))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i < 5 else pa.list_(pa.int64())) for i, x in enumerate(cols)], names=["a", "b", "common", "na", "nb", "change"])
+
+    both = left.unionByName(right).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return both.mapInArrow(run, "a long, b long, common long, na long, nb long, change array<long>")
+
+
+def families(close: DataFrame, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(doc_id, family, pivot, size) of the sets in pairs (a, b) of much alike sets: connected ones are a family, its pivot the one that most are paired with."""
+    members = star_contraction(close.select(F.col("a").alias("src"), F.col("b").alias("dst")), save=save).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    followers = close.groupBy(F.col("b").alias("doc_id")).agg(F.count("*").alias("k"))
+    pivots = members.join(followers, "doc_id", "left").groupBy("family").agg(F.max_by("doc_id", F.struct(F.coalesce("k", F.lit(0)), -F.col("doc_id"))).alias("pivot"), F.count("*").alias("size"))
+    return members.join(pivots, "family").select("doc_id", "family", "pivot", "size")
+
+
+def change_lists(members: DataFrame, percent: int, cut: int) -> DataFrame:
+    """Index lists over the changes of a family's members: (token, chunk, doc_id, n, size, pos, component, family).
+
+    `members` has doc_id, n, component, family and change. Partners of a set that is not linked with the pivot share
+    changes with it, one of the first that its size allows at least; what a set has beyond the pivot comes first,
+    as that is rare. Lists of more than `cut` sets are dealt out.
+    """
+    first = F.floor((100 - percent) * F.col("n") / percent).cast("int") + 1
+    key = F.xxhash64("family", "token")
+    entries = members.select("doc_id", "n", F.size("change").cast("long").alias("size"), "component", "family", F.posexplode(F.slice("change", F.lit(1), first)).alias("pos", "token")).withColumn("token", key)
+    many = entries.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    chunk = F.when(F.col("k") > cut, 1 + F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("k") / cut))).otherwise(0).cast("int")
+    return entries.join(many, "token").select("token", chunk.alias("chunk"), "doc_id", "n", "size", F.col("pos").cast("long").alias("pos"), "component", "family")
 
 
-def _lists(token: np.ndarray) -> Iterator[tuple[int, int]]:
-    cut = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True]) if len(token) else np.zeros(1, np.int64)
-    size = np.diff(cut)
-    for i in np.flatnonzero(size > 1).tolist():
-        yield int(cut[i]), int(cut[i + 1])
+def _differences(percent: int, n: Column) -> Column:
+    """The most places where two sets of n shingles together can differ and link."""
+    return (100 - percent) * n / (100 + percent)
+
+
+def block_pairs(lists: DataFrame, percent: int, inside: bool) -> DataFrame:
+    """(token, x, y): pairs of chunks, x <= y, of the lists with more than one that no bound of theirs excludes."""
+    bounds = lists.groupBy("token", "chunk").agg(*(f(k).alias(f"{to}_{k}") for k in ("n", "size", "pos", "component", "family") for f, to in ((F.min, "low"), (F.max, "high"))), F.max(F.col("size") - F.col("pos")).alias("rest"))
+    l, r = (bounds.select("token", *(F.col(c).alias(f"{side}_{c}") for c in bounds.columns[1:])) for side in "xy")
+    pairs = l.join(r, "token").where("x_chunk <= y_chunk")
+    pairs = pairs.where(f"100 * x_high_n >= {percent} * y_low_n and 100 * y_high_n >= {percent} * x_low_n")
+    most = F.least("x_rest", "y_rest")
+    if not inside:
+        most = most + F.least("x_high_pos", "y_high_pos")
+    pairs = pairs.where(2 * most >= F.col("x_low_size") + F.col("y_low_size") - _differences(percent, F.col("x_high_n") + F.col("y_high_n")))
+    one = lambda k: f"x_low_{k} = x_high_{k} and y_low_{k} = y_high_{k} and x_low_{k} = y_low_{k}"
+    pairs = pairs.where(f"not ({one('component')})")
+    if not inside:
+        pairs = pairs.where(f"not ({one('family')})")
+    return pairs.select("token", F.col("x_chunk").alias("x"), F.col("y_chunk").alias("y"))
 
 
 def _whole(batches, keys: int) -> Iterator[pa.Table]:
@@ -136,146 +261,99 @@ def _whole(batches, keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def index_lists(entries: DataFrame, percent: int, save: Callable[[DataFrame, str], DataFrame], cut: int) -> DataFrame:
-    """The index lists with two sets or more: (token, doc_id, n, pos, block, alone).
-
-    block numbers the stretches of `cut` entries of a list by position. alone counts the set's prefix shingles that
-    are in no other set's prefix. Lists are sorted by Spark and read as a stream, never held whole.
-    """
-
-    def run(batches):
-        names = ["token", "doc_id", "n", "pos"]
-        held, at = {k: np.empty(0, np.int64) for k in names}, 0  # the entry read last, and its place in its list
-
-        def given(c, place, keep):
-            return pa.RecordBatch.from_arrays([*(pa.array(c[k][keep]) for k in names), pa.array(place[keep] // cut)], names=[*names, "block"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = {k: np.r_[held[k], batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False)] for k in names}
-            same = c["token"][1:] == c["token"][:-1]
-            start = np.flatnonzero(np.r_[True, ~same])
-            size = np.diff(np.r_[start, len(same) + 1])
-            place = np.arange(len(same) + 1) - np.repeat(start, size)
-            place[: size[0]] += at if len(held["token"]) else 0
-            yield given(c, place[:-1], np.flatnonzero((place[:-1] > 0) | same))
-            held, at = {k: v[-1:] for k, v in c.items()}, int(place[-1])
-        if at > 0:
-            yield given(held, np.array([at]), np.array([0]))
-
-    lists = save(entries.repartition("token").sortWithinPartitions("token", "pos", "doc_id").mapInArrow(run, "token long, doc_id long, n long, pos long, block long"), "lists")
-    met = lists.groupBy("doc_id").agg(F.count("*").alias("met"))
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    return lists.join(met, "doc_id").select("token", "doc_id", "n", "pos", "block", (prefix - F.col("met")).cast("long").alias("alone"))
+class _Marks:
+    """Parity marks of some sets, to be compared in pairs."""
 
+    def __init__(self, column: pa.Array):
+        data, offsets = texts(column)
+        self.words, self.at = data.view(U64), offsets[:-1] // 8
+        self.width = np.diff(offsets) // 8
 
-def leading_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb): each entry of a list with one leader of it, the set with the smallest share of shingles of its own that fits in size."""
+    def differ(self, e: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """In how many places the marks of e and f differ, at the width of the shorter one."""
+        out = np.zeros(len(e), np.int64)
+        width = np.minimum(self.width[e], self.width[f])
+        for w in np.unique(width[width > 0]).tolist():
+            some = np.flatnonzero(width == w)
+            out[some] = np.bitwise_count(self._folded(e[some], w) ^ self._folded(f[some], w)).sum(1)
+        return out
 
-    def run(batches):
-        of, leaders = None, []  # the list read last and its leaders so far; none fits another, so they are few
-        for batch in batches:
-            c = _columns([batch], ["token", "doc_id", "n"])
-            got = []
-            cut = np.flatnonzero(np.r_[True, c["token"][1:] != c["token"][:-1], True]) if len(c["token"]) else np.zeros(1, np.int64)
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if c["token"][a] != of:
-                    of, leaders = c["token"][a], []
-                left, i = np.arange(a, b), 0
-                while len(left):
-                    if i == len(leaders):
-                        leaders.append((int(c["doc_id"][left[0]]), int(c["n"][left[0]])))
-                        left = left[1:]
-                    to, m = leaders[i]
-                    n = c["n"][left]
-                    fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-                    mine = left[fits]
-                    got.append((c["doc_id"][mine], np.full(len(mine), to), c["n"][mine], np.full(len(mine), m)))
-                    left, i = left[~fits], i + 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*got, strict=True)] if got else [pa.array([], pa.int64())] * 4, names=["a", "b", "na", "nb"])
-
-    ordered = lists.repartition("token").sortWithinPartitions("token", F.col("alone") / F.col("n"), "doc_id")
-    return ordered.mapInArrow(run, "a long, b long, na long, nb long").where("a <> b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-
-
-def block_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(token, x, y): pairs of blocks, x <= y, of the lists with more than one that no bound of theirs excludes."""
-    bounds = lists.groupBy("token", "block").agg(*(f(k).alias(f"{to}_{k}") for k in ("n", "pos", "component") for f, to in ((F.min, "low"), (F.max, "high"))))
-    l, r = (bounds.select("token", *(F.col(c).alias(f"{side}_{c}") for c in bounds.columns[1:])) for side in "xy")
-    pairs = l.join(r, "token").where("x_block <= y_block")
-    pairs = pairs.where(f"100 * x_high_n >= {percent} * y_low_n and 100 * y_high_n >= {percent} * x_low_n")
-    most = F.least("x_high_pos", "y_high_pos") + F.least(F.col("x_high_n") - F.col("x_low_pos"), F.col("y_high_n") - F.col("y_low_pos"))
-    pairs = pairs.where((100 + percent) * most >= percent * (F.col("x_low_n") + F.col("y_low_n")))
-    pairs = pairs.where("not (x_low_component = x_high_component and y_low_component = y_high_component and x_low_component = y_low_component)")
-    return pairs.select("token", F.col("x_block").alias("x"), F.col("y_block").alias("y"))
+    def _folded(self, e: np.ndarray, w: int) -> np.ndarray:
+        x = self.words[self.at[e][:, None] + np.arange(w)]
+        wide = self.width[e]
+        for k in range(1, int(wide.max()) // w):
+            more = np.flatnonzero(wide > k * w)
+            x[more] ^= self.words[self.at[e[more]][:, None] + k * w + np.arange(w)]
+        return x
 
 
-def skipping_pairs(lists: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb, c): pairs across components that no bound excludes, and in how many lists they met.
+def meeting_pairs(lists: DataFrame, percent: int, inside: bool) -> DataFrame:
+    """(a, b, na, nb, c): pairs of different components that meet in a list and that no bound excludes, and in how many lists.
 
-    `lists` has token, doc_id, n, pos, block, component, and pivot, n_pivot (0: no pivot), extra, missing: what the set has
-    beyond its pivot and lacks of it, as counts by bucket. Blocks of a list by position are skipped when, for all
-    their entries, sizes differ too much, positions leave too few common shingles, or all are in one component.
-    Pairs with one pivot are skipped when pivot and differences leave too few common shingles; a set and its
-    pivot have been compared before. Lists of more blocks than one are in `cut`, with the same columns, and are
-    dealt by pairs of blocks, those that their bounds leave, so that a task holds two blocks of a list at most.
+    `lists` has token, chunk, doc_id, n, size, pos, component, family and mark. `size` counts what is indexed
+    of a set, `pos` is the place of the token in it. inside: pairs of one family, in lists of changes; else pairs of
+    different families, in lists of shingles. Lists in chunks (from 1 on) are dealt by pairs of chunks, those
+    that their bounds leave, so that a task holds two chunks of a list at most.
     """
-    chosen = block_pairs(cut, percent)
-    sides = chosen.select("token", "x", "y", F.col("x").alias("block")).unionByName(chosen.where("x < y").select("token", "x", "y", F.col("y").alias("block")))
-    light = lists.withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
-    names = ["token", "x", "y", "block", "doc_id", "n", "pos", "component", "pivot", "n_pivot", "extra", "missing"]
-    dealt = light.select(names).unionByName(cut.join(sides, ["token", "block"]).select(names)).repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    cut = lists.where("chunk > 0")
+    chosen = block_pairs(cut, percent, inside)
+    sides = chosen.select("token", "x", "y", F.col("x").alias("chunk")).unionByName(chosen.where("x < y").select("token", "x", "y", F.col("y").alias("chunk")))
+    zero = F.lit(0).cast("int")
+    names = ["token", "x", "y", "chunk", "doc_id", "n", "size", "pos", "component", "family", "mark"]
+    dealt = lists.where("chunk = 0").withColumns({"x": zero, "y": zero}).select(names).unionByName(cut.join(sides, ["token", "chunk"]).select(names)).repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
 
     def run(batches):
         for whole in _whole(batches, 3):
             yield from pairs_of(whole)
 
     def pairs_of(table):
-        c = {k: table.column(k).to_numpy() for k in ("token", "x", "y", "block", "doc_id", "n", "pos", "component", "pivot", "n_pivot")}
-        order = np.lexsort((c["doc_id"], c["pos"], c["block"], c["y"], c["x"], c["token"]))
+        c = {k: table.column(k).to_numpy() for k in names[:-1]}
+        order = np.lexsort((c["doc_id"], c["pos"], c["size"], c["chunk"], c["y"], c["x"], c["token"]))
+        marks = _Marks(table.column("mark").combine_chunks().take(pa.array(order)))
         c = {k: v[order] for k, v in c.items()}
-        extra, missing = (texts(table.column(k))[0].view(np.uint16).reshape(-1, _BUCKETS)[order] for k in ("extra", "missing"))
-        group = np.cumsum(np.r_[False, (c["token"][1:] != c["token"][:-1]) | (c["x"][1:] != c["x"][:-1]) | (c["y"][1:] != c["y"][:-1])])
-        lost, has = missing.sum(1, dtype=np.int64), c["n_pivot"] > 0
+        c["rest"] = c["size"] - c["pos"]
+        new = np.ones(len(order) + 1, bool)
+        new[1:-1] = (c["token"][1:] != c["token"][:-1]) | (c["x"][1:] != c["x"][:-1]) | (c["y"][1:] != c["y"][:-1])
+        cuts = np.flatnonzero(new)
         out: list[tuple[np.ndarray, ...]] = []
         held = 0
 
         def batch_of():
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out]) if out else np.empty(0, np.int64), pa.int64()) for i in range(4)], names=["a", "b", "na", "nb"])
 
-        for a, b in _lists(group):
-            if (c["component"][a:b] == c["component"][a]).all():
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a < 2 or (c["component"][a:b] == c["component"][a]).all() or not inside and (c["family"][a:b] == c["family"][a]).all():
                 continue
-            middle = a + int(np.searchsorted(c["block"][a:b], c["y"][a])) if c["x"][a] < c["y"][a] else a
+            middle = a + int(np.searchsorted(c["chunk"][a:b], c["y"][a])) if c["x"][a] < c["y"][a] else a
             blocks = [(i, min(i + _BLOCK, q)) for p, q in ((a, middle), (middle, b)) for i in range(p, q, _BLOCK)]
-            low = {k: [c[k][i:j].min() for i, j in blocks] for k in ("n", "pos", "component")}
-            high = {k: [c[k][i:j].max() for i, j in blocks] for k in ("n", "pos", "component")}
+            low = {k: [c[k][i:j].min() for i, j in blocks] for k in ("n", "size", "component", "family")}
+            high = {k: [c[k][i:j].max() for i, j in blocks] for k in ("n", "pos", "rest", "component", "family")}
             for x, (i, j) in enumerate(blocks):
                 for y in range(x, len(blocks)):
                     if middle > a and not i < middle <= blocks[y][0]:
                         continue
                     if 100 * high["n"][x] < percent * low["n"][y] or 100 * high["n"][y] < percent * low["n"][x]:
                         continue
-                    most = min(high["pos"][x], high["pos"][y]) + min(high["n"][x] - low["pos"][x], high["n"][y] - low["pos"][y])
-                    if (100 + percent) * most < percent * (low["n"][x] + low["n"][y]):
+                    most = min(high["rest"][x], high["rest"][y]) + (0 if inside else min(high["pos"][x], high["pos"][y]))
+                    if (100 + percent) * (2 * most - low["size"][x] - low["size"][y]) < -(100 - percent) * (high["n"][x] + high["n"][y]):
                         continue
-                    if low["component"][x] == high["component"][x] == low["component"][y] == high["component"][y]:
+                    if any(low[k][x] == high[k][x] == low[k][y] == high[k][y] for k in (("component",) if inside else ("component", "family"))):
                         continue
                     p, q = blocks[y]
                     l, r = slice(i, j), slice(p, q)
-                    n1, n2, p1, p2 = c["n"][l, None], c["n"][None, r], c["pos"][l, None], c["pos"][None, r]
-                    ok = (c["component"][l, None] != c["component"][None, r]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
-                    ok &= (100 + percent) * (np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2)) >= percent * (n1 + n2)
-                    ok &= ~(has[l, None] & (c["pivot"][l, None] == c["doc_id"][None, r])) & ~(has[None, r] & (c["doc_id"][l, None] == c["pivot"][None, r]))
+                    n1, n2 = c["n"][l, None], c["n"][None, r]
+                    most = np.minimum(c["rest"][l, None], c["rest"][None, r])
+                    if not inside:
+                        most = most + np.minimum(c["pos"][l, None], c["pos"][None, r])
+                    ok = (c["component"][l, None] != c["component"][None, r]) & ((c["family"][l, None] == c["family"][None, r]) == inside) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
+                    ok &= (100 + percent) * (2 * most - c["size"][l, None] - c["size"][None, r]) >= -(100 - percent) * (n1 + n2)
                     if x == y:
                         ok = np.triu(ok, 1)
                     u, v = np.nonzero(ok)
                     u, v = u + i, v + p
-                    for at in range(0, len(u), 20_000):
-                        e, f = u[at : at + 20_000], v[at : at + 20_000]
-                        common = c["n_pivot"][e] - lost[e] - lost[f] + np.minimum(missing[e], missing[f]).sum(1, dtype=np.int64) + np.minimum(extra[e], extra[f]).sum(1, dtype=np.int64)
-                        fine = ~has[e] | ~has[f] | (c["pivot"][e] != c["pivot"][f]) | ((100 + percent) * common >= percent * (c["n"][e] + c["n"][f]))
+                    for at in range(0, len(u), 10_000):
+                        e, f = u[at : at + 10_000], v[at : at + 10_000]
+                        fine = (100 + percent) * marks.differ(e, f) <= (100 - percent) * (c["n"][e] + c["n"][f])
                         e, f = e[fine], f[fine]
                         first = c["doc_id"][e] < c["doc_id"][f]
                         e, f = np.where(first, e, f), np.where(first, f, e)
@@ -289,7 +367,7 @@ def skipping_pairs(lists: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
 
 
-def _enough(na: str, nb: str, c: str, percent: int):
+def _enough(na: str, nb: str, c: str, percent: int) -> Column:
     """Whether sets of these sizes that share c prefix shingles can still link.
 
     Common shingles outside both prefixes lie behind the end of one of them.
@@ -298,41 +376,12 @@ def _enough(na: str, nb: str, c: str, percent: int):
     return (100 + percent) * (F.col(c) + behind) >= percent * (F.col(na) + F.col(nb))
 
 
-def _spread(shingles: np.ndarray) -> bytes | None:
-    """Counts by bucket; None where one does not fit."""
-    count = np.bincount((mix(shingles) % U64(_BUCKETS)).astype(np.int64), minlength=_BUCKETS)
-    return count.astype(np.uint16).tobytes() if count.max() < 1 << 16 else None
-
-
-def verified(pairs: DataFrame, wanted: DataFrame, n: int, group_rows: int = 2000) -> DataFrame:
-    """(a, b, common, na, nb, extra, missing): exact set sizes of pairs (a, b), from the whole texts in wanted(doc_id, text).
-
-    extra and missing count, by bucket, what a has beyond b and lacks of it. Partners of one set b are compared
-    with it where its text arrives once for every `group_rows` of them.
-    """
-    part = F.when(F.col("m") <= group_rows, F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / group_rows))).cast("int")
-    counted = pairs.select("a", "b").join(pairs.groupBy("b").agg(F.count("*").alias("m")), "b").select("a", "b", part.alias("part"))
-    left = wanted.select(F.col("doc_id").alias("a"), "text").join(counted.hint("merge"), "a").select("b", "part", "a", "text")
-    right = wanted.select(F.col("doc_id").alias("b"), "text").join(counted.select("b", "part").distinct().hint("merge"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
-
-    def run(batches):
-        key, mine = None, []
-        for batch in batches:
-            b, part, a = (batch.column(i).to_pylist() for i in range(3))
-            rows = []
-            for i, s in enumerate(_sets(batch.column(3), n)):
-                if (b[i], part[i]) != key:
-                    key, mine = (b[i], part[i]), []
-                if a[i] is None:
-                    mine.append(s)
-                    continue
-                for o in mine:
-                    rows.append((a[i], b[i], len(np.intersect1d(s, o, assume_unique=True)), len(s), len(o), _spread(np.setdiff1d(s, o, True)), _spread(np.setdiff1d(o, s, True))))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i < 5 else pa.binary()) for i, x in enumerate(cols)], names=["a", "b", "common", "na", "nb", "extra", "missing"])
-
-    both = left.unionByName(right).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-    return both.mapInArrow(run, "a long, b long, common long, na long, nb long, extra binary, missing binary")
+def linked_by_changes(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(src, dst) of the pairs of one family that link: both sets differ where one of them changes the pivot and the other doesn't."""
+    l, r = (members.select(F.col("doc_id").alias(x), F.col("change").alias(f"{x}_change")) for x in "ab")
+    both = pairs.join(l, "a").join(r, "b")
+    differ = F.size("a_change") + F.size("b_change") - 2 * F.size(F.array_intersect("a_change", "b_change"))
+    return both.where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def ngram_jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, share: float = 0.0002, limit: int = 200_000, cut: int = 4096) -> DataFrame:
@@ -344,42 +393,56 @@ def ngram_jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text
     rows with one id each gets a row; the id links if any of its texts does. A row with a null id keeps its
     count and gets a null component. Other columns are ignored; an empty table gives no rows.
     `share` and `limit` bound the list of frequent shingles that is broadcast (see frequent_shingles);
-    `cut` is the number of entries of a list from which it is dealt in blocks of that many.
+    `cut` is the number of entries of a list from which it is dealt out in chunks of about that many.
     """
     scratch = Scratch(docs.sparkSession)
     save = scratch.saved
-    sets = save(shingle_sets(docs, id, text, n, percent, frequent_shingles(docs, text, n, share, limit)), "sets")
+    try:
+        return saved(_classes(docs, id, text, n, percent, share, limit, cut, save), "components")
+    finally:
+        scratch.close()
+
+
+def _classes(docs: DataFrame, id: str, text: str, n: int, percent: int, share: float, limit: int, cut: int, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    sets = save(shingle_sets(docs, id, text, n, percent, frequent_shingles(docs, text, n, share, limit), cut), "sets")
     known = sets.where("n_shingles > 0 and doc_id is not null")
-    copies = known.groupBy("n_shingles", "sig1", "sig2").agg(F.min("doc_id").alias("first"))
-    copies = save(copies, "classes")
+    copies = save(known.groupBy("n_shingles", "sig1", "sig2").agg(F.min("doc_id").alias("first")), "copies")
     firsts = known.join(copies.select(F.col("first").alias("doc_id"), "n_shingles", "sig1", "sig2").hint("merge"), ["doc_id", "n_shingles", "sig1", "sig2"], "left_semi")
-    entries = firsts.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
-    lists = save(index_lists(entries, percent, save, cut), "lists")
+    entries = firsts.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode(F.arrays_zip("prefix", "chunk")).alias("pos", "x")).select(F.col("x.prefix").alias("token"), F.col("x.chunk").alias("chunk"), "doc_id", "n", F.col("pos").cast("long").alias("pos"))
+    lists = save(index_lists(entries), "lists")
     wanted = save(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(lists.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "wanted")
 
     linked = (100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb"))
-    best = leading_pairs(lists, percent).groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
-    first_round = save(verified(save(best, "pairs"), wanted, n), "links")
-    exact = first_round.where(linked).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    parts = star_contraction(exact, save=save)
-
-    none = F.unhex(F.lit("0000" * _BUCKETS))
-    seen = first_round.groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("k"), *(F.any_value(c).alias(to) for c, to in (("b", "pivot"), ("nb", "n_pivot"), ("extra", "extra"), ("missing", "missing"))))
-    seen = seen.where("k = 1 and extra is not null and missing is not null").drop("k")
-    heads = seen.groupBy(F.col("pivot").alias("doc_id")).agg(F.max("n_pivot").alias("n_pivot")).join(seen, "doc_id", "left_anti")
-    pivots = seen.unionByName(heads.select("doc_id", F.col("doc_id").alias("pivot"), "n_pivot", none.alias("extra"), none.alias("missing")))
-
-    def labelled(some: DataFrame) -> DataFrame:
-        known = some.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(pivots, "doc_id", "left")
-        return known.select("token", "doc_id", "n", "pos", "block", F.coalesce("component", "doc_id").alias("component"), F.coalesce("pivot", F.lit(0)).alias("pivot"), F.coalesce("n_pivot", F.lit(0)).alias("n_pivot"), *(F.coalesce(c, none).alias(c) for c in ("extra", "missing")))
-
-    heavy = save(lists.where("block > 0").select("token").distinct(), "heavy")
-    dealt = save(labelled(lists.join(heavy, "token", "left_semi")), "dealt")
-    rest = skipping_pairs(labelled(lists.join(heavy, "token", "left_anti")), dealt, percent).where(_enough("na", "nb", "c", percent))
-    second_round = save(verified(save(rest.select("a", "b"), "pairs"), wanted, n).where(linked), "links")
-    edges = exact.unionByName(second_round.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    first = save(verified(leading_pairs(lists, percent), wanted, n, save, near=50), "compared")
+    # an id with several texts is in no family
+    mixed_ids = known.select("doc_id", "n_shingles", "sig1", "sig2").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
+    close = first.where("change is not null")
+    for end in "ab":
+        close = close.join(mixed_ids.withColumnRenamed("doc_id", end).hint("merge"), end, "left_anti")
+    close = save(close.select("a", "b", "common", "na", "nb", "change"), "close")
+    members = save(families(close, save), "families")
+    apart = members.where("size > 2 and doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+    second = save(verified(apart.join(close.select("a", "b"), ["a", "b"], "left_anti"), wanted, n, save, near=0), "compared")
+    ends = [F.col("a").alias("src"), F.col("b").alias("dst")]
+    exact = first.where(linked).select(*ends).unionByName(second.where(linked).select(*ends))
+    parts = star_contraction(exact, save=save).select(F.col("node").alias("doc_id"), "component")
+
+    # pairs of one family: by what they change of its pivot
+    placed = members.join(parts, "doc_id", "left").select("doc_id", "family", "pivot", "size", F.coalesce("component", "doc_id").alias("component"))
+    mixed = placed.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("family")
+    changes = close.unionByName(second).join(apart, ["a", "b"]).select(F.col("a").alias("doc_id"), F.col("na").alias("n"), "change")
+    open_ = save(changes.dropDuplicates(["doc_id"]).join(placed.join(mixed, "family", "left_semi"), "doc_id").select("doc_id", "n", "component", "family", "change"), "changes")
+    by_change = meeting_pairs(change_lists(open_, percent, cut).withColumn("mark", F.lit(None).cast("binary")), percent, inside=True)
+    inner = linked_by_changes(by_change, open_, percent)
+
+    # pairs of different families, or of none: by their shingles
+    labelled = lists.join(placed.select("doc_id", "component", "family"), "doc_id", "left").select("token", "chunk", "doc_id", "n", F.col("n").alias("size"), "pos", *(F.coalesce(c, "doc_id").alias(c) for c in ("component", "family")))
+    labelled = save(labelled, "labelled")
+    several = labelled.groupBy("token").agg(*(f(c).alias(f"{to}_{c}") for c in ("component", "family") for f, to in ((F.min, "low"), (F.max, "high")))).where("low_component <> high_component and low_family <> high_family").select("token")
+    marked = labelled.join(several.hint("merge"), "token", "left_semi").join(known.select("doc_id", F.col("n_shingles").alias("n"), "mark").hint("merge"), ["doc_id", "n"])
+    across = meeting_pairs(marked, percent, inside=False).where(_enough("na", "nb", "c", percent))
+    outer = verified(across, wanted, n, save).where(linked).select(*ends)
+
     same_id = known.join(copies, ["n_shingles", "sig1", "sig2"]).where("doc_id <> first").select(F.col("first").alias("src"), F.col("doc_id").alias("dst"))
-    classes = star_contraction(edges.unionByName(same_id), save=save).withColumnRenamed("node", "doc_id")
-    result = saved(sets.select("doc_id", "n_shingles").join(classes, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "components")
-    scratch.close()
-    return result
+    classes = star_contraction(exact.unionByName(inner).unionByName(outer).unionByName(same_id), save=save).withColumnRenamed("node", "doc_id")
+    return sets.select("doc_id", "n_shingles").join(classes, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -2,7 +2,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from curalume.llm.ngram_join import block_pairs, ngram_jaccard_classes
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from curalume.llm.ngram_join import _Marks, block_pairs, ngram_jaccard_classes, parity_mark
 
 SCHEMA = "doc_id long, text string, component_id string"
 
@@ -78,15 +82,66 @@ def test_null_and_repeated_ids_and_empty_table(frame):
     assert ngram_jaccard_classes(frame([], SCHEMA)).count() == 0
 
 
-def test_lists_cut_into_blocks_match_brute_force(frame):
+def test_lists_dealt_in_chunks_match_brute_force(frame):
     rows = families(3)
     found = ngram_jaccard_classes(frame([(*x, "clash") for x in rows], SCHEMA), cut=8).collect()
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == brute(rows, 4, 85)
 
 
-def test_pairs_of_blocks_by_their_bounds(frame):
-    # blocks 0 and 1 are of one component, 2 has another, 3 is far from all in size
-    rows = [(9, b, d, n, p, c) for b, n, c in [(0, 100, 1), (1, 100, 1), (2, 100, 2), (3, 900, 3)] for p, d in [(b, 10 * b), (b, 10 * b + 1)]]
-    rows += [(9, 3, 39, 900, 3, 4)]
-    found = block_pairs(frame(rows, "token long, block long, doc_id long, n long, pos long, component long"), 85)
-    assert sorted((r.x, r.y) for r in found.collect()) == [(0, 2), (1, 2), (3, 3)]
+def two_families(seed, copies=50, words=150):
+    """Two families whose bases share about three in four shingles, with copies between them, so that pairs of both are near the bound."""
+    r = random.Random(seed)
+    first = [f"w{r.randrange(300)}" for _ in range(words)]
+    second = [*first[:-20], *(f"v{i}" for i in range(20))]
+    rows, d = [], 0
+    for _ in range(copies):
+        for base in (first, second, [*first[:-10], *second[-10:]]):
+            w = list(base)
+            for _ in range(r.randrange(0, 7)):
+                w[r.randrange(len(w))] = r.choice([f"x{r.randrange(10**6)}", "edit", "other"])
+            for _ in range(r.randrange(0, 3)):
+                a = r.randrange(len(w) - 8)
+                del w[a : a + r.randrange(1, 8)]
+            rows.append((d, " ".join(w)))
+            d += 1
+    return rows
+
+
+@pytest.mark.parametrize("n, percent, cut", [(4, 85, 4096), (5, 80, 16), (3, 90, 4096)])
+def test_near_families_match_brute_force(frame, n, percent, cut):
+    rows = two_families(n)
+    found = ngram_jaccard_classes(frame([(*x, "clash") for x in rows], SCHEMA), n=n, percent=percent, cut=cut).collect()
+    expected = brute(rows, n, percent)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == expected
+    assert len({c for _, c in expected.values()}) > 3
+
+
+def test_an_id_with_several_texts_links_by_any(frame):
+    rows = families(4, copies=20)
+    more = [(5_000_000, rows[0][1]), (5_000_000, rows[1][1]), (5_000_000, "quite another text of its own")]
+    found = {}
+    for x in ngram_jaccard_classes(frame([(*x, "") for x in rows + more], SCHEMA)).collect():
+        found.setdefault(x.doc_id, set()).add(x.component_id)
+    parent = {d: c for d, (_, c) in brute(rows, 4, 85).items()}
+    joined = {parent[rows[0][0]], parent[rows[1][0]]}
+    expected = {d: {min(joined) if c in joined else c} for d, c in parent.items()}
+    assert found == expected | {5_000_000: {min(joined)}}
+
+
+def test_pairs_of_chunks_by_their_bounds(frame):
+    # chunks 1 and 2 are of one component, 3 has another, 4 is far from all in size
+    rows = [(9, b, d, n, n, p, c, d) for b, n, c in [(1, 100, 1), (2, 100, 1), (3, 100, 2), (4, 900, 3)] for p, d in [(b, 10 * b), (b, 10 * b + 1)]]
+    rows += [(9, 4, 39, 900, 900, 3, 4, 39)]
+    found = block_pairs(frame(rows, "token long, chunk int, doc_id long, n long, size long, pos long, component long, family long"), 85, False)
+    assert sorted((r.x, r.y) for r in found.collect()) == [(1, 3), (2, 3), (4, 4)]
+
+
+def test_parity_marks_differ_no_more_than_the_sets():
+    r = np.random.default_rng(1)
+    base = r.integers(0, 2**63, 3000, dtype=np.uint64)
+    sets = [base[: r.integers(100, 3000)] for _ in range(30)] + [np.union1d(base[:900], r.integers(0, 2**63, 90, dtype=np.uint64)), base[:0]]
+    marks = _Marks(pa.array([parity_mark(s) for s in sets]))
+    e, f = (x.ravel() for x in np.meshgrid(range(len(sets)), range(len(sets))))
+    for i, j, d in zip(e, f, marks.differ(e, f)):
+        assert d <= len(np.setxor1d(sets[i], sets[j])) and (d == 0 or i != j)
+    assert marks.differ(np.array([0]), np.array([31])).sum() > 0
