@@ -7,12 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What a status link is, which keywords announce, which files are images or videos.
+# What a status link is, which files are images or videos.
 STATUS_LINK = r"https?://(?:twitter\.com|x\.com)/(\w+)/status/\d+"
-ANNOUNCEMENT_KEYWORDS = (
-    "announce", "announcement", "announcing", "release", "released", "releasing", "drop", "dropping", "drops", "launch", "launching", "launched",
-    "available now", "out now", "live now", "coming soon", "pre-order", "preorder", "breaking", "update", "giveaway", "free", "limited", "exclusive",
-)
 VIDEO_EXTENSIONS = (".mov", ".mp4", ".m4v", ".avi", ".mkv", ".webm")
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "heic", "heif", "tiff", "tif", "webp")
 
@@ -34,7 +30,7 @@ def any_of(conditions: Sequence[Column]) -> Column:
     return out
 
 
-def is_announcement(text: Column | str, keywords: Sequence[str] = ANNOUNCEMENT_KEYWORDS) -> Column:
+def is_announcement(text: Column | str, keywords: Sequence[str]) -> Column:
     """Substring of the lower-cased text; keywords are taken as they are, so one with capitals never matches."""
     lowered = F.lower(F.coalesce(_c(text), F.lit("")))
     return any_of([lowered.contains(F.lit(k)) for k in keywords])

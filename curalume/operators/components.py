@@ -24,8 +24,8 @@ def star_contraction(edges: DataFrame, src: str = "src", dst: str = "dst", max_r
     """
     e = save(edges.select(*_larger_first(F.col(src), F.col(dst))).where("u <> v").distinct(), "edges")
     for _ in range(max_rounds):
-        state = e.agg(F.count("u").alias("n"), F.countDistinct("u").alias("d")).first()
-        if state.n == state.d and not e.join(e.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+        if ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or out = 1 and in = 1").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

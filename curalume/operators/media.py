@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 MEAN, STD = np.array([0.485, 0.456, 0.406]), np.array([0.229, 0.224, 0.225])
 
 
+def _fits(width: int | None, height: int | None, rgb: bytes | None) -> bool:
+    return bool(width and height and rgb) and len(rgb) == width * height * 3
+
+
 def _pixels(rgb: bytes, width: int, height: int) -> np.ndarray:
     return np.frombuffer(rgb, np.uint8).reshape(height, width, 3)
 
@@ -38,15 +42,16 @@ def colour_grid(batch: np.ndarray) -> np.ndarray:
 
 
 def extract_features(images: DataFrame, predict_fn: Callable[[np.ndarray], np.ndarray] = colour_grid, size: int = 32, batch_size: int = 32) -> DataFrame:
-    """(path, features): predict_fn on batches of normalised pixels (rows, size, size, 3)."""
+    """(path, features): predict_fn on batches of normalised pixels (rows, size, size, 3). Images whose pixels do not fit their size are left out."""
 
     def run(batches):
         for batch in batches:
-            path, width, height, rgb = (c.to_pylist() for c in batch.columns)
+            rows = [r for r in zip(*(c.to_pylist() for c in batch.columns), strict=True) if _fits(*r[1:])]
+            path, width, height, rgb = zip(*rows, strict=True) if rows else [()] * 4
             for i in range(0, len(path), batch_size):
                 s = slice(i, i + batch_size)
                 x = np.stack([(resized(_pixels(d, w, h), size) / 255 - MEAN) / STD for d, w, h in zip(rgb[s], width[s], height[s], strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(path[s]), pa.array(predict_fn(x).astype(np.float32).tolist(), pa.list_(pa.float32()))], names=["path", "features"])
+                yield pa.RecordBatch.from_arrays([pa.array(path[s], pa.string()), pa.array(predict_fn(x).astype(np.float32).tolist(), pa.list_(pa.float32()))], names=["path", "features"])
 
     return images.select("path", "width", "height", "rgb").mapInArrow(run, "path string, features array<float>")
 
@@ -71,7 +76,7 @@ def phash(images: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for width, height, rgb in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                out.append(phash_of(_pixels(rgb, width, height)) if rgb is not None and len(rgb) == width * height * 3 else None)
+                out.append(phash_of(_pixels(rgb, width, height)) if _fits(width, height, rgb) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["path", "phash"])
 
     return images.select("path", "width", "height", "rgb").mapInArrow(run, "path string, phash string")

@@ -42,11 +42,11 @@ def library_summary(photos: DataFrame) -> DataFrame:
 
 
 def favorite_period_crosstab(photos: DataFrame, cutoff: Column) -> DataFrame:
-    """Favourites and others before and from `cutoff` on, and both together; photos without a date are left out."""
+    """Favourites and others before and from `cutoff` on, and both together; photos without a date are left out, and an unknown favourite is other."""
     dated = photos.where("date is not null").select("favorite", (F.col("date") < cutoff).alias("before"))
     return (
-        dated.rollup("favorite").agg(F.count_if("before").alias("before_cutoff"), F.count_if(~F.col("before")).alias("from_cutoff"))
-        .select(F.when(F.col("favorite").isNull(), "total").when(F.col("favorite"), "favorite").otherwise("other").alias("kind"), "before_cutoff", "from_cutoff")
+        dated.rollup("favorite").agg(F.grouping("favorite").alias("_all"), F.count_if("before").alias("before_cutoff"), F.count_if(~F.col("before")).alias("from_cutoff"))
+        .select(F.when(F.col("_all") == 1, "total").when(F.col("favorite"), "favorite").otherwise("other").alias("kind"), "before_cutoff", "from_cutoff")
     )
 
 

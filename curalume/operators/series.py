@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from curalume.functions.vectors import abs_seconds, cosine, hamming, norm
 from curalume.operators.components import star_contraction
+from curalume.plans.tables import saved
 
 
 @dataclass(frozen=True)
@@ -24,15 +25,16 @@ class SeriesRules:
 def with_global_rank(photos: DataFrame, rank: str = "rank") -> DataFrame:
     """photos with their position from 0 by date (null first) and uuid.
 
-    Days are counted and summed up on the small table of days; within a day rows are numbered where they are, so
-    no task sees more than a day.
+    Rows are dealt out by ranges of (date, uuid), so that photos without a date and those of one instant are split
+    too; a row's place in its partition and the sizes of the partitions before it give its position. The
+    sorted table is written once, as both are read from it.
     """
-    day = F.coalesce(F.datediff(F.to_date("date"), F.lit("1970-01-01").cast("date")), F.lit(-(1 << 30)))
-    dated = photos.withColumn("_day", day)
-    days = dated.groupBy("_day").agg(F.count("*").alias("_n"))
-    before = days.select("_day", F.coalesce(F.sum("_n").over(W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_day").orderBy(F.asc_nulls_first("date"), "uuid")) - 1
-    return dated.withColumn("_in", inside).join(before, "_day").withColumn(rank, F.col("_before") + F.col("_in")).drop("_day", "_in", "_before")
+    place = F.monotonically_increasing_id()  # the partition's number above 33 bits of the row's place in it
+    ordered = saved(photos.repartitionByRange(F.asc_nulls_first("date"), "uuid").sortWithinPartitions(F.asc_nulls_first("date"), "uuid").withColumn("_at", place), "ranked")
+    part = F.shiftright("_at", 33)
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
+    return ordered.withColumn("_part", part).join(before, "_part").withColumn(rank, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_at", "_before")
 
 
 def are_related(a: str, b: str, rules: SeriesRules, features: bool, phash: bool) -> Column:
@@ -47,34 +49,65 @@ def are_related(a: str, b: str, rules: SeriesRules, features: bool, phash: bool)
     return ~F.coalesce(dated & (apart > rules.seconds), F.lit(False)) & (alike | F.coalesce(dated & (apart <= rules.close_seconds), F.lit(False)))
 
 
-def series_pairs(photos: DataFrame, rules: SeriesRules = SeriesRules()) -> DataFrame:
-    """(src, dst): related photos at most `cap` ranks apart, src before dst in rank.
+def _looks(photos: DataFrame) -> tuple[bool, bool]:
+    return "features" in photos.columns, "phash" in photos.columns
+
+
+def ranked_photos(photos: DataFrame) -> DataFrame:
+    """What of a photo decides its series, with its rank: uuid, date, and features with their norm and phash where the table has them."""
+    features, phash = _looks(photos)
+    ranked = with_global_rank(photos.select("uuid", "date", *(["features"] if features else []), *(["phash"] if phash else [])))
+    return ranked.withColumn("_norm", norm("features")) if features else ranked
+
+
+def rank_pairs(ranked: DataFrame, rules: SeriesRules = SeriesRules()) -> DataFrame:
+    """(u, v): ranks of related photos, u before v and at most `cap` apart.
 
-    Dated photos meet in time buckets of the window's width, so the join is one on equal keys whatever the
-    window. Photos without a date have no time to test: they meet by rank buckets of the cap's width, and they
-    come first in rank, so only the first ranks behind them take part. Needs uuid and date; features and phash
-    count where the table has them.
+    Photos meet in buckets of `cap` ranks, each with its own and the one before: so a photo meets at most twice
+    `cap` others, however many share an instant. Photos with a date also meet in buckets of the window's width only.
     """
-    features, phash = "features" in photos.columns, "phash" in photos.columns
-    kept = ["uuid", "date", *(["features"] if features else []), *(["phash"] if phash else [])]
-    ranked = with_global_rank(photos.select(*kept))
-    if features:
-        ranked = ranked.withColumn("_norm", norm("features"))
+    features, phash = _looks(ranked)
     row = F.struct(*ranked.columns)
-    width = int(rules.seconds * 1_000_000)
-
-    def joined(rows: DataFrame, bucket: Column, near: Column) -> DataFrame:
-        left = rows.select(row.alias("a"), bucket.alias("k"))
-        right = rows.select(row.alias("b"), F.explode(F.array(bucket, bucket - 1)).alias("k"))
+    near = F.floor(F.col("rank") / rules.cap).cast("long")
+    when = F.floor(F.unix_micros("date") / max(1, int(rules.seconds * 1_000_000))).cast("long")
+
+    def joined(rows: DataFrame, time: bool, front: Column) -> DataFrame:
+        left = rows.where(front).select(row.alias("a"), near.alias("k"), *([when.alias("t")] if time else []))
+        right = rows.select(row.alias("b"), F.explode(F.array(near, near - 1)).alias("k"), *([when.alias("_t")] if time else []))
+        if time:
+            right = right.select("b", "k", F.explode(F.array("_t", F.col("_t") - 1)).alias("t"))
+        pairs = left.join(right, ["k", "t"] if time else ["k"])
         ahead = (F.col("b.rank") - F.col("a.rank")).between(1, rules.cap)
-        return left.join(right, "k").where(ahead & near & are_related("a", "b", rules, features, phash)).select(F.col("a.uuid").alias("src"), F.col("b.uuid").alias("dst"))
+        new = F.col("a.run") != F.col("b.run") if "run" in ranked.columns else F.lit(True)
+        return pairs.where(ahead & new & are_related("a", "b", rules, features, phash))
+
+    found = joined(ranked.where("date is not null"), True, F.lit(True))
+    if features or phash:  # photos without a date come first; the first ones with a date are near the last of them
+        found = found.select("a", "b").unionByName(joined(ranked, False, F.col("date").isNull()).select("a", "b"))
+    return found.select(*(F.col(f"{x}.{c}").alias(to) for x, c, to in [("a", "rank", "u"), ("b", "rank", "v"), ("a", "uuid", "src"), ("b", "uuid", "dst"), *([("a", "run", "u_run"), ("b", "run", "v_run")] if "run" in ranked.columns else [])]))
+
 
-    dated = joined(ranked.where("date is not null"), F.floor(F.unix_micros("date") / max(1, width)).cast("long"), F.col("a.date").isNotNull())
-    if not (features or phash):
-        return dated
-    undated = ranked.where("date is null")
-    front = ranked.join(F.broadcast(undated.agg(F.count("*").alias("_undated"))), F.col("rank") < F.col("_undated") + rules.cap).drop("_undated")
-    return dated.unionByName(joined(front.select(*ranked.columns), F.floor(F.col("rank") / rules.cap).cast("long"), F.col("a.date").isNull()))
+def series_pairs(photos: DataFrame, rules: SeriesRules = SeriesRules()) -> DataFrame:
+    """(src, dst): related photos at most `cap` ranks apart, src before dst in rank. Needs uuid and date; features and phash count where the table has them."""
+    return rank_pairs(ranked_photos(photos), rules).select("src", "dst")
+
+
+def with_runs(ranked: DataFrame, gap: float, bucket: int = 1 << 17) -> DataFrame:
+    """ranked with run: the least rank of the photos that steps of at most `gap` seconds connect, from one rank to the next; a photo without a date is alone.
+
+    Ranks are taken in buckets, each with the last date and the last start of a run of those before it from a small table.
+    """
+    b = F.floor(F.col("rank") / bucket)
+    order = W.partitionBy("_b").orderBy("rank")
+    rows = ranked.withColumn("_b", b)
+    last = rows.groupBy((F.col("_b") + 1).alias("_b")).agg(F.max_by("date", "rank").alias("_last"))
+    before = F.when(F.row_number().over(order) == 1, F.col("_last")).otherwise(F.lag("date").over(order))
+    apart = F.coalesce(F.unix_micros("date") - F.unix_micros("_before") > int(gap * 1_000_000), F.lit(True))
+    starts = rows.join(last, "_b", "left").withColumn("_before", before).withColumn("_start", F.when(apart, F.col("rank")))
+    open_ = starts.groupBy("_b").agg(F.max("_start").alias("_latest"))
+    carried = open_.select("_b", F.max("_latest").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
+    run = F.coalesce(F.max("_start").over(order.rowsBetween(W.unboundedPreceding, 0)), "_carried")
+    return starts.join(carried, "_b").withColumn("run", run).drop("_b", "_last", "_before", "_start", "_carried")
 
 
 def close_time_runs(photos: DataFrame, gap: int = 5) -> DataFrame:
@@ -94,6 +127,19 @@ def connected_components(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
     return number.join(found, "rank", "left").select("uuid", "rank", F.coalesce("component", "rank").alias("component"))
 
 
+def series_components(photos: DataFrame, rules: SeriesRules = SeriesRules()) -> DataFrame:
+    """(uuid, rank, component) as connected_components of series_pairs.
+
+    Photos a few seconds apart belong together whatever they look like, so runs of them need no pairs; only runs
+    that photos alike in look connect are joined as a graph, and without looks there is none.
+    """
+    runs = saved(with_runs(ranked_photos(photos), min(rules.close_seconds, rules.seconds)), "runs")
+    if not any(_looks(photos)):
+        return runs.select("uuid", "rank", F.col("run").alias("component"))
+    found = star_contraction(rank_pairs(runs, rules).select("u_run", "v_run").distinct(), "u_run", "v_run").withColumnRenamed("node", "run")
+    return runs.select("uuid", "rank", "run").join(found, "run", "left").select("uuid", "rank", F.coalesce("component", "run").alias("component"))
+
+
 def series_ids(components: DataFrame, bucket: int = 1 << 20) -> DataFrame:
     """(uuid, series_id): dense ids from 0 in the order of each component's first member.
 
@@ -108,8 +154,7 @@ def series_ids(components: DataFrame, bucket: int = 1 << 20) -> DataFrame:
 
 def detect_series(photos: DataFrame, rules: SeriesRules = SeriesRules()) -> DataFrame:
     """photos with series_id."""
-    ranked = with_global_rank(photos.select("uuid", "date"))
-    return photos.join(series_ids(connected_components(ranked, series_pairs(photos, rules))), "uuid")
+    return photos.join(series_ids(series_components(photos, rules)), "uuid")
 
 
 def with_series_pos(photos: DataFrame) -> DataFrame:

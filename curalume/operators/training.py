@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,11 @@ def distinct_paths(files: DataFrame) -> DataFrame:
     return files.dropDuplicates(["path"])
 
 
+def union_positives(library: DataFrame, rescued: DataFrame) -> DataFrame:
+    """Both lists of paths one after the other; a path in both counts twice."""
+    return library.select("path").unionByName(rescued.select("path"))
+
+
 def union_negatives(folder: DataFrame, feedback: DataFrame) -> DataFrame:
     """Both lists one after the other; a path in both counts twice."""
     return folder.select("path").unionByName(feedback.select("path"))
@@ -73,10 +79,12 @@ def training_counts(rows: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def fit_scaler(rows: DataFrame) -> DataFrame:
-    """One row (mean, std) of feature arrays: population deviation by element, 0 where all are equal; sums are kept by element, never by row."""
-    flat = rows.select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    ordered = F.sort_array(F.collect_list(F.struct("i", "m", "s")))
-    return flat.agg(ordered.alias("v")).select(F.transform("v", lambda e: e["m"]).alias("mean"), F.transform("v", lambda e: e["s"]).alias("std"))
+    """One row (mean, std) of feature arrays: population deviation by element, 0 where all are equal. Each task keeps one summary of vectors; rows without features do not count."""
+    stats = rows.where("features is not null").select(Summarizer.metrics("mean", "variance", "min", "max", "count").summary(array_to_vector(F.col("features").cast("array<double>"))).alias("s"))
+    at = stats.select(F.col("s.count").alias("n"), *(vector_to_array(f"s.{c}").alias(c) for c in ("mean", "variance", "min", "max")))
+    width = F.sequence(F.lit(0), F.size("mean") - 1)
+    deviation = F.transform(width, lambda i: F.when(F.get("min", i) == F.get("max", i), F.lit(0.0)).otherwise(F.sqrt(F.get("variance", i) * (F.col("n") - 1) / F.col("n"))))
+    return at.select("mean", deviation.alias("std"))
 
 
 def scaled(rows: DataFrame, scaler: DataFrame) -> DataFrame:
@@ -150,12 +158,15 @@ def fit_one_class(rows: DataFrame, nu: float = 0.1, rounds: int = 30, max_vector
 
     The dual, weights between 0 and 1 that sum to nu * n, is solved by Frank-Wolfe steps: the nu * n rows of least
     gradient are the step's corner, one kernel pass brings its effect on every row, and two sums give the exact
-    step length. Weights and gradients live in a table. `max_vectors` bounds what a step broadcasts: beyond it
-    the model is fitted on that many rows of least id hash.
+    step length. Weights and gradients live in a table. `max_vectors` bounds what a step broadcasts and
+    the driver gathers for it: beyond it the model is fitted on the rows of least hash of their features. Rows are told
+    apart by that hash and their number among equal ones, so the model does not hang on how they are dealt out.
     """
     most = int(max_vectors / nu)
-    base = rows.select(F.monotonically_increasing_id().alias("id"), F.col("features").cast("array<double>").alias("features"))
-    base = saved(base.orderBy(F.xxhash64("features")).limit(most) if rows.count() > most else base, "rows")
+    hashed = rows.select(F.col("features").cast("array<double>").alias("features")).withColumn("h", F.xxhash64("features"))
+    equal = hashed.groupBy("h").agg(F.any_value("features").alias("features"), F.count("*").alias("k")).select("h", "features", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("i"))
+    base = equal.select(F.xxhash64("h", "i").alias("id"), "h", "i", "features")
+    base = saved((base.orderBy("h", "i").limit(most) if rows.count() > most else base).select("id", "features"), "rows")
     n, width = base.count(), len(base.first().features)
     gamma, total = 1 / width, max(1, int(round(nu * n)))
     start = base.orderBy(F.xxhash64("id"), "id").limit(total)

@@ -11,7 +11,7 @@ from curalume.functions import text as tx
 from curalume.functions.vectors import cosine, fmt, hamming, hours_before, parse_day, pct
 from curalume.operators import digest, feedback, media, messages, photos, review, series, training
 from curalume.plans import standins as s
-from curalume.plans.tables import saved, shared_dir, table
+from curalume.plans.tables import saved, session_dir, table
 from curalume.sources import readers, sinks
 from curalume.streaming import curation
 
@@ -23,7 +23,7 @@ BY_TIME = series.SeriesRules(seconds=300, close_seconds=300)
 BY_LOOK = series.SeriesRules(seconds=900, cosine=0.25, bits=2, close_seconds=5)
 #: The turns of the stand-in messages are two days apart in no order.
 BACKLOG = "10 days"
-RULES = readers.Rules(threshold=0.7, keywords=tx.ANNOUNCEMENT_KEYWORDS + ("tion",), accounts=("Author 3", "author 7"))
+RULES = readers.Rules(threshold=0.7, keywords=(*readers.DEFAULT_KEYWORDS, "tion"), accounts=("Author 3", "author 7"))
 
 
 def cutoff():
@@ -90,7 +90,7 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{session_dir(spark)}/stream-{uuid.uuid4().hex}"
     s.messages(spark, sf_dir).repartitionByRange(3, "message_id").write.parquet(f"{base}/in")
     return readers.stream_messages(spark, f"{base}/in"), base
 
@@ -111,9 +111,8 @@ def dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     live, base = _streamed(spark, sf_dir)
-    name = f"counters_{uuid.uuid4().hex}"
-    curation.running_counters(live, RULES, name, f"{base}/state", BACKLOG).awaitTermination()
-    return spark.table(name)
+    curation.running_counters(live, RULES, f"{base}/out", f"{base}/state", BACKLOG).awaitTermination()
+    return curation.running_totals(spark, f"{base}/out")
 
 
 def random_forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +128,7 @@ def one_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def written_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two scans written and the later one read back."""
-    rows, path = saved(scan(spark, sf_dir), "flagged"), f"{shared_dir(spark)}/scans-{uuid.uuid4().hex}"
+    rows, path = saved(scan(spark, sf_dir), "flagged"), f"{session_dir(spark)}/scans-{uuid.uuid4().hex}"
     for name in ("20240101_000000", "20240202_000000"):
         sinks.write_scan_result(rows, sinks.scan_header(rows, name, now(), cutoff(), 0.3), name, path)
     return readers.latest_scan(spark.read.parquet(f"{path}/photos").withColumn("scan_id", F.col("scan_id").cast("string"))).select("uuid", "series_id", "suggested_delete")
@@ -156,6 +155,11 @@ def _sets(spark: SparkSession, sf_dir: str):
     return f, _added(f), here
 
 
+def _digest(array: str, scale: int):
+    """md5 of an array's values as whole numbers of 1 / scale."""
+    return F.md5(F.array_join(F.transform(array, lambda x: F.round(x.cast("double") * scale).cast("int").cast("string")), ","))
+
+
 def _columns(rows: DataFrame, **columns) -> DataFrame:
     return rows.select(*(c.alias(k) for k, c in columns.items()))
 
@@ -220,35 +224,35 @@ QUERIES = {
     "append_label_list": lambda k, d: feedback.new_labels(s.feedback(k, d).where("status = 'rescued'").select("uuid"), s.album_members(k, d)),
     "add_to_album": lambda k, d: feedback.new_members(s.album_members(k, d), s.scored(k, d), s.library_now(k, d), "To Delete"),
     # training
-    "attach_features": lambda k, d: training.attach_features(s.scored(k, d).select("path", "uuid"), cache(k, d)).select("uuid", F.round(F.col("features")[0].cast("double"), 4).alias("f0")),
+    "attach_features": lambda k, d: training.attach_features(s.scored(k, d).select("path", "uuid"), cache(k, d)).select("uuid", _digest("features", 1000).alias("features")),
     "features_to_extract": lambda k, d: training.features_to_extract(s.scored(k, d).select("path"), cache(k, d)),
     "training_set": lambda k, d: training_rows(k, d),
     "training_counts": lambda k, d: training.training_counts(training_rows(k, d), s.files(k, d).where(F.length("path") % 2 == 0)),
     "exact_sample": lambda k, d: training.exact_sample(s.photos(k, d).select("path"), 500),
     "fit_scaler": lambda k, d: training.fit_scaler(labelled_vectors(k, d).where("label = 1")).select(F.posexplode(F.arrays_zip("mean", "std")).alias("i", "v")).select("i", F.round("v.mean", 4).alias("mean"), F.round("v.std", 4).alias("std")),
-    "standardise": lambda k, d: (lambda v: training.scaled(v, training.fit_scaler(v)).select("path", F.round(F.col("features")[5], 3).alias("z5")))(labelled_vectors(k, d)),
+    "standardise": lambda k, d: (lambda v: training.scaled(v, training.fit_scaler(v)).select("path", _digest("features", 100).alias("z")))(labelled_vectors(k, d)),
     "validation_stats": lambda k, d: (lambda r: r.select(*(F.round(c, 4).alias(c) for c in r.columns if c != "verdict"), "verdict"))(training.validation_stats(labelled_vectors(k, d).select("label", F.abs(F.col("features")[0].cast("double")).alias("score")))),
     "random_forest_scores": random_forest_scores,
     "one_class_scores": one_class_scores,
-    "extract_features": lambda k, d: media.extract_features(images(k, d)).select("path", F.size("features").alias("width")),
+    "extract_features": lambda k, d: media.extract_features(images(k, d)).select("path", F.size("features").alias("width"), *(F.round(f(F.transform("features", lambda x: x.cast("double"))), 2).alias(c) for c, f in (("least", F.array_min), ("most", F.array_max), ("mean", lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x) / F.size(a))))),
     "phash": lambda k, d: media.phash(images(k, d)),
     # messages
-    "enrich_messages": lambda k, d: messages.enrich(s.messages(k, d)).select("message_id", "author", "tweet_url", "username", F.size("images").cast("long").alias("n_images"), F.size("videos").cast("long").alias("n_videos")),
+    "enrich_messages": lambda k, d: messages.enrich(s.messages(k, d)).select("message_id", "author", "tweet_url", "username", F.array_join("images", " ").alias("images"), F.array_join("videos", " ").alias("videos"), F.md5("text").alias("text")),
     "with_previous_message": lambda k, d: messages.with_previous_message(messages.enrich(s.messages(k, d))).select("message_id", "tweet_url", "username"),
     "explode_media": lambda k, d: messages.explode_media(classified(k, d)).select("message_id", "url", "kind"),
     "split_by_media": lambda k, d: messages.split_by_media(classified(k, d))[1].select("message_id"),
     "attach_media": lambda k, d: fetched(k, d).select("message_id", "url", "score"),
-    "route_media": lambda k, d: routed(k, d).select("message_id", "url", "kind", "score", "destination"),
+    "route_media": lambda k, d: routed(k, d).select("message_id", "url", "kind", "filename", "description", "score", "destination"),
     "media_filename": lambda k, d: _columns(table(k, d, "pages"), page_id=F.col("page_id"), filename=tx.media_filename("url", F.lit(None).cast("string"), F.lit("Zoë 名 of a very long name"), F.lit(None).cast("string"), now())),
     "url_parts": lambda k, d: _columns(table(k, d, "pages"), page_id=F.col("page_id"), ext=tx.file_ext("url"), hash=tx.url_hash("url"), base=tx.basename("url")),
-    "announcement_entries": lambda k, d: messages.announcement_entries(classified(k, d), fetched(k, d)).select("message_id"),
-    "announcement_log": lambda k, d: messages.announcement_log(messages.announcement_entries(classified(k, d), fetched(k, d)), now()).select("message_id", F.length("entry").cast("long").alias("n")),
+    "announcement_entries": lambda k, d: messages.announcement_entries(classified(k, d), fetched(k, d)).withColumn("text", F.md5("text")),
+    "announcement_log": lambda k, d: messages.announcement_log(messages.announcement_entries(classified(k, d), fetched(k, d)), now()).select("message_id", F.md5("entry").alias("entry")),
     "curation_counters": lambda k, d: messages.curation_counters(classified(k, d), routed(k, d)),
     "channel_counts": lambda k, d: messages.channel_counts(s.messages(k, d)),
     "dedupe_messages": lambda k, d: messages.dedupe_messages(s.messages(k, d).unionByName(s.messages(k, d))).select("message_id"),
-    "is_announcement": lambda k, d: _columns(table(k, d, "documents"), doc_id=F.col("doc_id"), hit=tx.is_announcement("text"), always=tx.is_always_curate("source", ["SRC1", "src7"])),
+    "is_announcement": lambda k, d: _columns(table(k, d, "documents"), doc_id=F.col("doc_id"), hit=tx.is_announcement("text", readers.DEFAULT_KEYWORDS), always=tx.is_always_curate("source", ["SRC1", "src7"])),
     "clean_announcement": lambda k, d: _columns(table(k, d, "documents"), doc_id=F.col("doc_id"), clean=F.md5(tx.clean_announcement("text")), lead=tx.preview("text")),
-    "chunk_text": lambda k, d: digest.chunk_text(table(k, d, "documents")).select("doc_id", "part", F.length("chunk").alias("n")),
+    "chunk_text": lambda k, d: digest.chunk_text(table(k, d, "documents")).select("doc_id", "part", "parts", F.md5("chunk").alias("chunk")),
     "summarise": lambda k, d: digest.summarise(table(k, d, "documents")),
     "hours_before": lambda k, d: s.scored(k, d).where(F.col("date") > hours_before(now(), 48)).agg(F.count("*").alias("n"), pct(F.count("score"), F.count("*")).alias("scored_percent")),
     # streams
@@ -280,8 +284,8 @@ _DECIDED = f"""{_SERIES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY s
 _VECTORS = "vectors AS (SELECT l.doc_id, l.quality AS label, CAST(e.embedding AS DOUBLE[]) AS v FROM labels l JOIN embeddings e ON e.vec_id = l.doc_id % (SELECT count(*) FROM embeddings))"
 _TRAINING = f"""{_PHOTOS}, {_FILES}, good AS (SELECT path FROM photos WHERE {_USABLE} AND date < TIMESTAMP '{CUTOFF}' UNION ALL SELECT path FROM photos WHERE n % 25 = 0 AND NOT ({_USABLE} AND date < TIMESTAMP '{CUTOFF}')),
  rows AS (SELECT path, 'library' AS origin, 1 AS label FROM good UNION ALL SELECT path, 'folder', 0 FROM files WHERE path LIKE '/edited/%' UNION ALL SELECT path, 'feedback', 0 FROM photos WHERE n % 35 = 0 AND NOT ismissing)"""
-_KEYWORDS = " OR ".join(f"contains(lower(coalesce(text, '')), '{k}')" for k in tx.ANNOUNCEMENT_KEYWORDS)
-_IMPORTANT = " OR ".join(f"contains(lower(body), '{k}')" for k in (*tx.ANNOUNCEMENT_KEYWORDS, "tion"))
+_KEYWORDS = " OR ".join(f"contains(lower(coalesce(text, '')), '{k}')" for k in readers.DEFAULT_KEYWORDS)
+_IMPORTANT = " OR ".join(f"contains(lower(body), '{k}')" for k in RULES.keywords)
 _MESSAGES = f"""m AS (SELECT conv_id AS n, turn AS t, conv_id * 1000 + turn AS message_id, role, 'Author ' || conv_id % 20 AS author, conv_id || '_' || turn AS name,
  'https://x.com/user' || conv_id % 50 || '/status/' || (conv_id * 100 + turn) AS link, text FROM conversations),
  e AS (SELECT *, CASE WHEN t = 0 THEN text || ' ' || link ELSE text END || CASE WHEN n % 5 = 0 AND text <> '' THEN chr(10) || substr(text, 1, 40) ELSE '' END AS body,
@@ -297,6 +301,20 @@ _MESSAGES = f"""m AS (SELECT conv_id AS n, turn AS t, conv_id * 1000 + turn AS m
  UNION ALL SELECT message_id, url, kind, CASE WHEN NOT always THEN score END, 'announcements' FROM f WHERE kind = 'image' AND important)"""
 _SETS = f"WITH {_FEEDBACK} SELECT uuid FROM flags WHERE "
 
+_DIGEST = "md5(array_to_string(list_transform({}, lambda x: CAST(round(x * {}) AS INTEGER)), ','))"
+_EXT = "CASE WHEN contains(split_part(split_part({0}, '/', -1), '?', 1), '.') THEN '.' || split_part(split_part(split_part({0}, '/', -1), '?', 1), '.', -1) ELSE '.jpg' END"
+_ENTRIES = """entries AS (SELECT message_id, author, url AS tweet_url, body AS text FROM c WHERE important AND len(images) + len(videos) = 0
+ UNION ALL SELECT message_id, c.author, c.url, c.body FROM f JOIN c USING (message_id) WHERE f.important AND kind = 'image')"""
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\[([^\]]+)\]\(<[^>]+>\)', '\1', 'g'), 'https?://(twitter|x)\.com/\S+/status/\d+', '', 'g'), '\s+', ' ', 'g'))"
+_TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_CHUNKS = f"""RECURSIVE d AS (SELECT doc_id, text FROM documents WHERE {_TRIM.format('text')} <> ''),
+ b AS (SELECT doc_id, generate_subscripts(s, 1) AS i, {_TRIM.format('unnest(s)')} AS rest FROM (SELECT doc_id, string_split(text, chr(10) || '---' || chr(10)) AS s FROM d WHERE length(text) > 5500)),
+ cuts AS (SELECT doc_id, i, 0 AS k, '' AS chunk, rest FROM b UNION ALL
+  SELECT doc_id, i, k + 1, CASE WHEN length(rest) <= 5500 THEN rest ELSE left(rest, n) END, CASE WHEN length(rest) <= 5500 THEN '' ELSE {_TRIM.format('substr(rest, n + 1)')} END
+  FROM (SELECT *, CASE WHEN q BETWEEN 1 AND 5499 THEN 5500 - q ELSE 5500 END AS n FROM (SELECT *, strpos(reverse(left(rest, 5500)), chr(10)) AS q FROM cuts WHERE rest <> ''))),
+ pieces AS (SELECT doc_id, i, k, chunk FROM cuts WHERE k > 0 UNION ALL SELECT doc_id, 1, 1, text FROM d WHERE length(text) <= 5500),
+ chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS INTEGER) AS part, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS parts, chunk FROM pieces)"""
+
 ORACLE_SQL = {
     "read_photos": f"WITH {_PHOTOS} SELECT uuid, path, favorite, screenshot, ismissing FROM photos",
     "read_album_members": f"WITH {_ALBUMS} SELECT DISTINCT uuid FROM members WHERE album = 'To Delete'",
@@ -321,7 +339,9 @@ ORACLE_SQL = {
     "close_time_runs": f"WITH {_SCORED}, g AS (SELECT date, CASE WHEN date - lag(date) OVER (ORDER BY date) <= INTERVAL 60 SECOND THEN 0 ELSE 1 END AS fresh FROM scored), r AS (SELECT date, sum(fresh) OVER (ORDER BY date) AS run FROM g) SELECT strftime(min(date), '%Y-%m-%d %H:%M:%S') AS run_start, count(*) AS n FROM r GROUP BY run",
     "series_pairs": f"WITH {_SCORED}, r AS (SELECT *, row_number() OVER (ORDER BY date, uuid) AS k FROM scored) SELECT a.uuid AS src, b.uuid AS dst FROM r a JOIN r b ON b.k > a.k AND b.k <= a.k + 99 AND b.date <= a.date + INTERVAL 300 SECOND",
     "series_pairs_by_look": f"WITH {_SCORED}, v AS (SELECT s.*, CAST(e.embedding AS DOUBLE[]) AS x FROM scored s JOIN embeddings e ON e.vec_id = s.n % (SELECT count(*) FROM embeddings)), r AS (SELECT *, row_number() OVER (ORDER BY date, uuid) AS k FROM v) SELECT a.uuid AS src, b.uuid AS dst FROM r a JOIN r b ON b.k > a.k AND b.k <= a.k + 99 AND b.date <= a.date + INTERVAL 900 SECOND WHERE list_cosine_similarity(a.x, b.x) >= 0.25 OR bit_count(xor((a.n // 2) * 7919, (b.n // 2) * 7919)) <= 2 OR b.date <= a.date + INTERVAL 5 SECOND",
-    "cosine_and_hamming": f"WITH {_SCORED}, v AS (SELECT s.*, CAST(e.embedding AS DOUBLE[]) AS x FROM scored s JOIN embeddings e ON e.vec_id = s.n % (SELECT count(*) FROM embeddings)) SELECT a.uuid, round(list_cosine_similarity(a.x, b.x), 4) AS cosine, CAST(bit_count(xor((a.n // 2) * 7919, (b.n // 2) * 7919)) AS BIGINT) AS bits FROM v a JOIN v b ON a.n + 1 = b.n",
+    "cosine_and_hamming": f"""WITH {_SCORED}, t AS (SELECT count(*) AS t FROM embeddings), e AS (SELECT vec_id, (vec_id + 1) % t AS next, CAST(embedding AS DOUBLE[]) AS x FROM embeddings, t),
+c AS (SELECT a.vec_id, round(list_cosine_similarity(a.x, b.x), 4) AS cosine FROM e a JOIN e b ON b.vec_id = a.next), k AS (SELECT uuid, n, n % t AS vec_id FROM scored, t WHERE n + 1 IN (SELECT n FROM scored))
+SELECT uuid, cosine, CAST(bit_count(xor((n // 2) * 7919, ((n + 1) // 2) * 7919)) AS BIGINT) AS bits FROM k JOIN c USING (vec_id)""",
     "detect_series": f"WITH {_SERIES} SELECT uuid, series_id FROM scan",
     "connected_components": f"WITH {_SERIES}, k AS (SELECT uuid, series_id, row_number() OVER (ORDER BY date, uuid) - 1 AS rank FROM scan) SELECT uuid, min(rank) OVER (PARTITION BY series_id) AS component FROM k",
     "with_series_pos": f"WITH {_SERIES} SELECT uuid, pos AS pos_in_series FROM scan",
@@ -351,30 +371,42 @@ ORACLE_SQL = {
     "record_added": f"WITH {_PHOTOS} SELECT uuid, 'scan_2' AS scan_file, 'added' AS status FROM photos WHERE favorite AND n % 5 <> 0 AND n % 14 <> 0",
     "append_label_list": f"WITH {_ALBUMS} SELECT DISTINCT uuid FROM members WHERE CAST(uuid AS BIGINT) % 25 <> 0",
     "add_to_album": f"WITH {_PHOTOS} SELECT 'To Delete' AS album, uuid FROM photos WHERE n % 3 <> 1 AND n % 7 <> 0",
-    "attach_features": f"WITH {_SCORED} SELECT s.uuid, round(CAST(e.embedding[1] AS DOUBLE), 4) AS f0 FROM scored s JOIN embeddings e ON e.vec_id = s.n % (SELECT count(*) FROM embeddings) WHERE s.n % 2 = 0",
+    "attach_features": f"WITH {_SCORED} SELECT s.uuid, {_DIGEST.format('CAST(e.embedding AS DOUBLE[])', 1000)} AS features FROM scored s JOIN embeddings e ON e.vec_id = s.n % (SELECT count(*) FROM embeddings) WHERE s.n % 2 = 0",
     "features_to_extract": f"WITH {_SCORED} SELECT path FROM scored WHERE n % 2 <> 0",
     "training_set": f"WITH {_TRAINING} SELECT path, origin, label FROM rows",
     "training_counts": f"WITH {_TRAINING} SELECT label, origin, path IN (SELECT path FROM files WHERE length(path) % 2 = 0) AS cached, count(*) AS n FROM rows GROUP BY ALL",
     "fit_scaler": f"WITH {_VECTORS}, u AS (SELECT generate_subscripts(v, 1) - 1 AS i, unnest(v) AS x FROM vectors WHERE label = 1) SELECT i, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std FROM u GROUP BY i",
-    "standardise": f"WITH {_VECTORS} SELECT CAST(doc_id AS VARCHAR) AS path, round((v[6] - avg(v[6]) OVER ()) / stddev_pop(v[6]) OVER (), 3) AS z5 FROM vectors",
+    "standardise": f"WITH {_VECTORS}, u AS (SELECT doc_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM vectors), m AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM u GROUP BY i) SELECT CAST(doc_id AS VARCHAR) AS path, md5(string_agg(CAST(CAST(round((x - m) / CASE WHEN s = 0 THEN 1 ELSE s END * 100) AS INTEGER) AS VARCHAR), ',' ORDER BY i)) AS z FROM u JOIN m USING (i) GROUP BY doc_id",
     "validation_stats": f"WITH {_VECTORS}, a AS (SELECT avg(abs(v[1])) FILTER (label = 1) AS gm, stddev_pop(abs(v[1])) FILTER (label = 1) AS gs, avg(abs(v[1])) FILTER (label = 0) AS bm, stddev_pop(abs(v[1])) FILTER (label = 0) AS bs FROM vectors) SELECT round(gm, 4) AS good_mean, round(gs, 4) AS good_std, round(bm, 4) AS bad_mean, round(bs, 4) AS bad_std, round(gm - bm, 4) AS separation, CASE WHEN gm - bm > 0.3 THEN 'good' WHEN gm - bm > 0.1 THEN 'moderate' ELSE 'low' END AS verdict FROM a",
-    "extract_features": "SELECT CAST(vec_id AS VARCHAR) AS path, 48 AS width FROM embeddings",
-    "enrich_messages": f"WITH {_MESSAGES} SELECT message_id, author, url AS tweet_url, username, len(images) AS n_images, len(videos) AS n_videos FROM e",
+    "extract_features": """
+WITH a AS (SELECT i // 8 AS g, greatest(0, least(7, (i + 0.5) / 4 - 0.5)) AS x FROM (SELECT unnest(range(32)) AS i)),
+w AS (SELECT g, p, sum(x) / 8 AS w FROM (SELECT g, floor(x) AS p, 1 - (x - floor(x)) AS x FROM a UNION ALL SELECT g, least(floor(x) + 1, 7), x - floor(x) FROM a) GROUP BY g, p),
+c AS (SELECT y.g AS gy, x.g AS gx, y.p * 8 + x.p + 1 AS k, y.w * x.w AS w FROM w y, w x),
+v AS (SELECT vec_id, gy, gx, sum(w * least(greatest(round(CAST(embedding[CAST(k AS INTEGER)] AS DOUBLE) * 60 + 128), 0), 255)) / 255 AS v FROM embeddings, c GROUP BY ALL),
+n AS (SELECT vec_id, unnest([(v - 0.485) / 0.229, (v - 0.456) / 0.224, (v - 0.406) / 0.225]) AS z FROM v)
+SELECT CAST(vec_id AS VARCHAR) AS path, CAST(count(*) AS INTEGER) AS width, round(min(z), 2) + 0 AS least, round(max(z), 2) + 0 AS most, round(avg(z), 2) + 0 AS mean FROM n GROUP BY vec_id""",
+    "enrich_messages": f"WITH {_MESSAGES} SELECT message_id, author, url AS tweet_url, username, array_to_string(images, ' ') AS images, array_to_string(videos, ' ') AS videos, md5(body) AS text FROM e",
     "with_previous_message": f"WITH {_MESSAGES} SELECT message_id, url AS tweet_url, username FROM c",
     "explode_media": f"WITH {_MESSAGES} SELECT message_id, url, kind FROM xs",
     "split_by_media": f"WITH {_MESSAGES} SELECT message_id FROM c WHERE important AND len(images) + len(videos) = 0",
     "attach_media": f"WITH {_MESSAGES} SELECT message_id, url, CAST(score AS DOUBLE) AS score FROM f",
-    "route_media": f"WITH {_MESSAGES} SELECT message_id, url, kind, CAST(score AS DOUBLE) AS score, destination FROM r",
+    "route_media": f"""WITH {_MESSAGES} SELECT r.message_id, r.url, kind, replace(coalesce(c.username, c.author), ' ', '_') || '_20240120_123456_' || substr(md5(r.url), 1, 8) || {_EXT.format('r.url')} AS filename,
+ 'Author: ' || c.author || chr(10) || coalesce('Source: ' || c.url, '') AS description, CAST(score AS DOUBLE) AS score, destination FROM r JOIN c USING (message_id)""",
     "media_filename": "SELECT page_id, 'Zoë_名_of_a_very_long' || '_20240120_123456_' || substr(md5(url), 1, 8) || CASE WHEN contains(split_part(split_part(url, '/', -1), '?', 1), '.') THEN '.' || split_part(split_part(split_part(url, '/', -1), '?', 1), '.', -1) ELSE '.jpg' END AS filename FROM pages",
     "url_parts": "SELECT page_id, CASE WHEN contains(split_part(split_part(url, '/', -1), '?', 1), '.') THEN '.' || split_part(split_part(split_part(url, '/', -1), '?', 1), '.', -1) ELSE '.jpg' END AS ext, substr(md5(url), 1, 8) AS hash, split_part(url, '/', -1) AS base FROM pages",
-    "announcement_entries": f"WITH {_MESSAGES} SELECT message_id FROM c WHERE important AND len(images) + len(videos) = 0 UNION ALL SELECT message_id FROM f WHERE important AND kind = 'image'",
+    "announcement_entries": f"WITH {_MESSAGES}, {_ENTRIES} SELECT message_id, author, tweet_url, md5(text) AS text FROM entries",
+    "announcement_log": f"WITH {_MESSAGES}, {_ENTRIES} SELECT message_id, md5(chr(10) || '---' || chr(10) || 'Date: 2024-01-20 12:34' || chr(10) || 'From: ' || author || coalesce(chr(10) || 'Link: ' || tweet_url, '') || chr(10) || chr(10) || {_CLEAN} || chr(10)) AS entry FROM entries",
+    "chunk_text": f"WITH {_CHUNKS} SELECT doc_id, part, parts, md5(chunk) AS chunk FROM chunks",
+    "summarise": f"""WITH {_CHUNKS}, n AS (SELECT doc_id, parts, any_value(chunk) AS chunk FROM chunks GROUP BY doc_id, parts)
+SELECT doc_id, CASE WHEN parts > 1 THEN array_to_string(list_transform(range(1, parts + 1), lambda i: '### Part ' || i), chr(10))
+ ELSE array_to_string(list_transform(list_filter(string_split(chunk, chr(10) || '---' || chr(10)), lambda b: {_TRIM.format('b')} <> ''), lambda b: split_part({_TRIM.format('b')}, chr(10), 1)), chr(10)) END AS summary FROM n""",
     "curation_counters": f"WITH {_MESSAGES} SELECT count(*) FILTER (kind = 'image' AND destination <> 'announcements') AS images_seen, count(*) FILTER (kind = 'image' AND destination = 'curated') AS images_curated, (SELECT count(*) FROM c WHERE important) AS announcements, count(*) FILTER (destination = 'videos') AS videos_saved, count(*) FILTER (kind = 'video' AND destination = 'curated') AS videos_curated FROM r",
     "channel_counts": "SELECT conv_id AS channel_id, count(*) AS n FROM conversations GROUP BY 1",
     "dedupe_messages": "SELECT DISTINCT conv_id * 1000 + turn AS message_id FROM conversations",
     "is_announcement": f"SELECT doc_id, {_KEYWORDS} AS hit, contains(lower(source), 'src1') OR contains(lower(source), 'src7') AS always FROM documents",
-    "clean_announcement": r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\[([^\]]+)\]\(<[^>]+>\)', '\1', 'g'), 'https?://(twitter|x)\.com/\S+/status/\d+', '', 'g'), '\s+', ' ', 'g'))) AS clean, substr(text, 1, 100) AS lead FROM documents",
+    "clean_announcement": f"SELECT doc_id, md5({_CLEAN}) AS clean, substr(text, 1, 100) AS lead FROM documents",
     "hours_before": f"WITH {_SCORED} SELECT count(*) AS n, round(100.0 * count(score) / count(*), 1) AS scored_percent FROM scored WHERE date > TIMESTAMP '{NOW}' - INTERVAL 48 HOUR",
     "curate_stream": f"WITH {_MESSAGES}, p AS (SELECT message_id, generate_subscripts(images || videos, 1) - 1 AS media_pos, unnest(images || videos) AS url FROM c) SELECT r.message_id, p.media_pos, r.url, r.destination FROM r JOIN p ON p.message_id = r.message_id AND p.url = r.url",
     "dedupe_stream": "SELECT DISTINCT conv_id * 1000 + turn AS message_id, conv_id AS channel_id FROM conversations",
-    "stream_counters": f"WITH {_MESSAGES} SELECT n AS channel_id, count(*) FILTER (important) AS announcements, sum(len(images) + len(videos)) AS media FROM c GROUP BY 1",
+    "stream_counters": f"WITH {_MESSAGES} SELECT n AS channel_id, count(*) FILTER (important) AS announcements, CAST(sum(len(images) + len(videos)) AS BIGINT) AS media FROM c GROUP BY 1",
 }

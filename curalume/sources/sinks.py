@@ -1,4 +1,5 @@
-"""Sinks: scans, reports, caches, histories, routed media, logs. Appends are idempotent: they take only what is not there yet."""
+"""Sinks: scans, reports, caches, histories, routed media, logs. Writing a thing twice leaves it once: appends take only what is not there yet,
+and scans, routed media and logs replace what they wrote before."""
 
 from __future__ import annotations
 
@@ -17,9 +18,9 @@ def scan_header(scan: DataFrame, scan_id: str, scan_date: Column, after: Column,
 
 
 def write_scan_result(scan: DataFrame, header: DataFrame, scan_id: str, path: str) -> None:
-    """Header and photo rows, each in the scan's own partition."""
-    header.write.mode("append").partitionBy("scan_id").parquet(f"{path}/header")
-    scan.withColumn("scan_id", F.lit(scan_id)).write.mode("append").partitionBy("scan_id").parquet(f"{path}/photos")
+    """Header and photo rows, each in the scan's own partition; a scan that is written again replaces itself only."""
+    for rows, to in ((header, "header"), (scan.withColumn("scan_id", F.lit(scan_id)), "photos")):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(f"{path}/{to}")
 
 
 def scan_to_json(scan: DataFrame) -> DataFrame:
@@ -63,17 +64,22 @@ def add_to_album(album_members: DataFrame, uuids: DataFrame, photos: DataFrame,
     return n
 
 
-def write_routed(routed: DataFrame, path: str) -> None:
-    routed.write.mode("append").partitionBy("destination").parquet(path)
+def write_routed(routed: DataFrame, path: str, batch: str = "all") -> None:
+    """Routed media by destination, in the folder of their batch, which a retry writes anew. Of equal file names in a destination the last medium stays."""
+    order = F.struct("message_id", "media_pos")
+    rest = [c for c in routed.columns if c not in ("destination", "filename")]
+    last = routed.groupBy("destination", "filename").agg(F.max_by(F.struct(*rest), order).alias("_r")).select("filename", "_r.*", "destination").select(*routed.columns)
+    last.write.mode("overwrite").partitionBy("destination").parquet(f"{path}/batch={batch}")
 
 
-def append_announcement_log(log: DataFrame, path: str) -> None:
-    log.select("entry").write.mode("append").option("lineSep", "").text(path)
+def append_announcement_log(log: DataFrame, path: str, batch: str = "all") -> None:
+    """Log entries as text, in the folder of their batch, which a retry writes anew. An entry's last line end is the writer's."""
+    log.select(F.regexp_replace("entry", r"\n\z", "").alias("value")).write.mode("overwrite").text(f"{path}/batch={batch}")
 
 
 def write_summary(summary: DataFrame, path: str | None = None) -> DataFrame:
     """The summaries, each with one line end; written unless path is None (a dry run)."""
-    out = summary.select(F.concat(F.rtrim("summary"), F.lit("\n")).alias("value"))
+    text = F.regexp_replace("summary", r"\s+\z", "")
     if path is not None:
-        out.write.mode("overwrite").option("lineSep", "").text(path)
-    return out
+        summary.select(text.alias("value")).write.mode("overwrite").text(path)
+    return summary.select(F.concat(text, F.lit("\n")).alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -61,17 +61,26 @@ def run(messages: DataFrame, media: DataFrame, rules: Rules, now: Column, path:
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").partitionBy("destination").parquet(f"{path}/batch={number}")
+        write_routed(batch, path, str(number))
 
     out = routed(curate(messages, rules, watermark), media, rules, now).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out).start()
 
 
-def running_counters(messages: DataFrame, rules: Rules, name: str, checkpoint: str, watermark: str = "24 hours") -> StreamingQuery:
-    """Announcements and media by channel so far, as a table in memory."""
+def running_counters(messages: DataFrame, rules: Rules, path: str, checkpoint: str, watermark: str = "24 hours") -> StreamingQuery:
+    """Announcements and media by channel so far: each batch writes the channels that it changed, running_totals reads the latest of each."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
     media = (F.size("images") + F.size("videos")).alias("m")
     counted = curate(messages, rules, watermark).select("channel_id", "is_important", media).groupBy("channel_id").agg(F.count_if("is_important").alias("announcements"), F.sum("m").alias("media"))
-    return counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return counted.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def running_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The latest counters of each channel that running_counters wrote."""
+    return spark.read.parquet(path).groupBy("channel_id").agg(F.max_by(F.struct("announcements", "media"), "batch").alias("_c")).select("channel_id", "_c.*")
 
 
-__all__ = ["curate", "routed", "run", "running_counters", "with_previous_message_stream", "write_routed"]
+__all__ = ["curate", "routed", "run", "running_counters", "running_totals", "with_previous_message_stream", "write_routed"]

@@ -91,3 +91,36 @@ def test_suggestions_leave_the_best(frame):
 def test_runs_join_at_the_gap(frame):
     rows = [("a", at(0)), ("b", at(5)), ("c", at(10.000001))]
     assert sorted(r.n for r in series.close_time_runs(frame(rows, "uuid string, date timestamp")).collect()) == [1, 2]
+
+
+def test_ranks_and_runs_across_buckets(frame):
+    r = random.Random(5)
+    rows = [(f"u{i:03}", at(r.choice([0, 0, 0, 3, 8, 50, 51, 200])) if i % 9 else None) for i in range(120)]
+    ordered = sorted(rows, key=lambda x: (x[1] is not None, x[1] or T0, x[0]))
+    ranked = series.with_global_rank(frame(rows, "uuid string, date timestamp"))
+    assert {x.uuid: x["rank"] for x in ranked.collect()} == {u: i for i, (u, _) in enumerate(ordered)}
+    expected, run = {}, 0
+    for i, (u, d) in enumerate(ordered):
+        if i == 0 or d is None or ordered[i - 1][1] is None or (d - ordered[i - 1][1]).total_seconds() > 5:
+            run = i
+        expected[u] = run
+    for bucket in (7, 1 << 17):
+        assert {x.uuid: x["run"] for x in series.with_runs(ranked, 5, bucket).collect()} == expected
+
+
+@pytest.mark.parametrize("looks", [True, False])
+def test_series_components_match_components_of_all_pairs(frame, looks):
+    r = random.Random(6)
+    rows = [(f"u{i:03}", at(r.choice([0, 40, 90, 300]) + r.randrange(40)) if i % 11 else None, [r.random(), r.random() - 0.5], f"{r.getrandbits(64):016x}") for i in range(150)]
+    photos = frame(rows, SHAPE)
+    photos = photos if looks else photos.select("uuid", "date")
+    rules = series.SeriesRules(cosine=0.999, cap=9)
+    plain = series.connected_components(series.with_global_rank(photos.select("uuid", "date")), series.series_pairs(photos, rules))
+    found = {x.uuid: x.component for x in series.series_components(photos, rules).collect()}
+    assert found == {x.uuid: x.component for x in plain.collect()} and len(set(found.values())) < 150
+
+
+def test_one_instant_makes_bounded_candidates(spark):
+    photos = spark.range(3000).selectExpr("cast(id as string) as uuid", "timestamp'2024-01-01' as date")
+    assert series.series_pairs(photos, series.SeriesRules(cap=10)).count() == 10 * 3000 - 55
+    assert series.detect_series(photos).select("series_id").distinct().count() == 1
