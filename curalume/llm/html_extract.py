@@ -4,8 +4,8 @@ A page is a sequence of text blocks, each at the end of a path of tags from the
 length of its text and its punctuation are summed over its blocks; their means are smoothed over its siblings,
 weighted by their characters, so that a short heading or paragraph stands with the paragraphs around it, and fused,
 with the share of the text outside links as a factor. Paths above a share of the best one are content. Blocks inside
-elements that never hold an article's text are not candidates, and where the page marks an article, only its blocks
-are; they are scored alike.
+elements that never hold an article's text are not candidates. Where the page marks an article, what is outside of it
+weighs little; all paths are scored and thresholded alike.
 
 Siblings have the same parent, where lists, quotes, tables and figures without a label count as their parent's own
 children; each list without a label is a path of its own. A heading's siblings are all blocks beneath its parent.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
 _LABEL = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
-_WHITE = re.compile(r"[\s​﻿]+")
+_WHITE = re.compile(r"\s+")
 _MARK = re.compile(r"[.,;:!?。，、]")
 
 # Elements of HTML by how they are read.
@@ -51,6 +51,8 @@ _LIST = frozenset("ul ol dl".split())
 _HREF = re.compile(r"\bhref\s*=", re.I)
 _FRAME = frozenset("html body main article".split())
 _ABOUT = frozenset("with has no without".split())
+#: What a path outside the marked article weighs.
+_OUTSIDE = 0.01
 
 
 def _names_surroundings(name: str) -> bool:
@@ -152,8 +154,7 @@ def _parent(path: tuple[str, ...]) -> tuple[str, ...]:
 def main_text(page: str | None, share: float = 0.1) -> str:
     """The content blocks of a page, joined by empty lines; empty if there are none."""
     found = [*blocks(page or "")]
-    if any(b[1] for b in found):
-        found = [b for b in found if b[1]]
+    outside = {path for path, inside, _, _ in found if not inside} if any(b[1] for b in found) else set()
     count: dict[tuple, list[float]] = defaultdict(lambda: [0.0] * 4)  # blocks, characters, marks, characters in links
     for path, _, s, linked in found:
         for i, x in enumerate((1, len(s), len(_MARK.findall(s)), min(linked, len(s)))):
@@ -176,7 +177,7 @@ def main_text(page: str | None, share: float = 0.1) -> str:
         if near:
             size, punct = (size + near[1] / near[0]) / 2, (punct + near[2] / near[0]) / 2
             plain = 1 - near[3] / near[0] if tag in _HEADING else plain
-        score[path] = size * (1 + punct) * plain
+        score[path] = size * (1 + punct) * plain * (_OUTSIDE if path in outside else 1)
     best = max(score.values(), default=0.0)
     return "\n\n".join(s for path, _, s, _ in found if score[path] >= share * best)
 

@@ -27,24 +27,32 @@ from curalume.plans.tables import saved
 
 
 class Mix(NamedTuple):
-    """A fitted mix: the classifier, and the gradient pull of each pass on a document of each domain."""
+    """A fitted mix: the classifier, the gradient pull of each pass on a document of each domain, and how well it fits."""
 
     model: Model | None
     pulls: np.ndarray  #: (passes, domains)
     ridge: float
+    reached: tuple[float, ...] = ()  #: the domains' totals, as shares of all tokens at rate 1
+    gradient: float = 0.0  #: root mean square of the last projected gradient, over tokens
 
     @property
     def domains(self) -> list[str]:
         return list(self.model.classes) if self.model else ["all"]
 
-    def rates(self, p: np.ndarray, extrapolated: bool = False) -> np.ndarray:
-        """Rates after all passes; extrapolated: where the next gradient is taken."""
-        r = before = y = np.ones(len(p))
+    def path(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rates after all passes, where the next gradient is taken, and the last projected gradient."""
+        r = y = np.ones(len(p))
+        last = np.zeros(len(p))
         step = 1 / (1 + self.ridge)
         for t, pull in enumerate(self.pulls, 1):
             before, r = r, np.maximum(0.0, y - step * (p @ pull + self.ridge * (y - 1)))
+            last = (y - r) / step
             y = r + (t - 1) / (t + 2) * (r - before)
-        return y if extrapolated else r
+        return r, y, last
+
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        """Rates after all passes."""
+        return self.path(p)[0]
 
 
 def _posteriors(column: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +88,7 @@ def memberships(docs: DataFrame, model: Model | None, id: str = "doc_id", text:
 
 
 def fitted(members: DataFrame, model: Model | None, targets: dict[str, float], ridge: float = 1e-3, passes: int = 60, tolerance: float = 1e-3) -> Mix:
-    """Fit rates to `members` (memberships, saved) until a pass moves no domain's total by `tolerance` of it.
+    """Fit rates to `members` (memberships, saved) until the projected gradient is `tolerance` or less, as a root mean square over tokens.
 
     Targets are made to sum to 1; a domain without one has target 0. A domain that no document can belong to is left out.
     """
@@ -88,20 +96,23 @@ def fitted(members: DataFrame, model: Model | None, targets: dict[str, float], r
     k = len(mix.domains)
     want = np.array([targets.get(d, 0.0) for d in mix.domains]) if model else np.ones(1)
     want = want / want.sum() if want.sum() else np.full(k, 1 / k)
-    sums = ", ".join(f"a{j} double" for j in range(k))
+    names = [*(f"a{j}" for j in range(k)), *(f"r{j}" for j in range(k)), "g"]
 
     def totals(m: Mix) -> np.ndarray:
+        """The domains' totals where the next gradient is taken and at the rates, and the last gradient's squares, by tokens."""
+
         def run(batches):
-            a = np.zeros(k)
+            out = np.zeros(2 * k + 1)
             for batch in batches:
-                p = _matrix(batch.column(1), k)
-                a += (batch.column(0).to_numpy() * m.rates(p, extrapolated=True)) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in a], names=[f"a{j}" for j in range(k)])
+                p, w = _matrix(batch.column(1), k), batch.column(0).to_numpy()
+                r, y, g = m.path(p)
+                out += np.r_[(w * y) @ p, (w * r) @ p, w @ g**2]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=names)
 
-        row = members.select("n_tokens", "posterior").where("n_tokens > 0").mapInArrow(run, sums).agg(*(F.sum(f"a{j}") for j in range(k))).first()
+        row = members.select("n_tokens", "posterior").where("n_tokens > 0").mapInArrow(run, ", ".join(f"{x} double" for x in names)).agg(*(F.sum(x) for x in names)).first()
         return np.array([x or 0.0 for x in row])
 
-    start = totals(mix)
+    start = totals(mix)[:k]
     if not start.sum():
         return mix
     total, share = start.sum(), start / start.sum()
@@ -110,8 +121,9 @@ def fitted(members: DataFrame, model: Model | None, targets: dict[str, float], r
     for _ in range(passes):
         pull = np.where(live, (a - want) / np.where(live, share, 1), 0.0)
         mix = mix._replace(pulls=np.vstack((mix.pulls, pull)))
-        last, a = a, totals(mix) / total
-        if np.abs((a - last)[live] / share[live]).max() < tolerance:
+        found = totals(mix) / total
+        a, mix = found[:k], mix._replace(reached=tuple(found[k : 2 * k].tolist()), gradient=float(found[-1] ** 0.5))
+        if mix.gradient <= tolerance:
             break
     return mix
 
@@ -130,7 +142,8 @@ def mixed(members: DataFrame, mix: Mix) -> DataFrame:
 
 
 def with_rates(docs: DataFrame, mix: Mix, text: str = "text", rate: str = "rate") -> DataFrame:
-    """`docs` with its rate, made from each text where it lies; rate is a new column name."""
+    """`docs` with its rate, made from each text where it lies, in place of a column of that name if there is one."""
+    docs = docs.drop(rate)
     shared = docs.sparkSession.sparkContext.broadcast(mix)
     at = docs.columns.index(text)
 
