@@ -1,11 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
 Runs of `least` sentences and `min_words` words or more that occur again, in the same or another document, are found
-by one join on hashes, and all sentences of any but the first occurrence go. Runs of tiny sentences mean nothing by
-themselves. From every sentence the shortest such span is hashed and, with `ends`, the shortest that ends at it: each
-sentence of a longer run that repeats is in one of them that lies in the run, so that both kinds find all that the
-longer runs would. Without `ends`, short sentences at the end of a repeated run can stay. Equal spans of one input partition are settled there, so a span that is everywhere is shuffled once
-for each partition.
+by one join on hashes, and all sentences of any but the first occurrence go. From every sentence the shortest such
+span is hashed, and the shortest that ends at it: each sentence of a longer run that repeats is in one of them that
+lies in the run, so that both kinds find all that the longer runs would. Equal spans of one input partition are settled
+there, so a span that is everywhere is shuffled once for each partition.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curalume.llm.bytes_np import LOWER, NOT_SPACE, U64, mix, row_groups, signed, texts, words
-from curalume.llm.suffix_dedup import _changed, _merged
+from curalume.llm.suffix_dedup import _changed, _merged, merged_by_text, text_key
 
 _HELD = 1_500_000
 _STOP = np.zeros(256, bool)
@@ -38,7 +37,7 @@ def sentences(data: np.ndarray, offsets: np.ndarray):
     return w, np.flatnonzero(begin)
 
 
-def spans(data: np.ndarray, offsets: np.ndarray, least: int, min_words: int, ends: bool):
+def spans(data: np.ndarray, offsets: np.ndarray, least: int, min_words: int):
     """(row, key, sig, index of the first sentence in its row, sentences) of each span, and the sentences of each row."""
     w, first = sentences(data, offsets)
     end = np.r_[first[1:], len(w.start)]
@@ -49,11 +48,10 @@ def spans(data: np.ndarray, offsets: np.ndarray, least: int, min_words: int, end
     last = np.maximum(every + least - 1, np.searchsorted(end, first + min_words))  # of the shortest span from each sentence
     ok = last < (base + many)[row]
     i, last = every[ok], last[ok]
-    if ends:
-        to = np.minimum(every - least + 1, np.searchsorted(first, end - min_words, "right") - 1)  # first of the shortest span up to each
-        ok = to >= base[row]
-        both = np.unique(np.r_[i, to[ok]] * (len(first) + 1) + np.r_[last, every[ok]])
-        i, last = both // (len(first) + 1), both % (len(first) + 1)
+    to = np.minimum(every - least + 1, np.searchsorted(first, end - min_words, "right") - 1)  # first of the shortest span up to each
+    ok = to >= base[row]
+    both = np.unique(np.r_[i, to[ok]] * (len(first) + 1) + np.r_[last, every[ok]])
+    i, last = both // (len(first) + 1), both % (len(first) + 1)
     row = row[i]
     up = np.full(len(w.hash) + 1, _B, U64)
     down = np.full(len(w.hash) + 1, pow(_B, -1, 1 << 64), U64)
@@ -67,43 +65,44 @@ def spans(data: np.ndarray, offsets: np.ndarray, least: int, min_words: int, end
     return (row, *out, i - base[row], last - i + 1), many
 
 
-_NAMES = ["key", "sig", "doc_id", "at", "n", "lo", "hi"]
-_ROWS = "key long, sig long, doc_id long, at long, n long, lo long, hi long"
+_NAMES = ["key", "sig", "doc_id", "h", "at", "n", "lo", "hi"]
+_ROWS = "key long, sig long, doc_id long, h long, at long, n long, lo long, hi long"
 
 
-def _rows(key, sig, doc, at, n, lo, hi) -> pa.RecordBatch:
+def _rows(key, sig, doc, h, at, n, lo, hi) -> pa.RecordBatch:
     size = len(doc)
-    return pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if x is None else pa.array(signed(x) if x.dtype == U64 else x, pa.int64()) for x in (key, sig, doc, at, n, lo, hi)], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if x is None else pa.array(signed(x) if x.dtype == U64 else x, pa.int64()) for x in (key, sig, doc, h, at, n, lo, hi)], names=_NAMES)
 
 
 def _settle(held):
-    """Spans by content: the sentences that go, and the first span of each content."""
-    key, sig, doc, at, n = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((at, doc, sig, key))
-    key, sig, doc, at, n = key[order], sig[order], doc[order], at[order], n[order]
+    """Spans by content: the sentences that go, and the first span of each content. Equal rows are one."""
+    key, sig, doc, h, at, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((at, h, doc, sig, key))
+    key, sig, doc, h, at, n = (x[order] for x in (key, sig, doc, h, at, n))
     first = _changed(key, sig)
-    d, lo, hi = _merged(doc[~first], at[~first], at[~first] + n[~first])
-    return (d, lo, hi), (key[first], sig[first], doc[first], at[first], n[first])
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    gone = ~first & ((doc != doc[lead]) | (h != h[lead]) | (at != at[lead]))
+    return merged_by_text(doc[gone], h[gone], at[gone], at[gone] + n[gone]), tuple(x[first] for x in (key, sig, doc, h, at, n))
 
 
-def repeated_sentences(docs: DataFrame, least: int, min_words: int, ends: bool) -> DataFrame:
-    """(doc_id, lo, hi): sentences lo to hi - 1 of a document are in a span that occurred before."""
+def repeated_sentences(docs: DataFrame, least: int, min_words: int) -> DataFrame:
+    """(doc_id, h, lo, hi): sentences lo to hi - 1 of a text are in a span that occurred before. `docs` has doc_id, text, h."""
 
     def local(batches):
         held, size = [], 0
 
         def settled():
-            (d, lo, hi), first = _settle(held)
-            yield _rows(mix(d.view(U64)), None, d, None, None, lo, hi)
+            (d, h, lo, hi), first = _settle(held)
+            yield _rows(mix(d.view(U64)), None, d, h, None, None, lo, hi)
             for i in range(0, len(first[0]), 500_000):
                 yield _rows(*(x[i : i + 500_000] for x in first), None, None)
 
         for batch in batches:
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            doc, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             data, offsets = texts(batch.column(1))
             for a, b in row_groups(offsets):
-                (row, key, sig, at, n), _ = spans(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], least, min_words, ends)
-                held.append((key, sig, doc[a + row], at, n))
+                (row, key, sig, at, n), _ = spans(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], least, min_words)
+                held.append((key, sig, doc[a + row], h[a + row], at, n))
                 size += len(row)
                 if size > _HELD:
                     yield from settled()
@@ -114,32 +113,32 @@ def repeated_sentences(docs: DataFrame, least: int, min_words: int, ends: bool)
     def meet(batches):
         held = []
         for batch in batches:
-            c = [x.to_numpy(zero_copy_only=False) for x in batch.columns[:2]]
-            gone = batch.filter(batch.column(5).is_valid())
-            yield gone.select(["doc_id", "lo", "hi"])
-            open_ = batch.filter(batch.column(5).is_null())
+            gone = batch.filter(batch.column(6).is_valid())
+            yield gone.select(["doc_id", "h", "lo", "hi"])
+            open_ = batch.filter(batch.column(6).is_null())
             if open_.num_rows:
-                c = [open_.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+                c = [open_.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
                 held.append((c[0].view(U64), c[1].view(U64), *c[2:]))
         if held:
-            (d, lo, hi), _ = _settle(held)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["doc_id", "lo", "hi"])
+            found, _ = _settle(held)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["doc_id", "h", "lo", "hi"])
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(local, _ROWS).repartition("key").mapInArrow(meet, "doc_id long, lo long, hi long")
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text", "h").mapInArrow(local, _ROWS).repartition("key").mapInArrow(meet, "doc_id long, h long, lo long, hi long")
 
 
-def sentence_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = 2, min_words: int = 12, ends: bool = False) -> DataFrame:
+def sentence_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = 2, min_words: int = 12) -> DataFrame:
     """(doc_id, n_sentences, removed, kept): per row of `docs` the removed runs of sentences (start, end), maximal and ascending, and the text left.
 
     Sentences are compared by their words, A-Z lower-cased, whatever the white space between; the first span is
     the one of the least id, and in it the earliest. A sentence takes its white space up to the next one with it.
-    With `ends` every run of `least` sentences and `min_words` words that repeats goes whole, else what the shortest
-    spans from each sentence cover of it. A null or empty text has no sentences; a text shorter than a span loses nothing. Rows with a null id stay
-    whole and remove nothing. Ids are unique: repeated rows of one id count as one document that repeats itself,
-    and each of its rows loses what any of them does. Other columns are ignored; an empty table gives no rows.
+    Every run of `least` sentences and `min_words` words that repeats goes whole; shorter ones, which many clean
+    texts share by chance, stay (1 takes every run). A null or empty text has no
+    sentences; a text shorter than a span loses nothing. Rows with a null id stay whole and remove nothing. Equal rows
+    are one text, and each of them loses the same; of different texts of one id, that of the least hash comes first.
+    Other columns are ignored; an empty table gives no rows.
     """
-    whole = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    gone = repeated_sentences(whole, least, min_words, ends).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+    whole = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), text_key(docs, id, text))
+    gone = repeated_sentences(whole, least, min_words).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
 
     def cut(batches):
         for batch in batches:
@@ -170,4 +169,4 @@ def sentence_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", leas
             runs = pa.StructArray.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["start", "end"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), runs), pa.array([x.decode("utf-8", "replace") for x in kept], pa.string())], names=["doc_id", "n_sentences", "removed", "kept"])
 
-    return whole.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(cut, "doc_id long, n_sentences long, removed array<struct<start:long,end:long>>, kept string")
+    return whole.join(gone, ["doc_id", "h"], "left").select("doc_id", "text", "gone").mapInArrow(cut, "doc_id long, n_sentences long, removed array<struct<start:long,end:long>>, kept string")

@@ -10,9 +10,11 @@ Runs are compared in three steps, each exact:
 1. inside an input partition, equal runs are settled at once: all but the one of the smallest document go;
    so a passage that is everywhere is shuffled once for each partition;
 2. equal runs of all partitions meet by minimiser, and all but those of the smallest document go;
-3. different runs with one minimiser are sorted as suffixes. With neighbours' common prefixes, the previous and
-   the next suffix of a smaller document in suffix order give the longest previous factor of each start;
-   where it reaches `length`, the window is removed.
+3. different runs with one minimiser are sorted as suffixes, up to the end of their run's windows. With
+   neighbours' common prefixes, the previous and the next suffix of a smaller document in suffix order give the
+   longest previous factor of each start; where it reaches `length`, as many bytes are removed.
+
+A text is known by its id and `h`: its hash where an id has several rows, so that different texts of one id are told apart.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curalume.llm.bytes_np import U64, Prefix, mix, signed, texts
@@ -117,46 +119,61 @@ def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return doc[cut], lo[cut], top[np.r_[cut[1:] - 1, len(doc) - 1]] & 0xFFFFFFFF
 
 
-def _settled(key, sig, doc, at):
-    """Sorted by key, sig, document and place; and which runs have an equal one in a smaller document."""
-    order = np.lexsort((at, doc, sig, key))
-    key, sig, doc, at = key[order], sig[order], doc[order], at[order]
+def text_key(docs: DataFrame, id: str, text: str) -> Column:
+    """What tells the texts of one id apart: their hash; nothing where every id has one row."""
+    ids = docs.where(F.col(id).isNotNull()).groupBy(F.col(id).cast("long")).agg(F.count("*").alias("n"))
+    return (F.lit(0).cast("long") if ids.where("n > 1").isEmpty() else F.xxhash64(F.col(text).cast("string"))).alias("h")
+
+
+def merged_by_text(doc: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans joined where they overlap or touch, by document and text."""
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = _changed(doc, h)
+    text, lo, hi = _merged(np.cumsum(new) - 1, lo[order], hi[order])
+    return doc[new][text], h[new][text], lo, hi
+
+
+def _settled(key, sig, doc, h, at):
+    """Sorted by key, sig, document, text and place; and which runs have an equal one in a smaller document."""
+    order = np.lexsort((at, h, doc, sig, key))
+    key, sig, doc, h, at = key[order], sig[order], doc[order], h[order], at[order]
     new = _changed(key, sig)
-    return key, sig, doc, at, new, doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+    return key, sig, doc, h, at, doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
 
 
-def _spans(doc, at, length: int):
+def _spans(doc, h, at, length: int):
     lo = (at >> U64(33)).astype(np.int64)
-    return _merged(doc, lo, lo + ((at >> U64(25)) & U64(255)).astype(np.int64) + length - 1)
+    return merged_by_text(doc, h, lo, lo + ((at >> U64(25)) & U64(255)).astype(np.int64) + length - 1)
 
 
-_ROWS = "key long, sig long, doc_id long, at long, lo long, hi long"
-_NAMES = ["key", "sig", "doc_id", "at", "lo", "hi"]
+_ROWS = "key long, sig long, doc_id long, h long, at long, lo long, hi long"
+_NAMES = ["key", "sig", "doc_id", "h", "at", "lo", "hi"]
 
 
-def _batch(key, sig, doc, at, lo, hi) -> pa.RecordBatch:
+def _batch(key, sig, doc, h, at, lo, hi) -> pa.RecordBatch:
     n = len(doc)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if x is None else pa.array(signed(x) if x.dtype == U64 else x, pa.int64()) for x in (key, sig, doc, at, lo, hi)], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if x is None else pa.array(signed(x) if x.dtype == U64 else x, pa.int64()) for x in (key, sig, doc, h, at, lo, hi)], names=_NAMES)
 
 
 def _settle_locally(held, length: int):
     """Rows of spans that go (key, for dealing out, is the document) and of runs that stay open."""
-    key, sig, doc, at, _, gone = _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
-    d, lo, hi = _spans(doc[gone], at[gone], length)
-    yield _batch(mix(d.view(U64)), None, d, None, lo, hi)
+    key, sig, doc, h, at, gone = _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    d, t, lo, hi = _spans(doc[gone], h[gone], at[gone], length)
+    yield _batch(mix(d.view(U64)), None, d, t, None, lo, hi)
     for i in range(0, len(gone), 500_000):
         s = slice(i, i + 500_000)
         open_ = ~gone[s]
-        yield _batch(key[s][open_], sig[s][open_], doc[s][open_], at[s][open_], None, None)
+        yield _batch(key[s][open_], sig[s][open_], doc[s][open_], h[s][open_], at[s][open_], None, None)
 
 
 def local_runs(docs: DataFrame, length: int, k: int) -> DataFrame:
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            doc, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for row, key, sig, at in runs(*texts(batch.column(1)), length, k):
-                held.append((key, sig, doc[row], at))
+                held.append((key, sig, doc[row], h[row], at))
                 size += len(row)
                 if size > _HELD:
                     yield from _settle_locally(held, length)
@@ -164,7 +181,7 @@ def local_runs(docs: DataFrame, length: int, k: int) -> DataFrame:
         if held:
             yield from _settle_locally(held, length)
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, _ROWS)
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text", "h").mapInArrow(run, _ROWS)
 
 
 def _meet(of: np.ndarray, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -181,28 +198,29 @@ def _meet(of: np.ndarray, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def meeting_runs(rows: DataFrame, length: int, crowd: int) -> DataFrame:
-    """Runs of all partitions by minimiser: spans that go (lo, hi), and open classes (key, doc_id, n, places, crowded)."""
-    schema = "key long, doc_id long, lo long, hi long, n long, places array<long>, crowded boolean"
-    names = ["key", "doc_id", "lo", "hi", "n", "places", "crowded"]
+    """Runs of all partitions by minimiser: spans that go (lo, hi), and open classes (key, doc_id, h, n, places, crowded)."""
+    schema = "key long, doc_id long, h long, lo long, hi long, n long, places array<long>, crowded boolean"
+    names = ["key", "doc_id", "h", "lo", "hi", "n", "places", "crowded"]
 
-    def spans(doc, lo, hi):
+    def spans(doc, h, lo, hi):
         n = len(doc)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.bool_())], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(doc, pa.int64()), pa.array(h, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.bool_())], names=names)
 
     def run(batches):
         held = []
         for batch in batches:
-            ready = batch.filter(pc.is_valid(batch.column(4)))
+            ready = batch.filter(pc.is_valid(batch.column(5)))
             if ready.num_rows:
-                yield spans(ready.column(2), ready.column(4), ready.column(5))
-            open_ = batch.filter(pc.is_null(batch.column(4)))
+                yield spans(*(ready.column(i) for i in (2, 3, 5, 6)))
+            open_ = batch.filter(pc.is_null(batch.column(5)))
             if open_.num_rows:
-                held.append((*(open_.column(i).to_numpy().view(U64) for i in (0, 1)), open_.column(2).to_numpy(), open_.column(3).to_numpy().view(U64)))
+                held.append((*(open_.column(i).to_numpy().view(U64) for i in (0, 1)), *(open_.column(i).to_numpy() for i in (2, 3)), open_.column(4).to_numpy().view(U64)))
         if not held:
             return
-        key, sig, doc, at, new, gone = _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        yield spans(*_spans(doc[gone], at[gone], length))
-        cut = np.flatnonzero(new)
+        key, sig, doc, h, at, gone = _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield spans(*_spans(doc[gone], h[gone], at[gone], length))
+        key, sig, doc, h, at = (x[~gone] for x in (key, sig, doc, h, at))
+        cut = np.flatnonzero(_changed(key, sig, h))
         k1, d1, a1 = key[cut], doc[cut], at[cut]
         bits = lambda s: ((a1 >> U64(s)) & U64(0xFFF)).astype(np.int64)
         pick = _meet(bits(13), k1, d1) | _meet(bits(1), k1, d1)
@@ -212,18 +230,36 @@ def meeting_runs(rows: DataFrame, length: int, crowd: int) -> DataFrame:
         loops = np.maximum.reduceat((a1 & U64(1)).astype(np.int64), whole) > 0
         pick |= np.repeat(differ & loops, size)
         crowded = np.repeat(size > crowd, size)
-        mine = ~gone & np.repeat(pick, np.diff(np.r_[cut, len(key)]))
+        many = np.diff(np.r_[cut, len(key)])
         c = np.flatnonzero(pick)
-        places = (at[mine] >> U64(33)).astype(np.int64)
-        per = np.add.reduceat((~gone).astype(np.int64), cut)[c]
+        places = (at[np.repeat(pick, many)] >> U64(33)).astype(np.int64)
+        per = many[c]
         n = len(c)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(signed(k1[c])), pa.array(d1[c], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(((a1[c] >> U64(25)) & U64(255)).astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)], pa.int32()), pa.array(places)), pa.array(crowded[c])], names=names
+            [pa.array(signed(k1[c])), pa.array(d1[c], pa.int64()), pa.array(h[cut][c], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(((a1[c] >> U64(25)) & U64(255)).astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)], pa.int32()), pa.array(places)), pa.array(crowded[c])], names=names
         )
 
     return rows.repartition("key").mapInArrow(run, schema)
 
 
+def suffixes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes from each start to its stop, filled up with zeros to a common width of whole words, and their sizes."""
+    size = stop - start
+    wide = -(-int(size.max(initial=1)) // 8) * 8
+    buffer = np.concatenate((data, np.zeros(wide, np.uint8)))
+    out = np.lib.stride_tricks.sliding_window_view(buffer, wide)[start].copy()
+    out[np.arange(wide) >= size[:, None]] = 0
+    return out, size
+
+
+def common_prefixes(suffix: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many bytes each of the sorted suffixes shares with the one before it; 0 for the first."""
+    out = np.zeros(len(size), np.int64)
+    differ = suffix[1:] != suffix[:-1]
+    out[1:] = np.minimum(np.where(differ.any(1), differ.argmax(1), suffix.shape[1]), np.minimum(size[1:], size[:-1]))
+    return out
+
+
 def longest_previous_factors(lcp: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For suffixes in suffix order, the longest prefix shared with a suffix of a smaller document.
 
@@ -245,22 +281,22 @@ def longest_previous_factors(lcp: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def open_windows(texts_: DataFrame, classes: DataFrame, length: int) -> DataFrame:
-    """The bytes of each open class: (key, doc_id, n, places, content), cut from the whole texts."""
-    per_doc = classes.groupBy("doc_id").agg(F.collect_list(F.struct("key", "n", "places")).alias("open"))
+    """The bytes of each open class: (key, doc_id, h, n, places, content), cut from the whole texts."""
+    per_doc = classes.groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "n", "places")).alias("open"))
 
     def run(batches):
         for batch in batches:
             data, offsets = texts(batch.column(1))
             opened = batch.column(2)
             many = opened.value_lengths().to_numpy(zero_copy_only=False)
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), many)
+            ids, h = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), many) for i in (0, 3))
             key, n, places = opened.flatten().flatten()
             lo = pc.list_element(places, 0).to_numpy(zero_copy_only=False) + np.repeat(offsets[:-1], many)
             raw = data.tobytes()
             content = [raw[a:b] for a, b in zip(lo.tolist(), (lo + n.to_numpy(zero_copy_only=False) + length - 1).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([key, pa.array(ids, pa.int64()), n, places, pa.array(content, pa.binary())], names=["key", "doc_id", "n", "places", "content"])
+            yield pa.RecordBatch.from_arrays([key, pa.array(ids, pa.int64()), pa.array(h, pa.int64()), n, places, pa.array(content, pa.binary())], names=["key", "doc_id", "h", "n", "places", "content"])
 
-    return texts_.join(per_doc, "doc_id").select("doc_id", "text", "open").mapInArrow(run, "key long, doc_id long, n long, places array<long>, content binary")
+    return texts_.join(per_doc, ["doc_id", "h"]).select("doc_id", "text", "open", "h").mapInArrow(run, "key long, doc_id long, h long, n long, places array<long>, content binary")
 
 
 def crowded_runs(windows: DataFrame, length: int) -> DataFrame:
@@ -268,15 +304,15 @@ def crowded_runs(windows: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            data, offsets = texts(batch.column(4))
-            n = batch.column(2).to_numpy(zero_copy_only=False)
-            places = batch.column(3)
+            data, offsets = texts(batch.column(5))
+            n = batch.column(3).to_numpy(zero_copy_only=False)
+            places = batch.column(4)
             own = np.repeat(np.arange(len(n)), n)
             j = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
             p = Prefix(data)
             start = offsets[own] + j
             key, sig = p.hash(start, start + length), mix(p.hash(start, start + length - 1) ^ p.hash(start + 1, start + length))
-            doc = batch.column(1).to_numpy(zero_copy_only=False)
+            doc, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             copies = places.value_lengths().to_numpy(zero_copy_only=False)
             flat, base = places.flatten().to_numpy(zero_copy_only=False), np.cumsum(copies) - copies
             rep = np.repeat(np.arange(len(own)), copies[own])
@@ -284,7 +320,7 @@ def crowded_runs(windows: DataFrame, length: int) -> DataFrame:
             lo = flat[base[own[rep]] + nth] + j[rep]
             at = (lo.astype(U64) << U64(33)) | (U64(1) << U64(25))
             if len(rep):
-                yield from _settle_locally([(key[rep], sig[rep], doc[own[rep]], at)], length)
+                yield from _settle_locally([(key[rep], sig[rep], doc[own[rep]], h[own[rep]], at)], length)
 
     return windows.mapInArrow(run, _ROWS)
 
@@ -293,34 +329,31 @@ _PIECE = 150_000
 
 
 def suffix_order_spans(windows: DataFrame, length: int) -> DataFrame:
-    """(doc_id, lo, hi) of windows with a longest previous factor of `length` or more, among the classes of each minimiser."""
-    wide = -(-length // 8) * 8
+    """(doc_id, h, lo, hi) of the longest previous factors of `length` bytes or more, among the classes of each minimiser."""
 
-    def settle(key, doc, n, places, data, offsets):
+    def settle(key, doc, h, n, places, data, offsets):
         own = np.repeat(np.arange(len(n)), n)
         j = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        buffer = np.concatenate((data, np.zeros(wide, np.uint8)))
-        view = np.lib.stride_tricks.sliding_window_view(buffer, wide)[offsets[own] + j].copy()
-        view[:, length:] = 0
-        columns = view.view(">u8").astype(U64)
-        order = np.lexsort((doc[own], *columns.T[::-1], key[own]))
-        columns, group, d = columns[order], key[own][order], doc[own][order]
-        same = np.zeros(len(order), bool)
-        same[1:] = (columns[1:] == columns[:-1]).all(1) & (group[1:] == group[:-1])
+        suffix, size = suffixes(data, offsets[own] + j, offsets[own + 1])
+        columns = suffix.view(">u8").astype(U64)
+        order = np.lexsort((doc[own], size, *columns.T[::-1], key[own]))
+        suffix, size, group, d = suffix[order], size[order], key[own][order], doc[own][order]
+        lcp = common_prefixes(suffix, size)
+        lcp[1:][group[1:] != group[:-1]] = 0
         # a factor of `length` can only end at a neighbour that shares that much: the others need no stack
-        edge = same | np.r_[same[1:], False]
-        lcp = np.where(same, length, 0)
-        hit = np.zeros(len(order), bool)
-        some = np.flatnonzero(edge)
-        hit[some] = longest_previous_factors(lcp[some], d[some]) >= length
-        at = order[hit]
+        near = lcp >= length
+        some = np.flatnonzero(near | np.r_[near[1:], False])
+        factor = np.zeros(len(order), np.int64)
+        factor[some] = longest_previous_factors(np.where(near, lcp, 0)[some], d[some])
+        hit = factor >= length
+        at, factor = order[hit], factor[hit]
         c, off = own[at], j[at]
         copies = places.value_lengths().to_numpy(zero_copy_only=False)
         flat, base = places.flatten().to_numpy(zero_copy_only=False), np.cumsum(copies) - copies
         rep = np.repeat(np.arange(len(c)), copies[c])
         nth = np.arange(len(rep)) - np.repeat(np.cumsum(copies[c]) - copies[c], copies[c])
         lo = flat[base[c[rep]] + nth] + off[rep]
-        return _merged(doc[c[rep]], lo, lo + length)
+        return merged_by_text(doc[c[rep]], h[c[rep]], lo, lo + factor[rep])
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
@@ -336,11 +369,11 @@ def suffix_order_spans(windows: DataFrame, length: int) -> DataFrame:
             j = min(j, len(cut) - 1)
             s = t.slice(cut[i], cut[j] - cut[i]).combine_chunks()
             chunk = s.to_batches()[0]
-            doc, lo, hi = settle(chunk.column(0).to_numpy(), chunk.column(1).to_numpy(), chunk.column(2).to_numpy(), chunk.column(3), *texts(chunk.column(4)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["doc_id", "lo", "hi"])
+            found = settle(*(chunk.column(x).to_numpy() for x in range(4)), chunk.column(4), *texts(chunk.column(5)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["doc_id", "h", "lo", "hi"])
             i = j
 
-    return windows.repartition("key").mapInArrow(run, "doc_id long, lo long, hi long")
+    return windows.repartition("key").mapInArrow(run, "doc_id long, h long, lo long, hi long")
 
 
 def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50, k: int = 12, crowd: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -349,8 +382,8 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length
     A byte of the UTF-8 text goes if a string of `length` bytes over it also starts in a document with a smaller
     id; strings are judged on the input, overlaps count, and none crosses documents. A null or empty text has no
     bytes and no spans, a text shorter than `length` stays whole. Rows with a null id are kept whole and remove
-    nothing. Ids are unique; repeated equal rows are one document, and all its rows get the same spans. Other
-    columns are ignored; an empty table gives no rows.
+    nothing. Repeated rows of one id, with equal or different texts, remove nothing from each other, and each loses
+    what smaller ids have. Other columns are ignored; an empty table gives no rows.
     `k` is the minimiser's width; `crowd` is how many different runs of one minimiser a task sorts before they
     are dealt out by window instead. `carry` names columns that come
     along in a struct named carried, and adds kept_text, the bytes left without those of a cut character.
@@ -358,16 +391,16 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length
     if not 0 < k < length or length - k + 1 > 255:
         raise ValueError("k must be below length and within 254 of it")
     taken = [F.struct(*carry).alias("carried")] if carry else []
-    whole = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *taken)
+    whole = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), text_key(docs, id, text), *taken)
     met = saved(meeting_runs(local_runs(whole, length, k), length, crowd), "runs")
     dealt = whole.repartition("doc_id")
     classes = met.where("n is not null")
     apart = suffix_order_spans(open_windows(dealt, classes.where("not crowded"), length), length)
-    spans = met.where("hi is not null").select("doc_id", "lo", "hi").unionByName(apart)
+    spans = met.where("hi is not null").select("doc_id", "h", "lo", "hi").unionByName(apart)
     if not classes.where("crowded").limit(1).isEmpty():
         dense = meeting_runs(crowded_runs(open_windows(dealt, classes.where("crowded"), length), length), length, 1 << 62)
-        spans = spans.unionByName(dense.where("hi is not null").select("doc_id", "lo", "hi"))
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+        spans = spans.unionByName(dense.where("hi is not null").select("doc_id", "h", "lo", "hi"))
+    per_doc = spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
 
     def cut(batches):
         for batch in batches:
@@ -390,6 +423,6 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length
             spans = pa.StructArray.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["start", "end"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), spans), pa.array(kept, pa.binary()), *batch.columns[3:], *([pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())] if carry else [])], names=["doc_id", "n_bytes", "spans", "kept", "carried", "kept_text"][: 6 if carry else 4])
 
-    joined = dealt.join(per_doc, "doc_id", "left").select("doc_id", "text", "gone", *(["carried"] if taken else []))
+    joined = dealt.join(per_doc, ["doc_id", "h"], "left").select("doc_id", "text", "gone", *(["carried"] if taken else []))
     carried = f", carried {whole.schema['carried'].dataType.simpleString()}, kept_text string" if taken else ""
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary" + carried)
