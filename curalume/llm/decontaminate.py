@@ -3,37 +3,57 @@
 A document is hit where a whole window of an item stands in it. Containment of all shingles of a window makes
 one of them a sufficient prefix: the rarest in the corpus. Documents are scanned for those shingles only; the
 shingle's place in the window and the document's bounds fix the one place where the window can start, and its
-words are compared there. The scan needs no shuffle. Windows are broadcast in blocks of a fixed size, each
+words are compared there, byte by byte. The scan needs no shuffle. Windows are broadcast in blocks of a fixed size, each
 joined with all documents, so that a benchmark of any size fits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curalume.llm.bytes_np import ALNUM, LOWER, U64, grams, row_groups, signed, texts, words
-from curalume.plans.tables import saved
+from curalume.plans.tables import Scratch, saved
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    return np.where((data >= 0x41) & (data <= 0x5A), data + 0x20, data).astype(np.uint8)
+
+
+def _equal_spans(x: np.ndarray, start: np.ndarray, end: np.ndarray, y: np.ndarray, other: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Whether the bytes of x in each span are those of y in the other one; no span is empty."""
+    out = end - start == stop - other
+    some = np.flatnonzero(out)
+    if len(some):
+        n = (end - start)[some]
+        base = np.cumsum(n) - n
+        step = np.arange(n.sum()) - np.repeat(base, n)
+        out[some] = np.logical_and.reduceat(x[np.repeat(start[some], n) + step] == y[np.repeat(other[some], n) + step], base)
+    return out
 
 
 def item_windows(items: DataFrame, id: str, text: str, size: int) -> DataFrame:
-    """(w, items): each distinct window of `size` words, as word hashes, and the items it is in; a shorter item is one window."""
+    """(w, items): each distinct window of `size` words, lower-cased, and the items it is in; a shorter item is one window."""
 
     def run(batches):
         for batch in batches:
             data, offsets = texts(batch.column(1))
             x = words(data, offsets, ALNUM, LOWER)
+            raw = _lowered(data).tobytes()
+            word = [raw[s:e].decode() for s, e in zip(x.start.tolist(), x.end.tolist(), strict=True)]
             own, rows = [], []
             for i, (a, b) in enumerate(zip(x.first[:-1].tolist(), x.first[1:].tolist(), strict=True)):
                 for s in range(a, max(a + 1, b - size + 1)) if b > a else ():
                     own.append(i)
-                    rows.append(signed(x.hash[s : min(s + size, b)]))
-            at = np.r_[0, np.cumsum([len(r) for r in rows])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64)))], names=["item", "w"])
+                    rows.append(word[s : min(s + size, b)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array(rows, pa.list_(pa.string()))], names=["item", "w"])
 
-    found = items.select(F.col(id).cast("string").alias("item"), text).where("item is not null").mapInArrow(run, "item string, w array<long>")
+    found = items.select(F.col(id).cast("string").alias("item"), text).where("item is not null").mapInArrow(run, "item string, w array<string>")
     return found.groupBy("w").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
@@ -41,11 +61,11 @@ class _Block:
     """The windows of one block with their shingles; `rarest` leaves one shingle for each window."""
 
     def __init__(self, rows, shingle: int):
-        w = [np.array(r.w, np.int64).view(U64) for r in rows]
+        self.data, offsets = texts(pa.array([" ".join(r.w) for r in rows], pa.string()))
+        self.start, self.end, self.at, self.flat = words(self.data, offsets, ALNUM, LOWER)
+        w = [self.flat[a:b] for a, b in zip(self.at[:-1], self.at[1:], strict=True)]
         self.items = [list(r["items"]) for r in rows]
-        self.size = np.array([len(x) for x in w], np.int64)
-        self.at = np.r_[0, np.cumsum(self.size)]
-        self.flat = np.concatenate(w) if w else np.empty(0, U64)
+        self.size = np.diff(self.at)
         self.widths = sorted({min(shingle, len(x)) for x in w})
         g = [grams(x, min(shingle, len(x))) for x in w]
         self.window = np.repeat(np.arange(len(w)), [len(x) for x in g])
@@ -97,63 +117,104 @@ def _counts(docs: DataFrame, text: str, block: _Block) -> dict[int, int]:
     return {r.token: r.n for r in docs.select(text).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
 
 
+def _found(batch: pa.RecordBatch, b: _Block) -> pa.RecordBatch:
+    """(row, doc_id, n_words, spans, items) per row of a batch (row, doc_id, text)."""
+    data, offsets = texts(batch.column(2))
+    n_words, spans, span_at, items = [], [], [0], []
+    for lo, hi in row_groups(offsets):
+        x = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ALNUM, LOWER)
+        n_words.append(np.diff(x.first))
+        starts, wins = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at, i in b.found(x.hash):
+            many = b.begin[i + 1] - b.begin[i]
+            e = np.repeat(b.begin[i], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            start, win = np.repeat(at, many) - b.place[e], b.window[e]
+            row = np.searchsorted(x.first, np.repeat(at, many), "right") - 1
+            fits = (start >= x.first[row]) & (start + b.size[win] <= x.first[row + 1])
+            start, win = start[fits], win[fits]
+            for j in range(int(b.size[win].max()) if len(win) else 0):  # one word of all windows at a time
+                short = j >= b.size[win]
+                same = short | (x.hash[np.minimum(start + j, len(x.hash) - 1)] == b.flat[np.minimum(b.at[win] + j, len(b.flat) - 1)])
+                start, win = start[same], win[same]
+            starts.append(start)
+            wins.append(win)
+        start, win = np.concatenate(starts), np.concatenate(wins)
+        if len(start):  # equal hashes can only be trusted to leave out, so the words themselves are compared
+            low, same = _lowered(data[offsets[lo] : offsets[hi]]), np.ones(len(start), bool)
+            for j in range(int(b.size[win].max())):
+                at = np.flatnonzero(j < b.size[win])
+                d, i = start[at] + j, b.at[win[at]] + j
+                same[at] &= _equal_spans(low, x.start[d], x.end[d], b.data, b.start[i], b.end[i])
+            start, win = start[same], win[same]
+        order = np.argsort(start, kind="stable")
+        start, win = start[order], win[order]
+        row = np.searchsorted(x.first, start, "right") - 1
+        cut = np.searchsorted(row, np.arange(hi - lo + 1))
+        for r, (p, q) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+            merged: list[list[int]] = []
+            for s, t in zip((start[p:q] - x.first[r]).tolist(), (start[p:q] - x.first[r] + b.size[win[p:q]]).tolist(), strict=True):
+                if merged and s <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], t)
+                else:
+                    merged.append([s, t])
+            spans += merged
+            span_at.append(len(spans))
+            items.append(sorted({i for k in set(win[p:q].tolist()) for i in b.items[k]}))
+    both = np.array(spans, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column(0),
+            batch.column(1),
+            pa.array(np.concatenate(n_words) if n_words else np.empty(0, np.int64), pa.int64()),
+            pa.ListArray.from_arrays(pa.array(span_at, pa.int32()), pa.StructArray.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["start", "end"])),
+            pa.array(items, pa.list_(pa.string())),
+        ],
+        names=["row", "doc_id", "n_words", "spans", "items"],
+    )
+
+
 def _hits(rows: DataFrame, block: _Block) -> DataFrame:
     """(row, doc_id, n_words, spans, items) per row of `rows`, (row, doc_id, text)."""
     shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def run(batches):
-        b = shared.value
         for batch in batches:
-            data, offsets = texts(batch.column(2))
-            n_words, spans, span_at, items = [], [], [0], []
-            for lo, hi in row_groups(offsets):
-                x = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ALNUM, LOWER)
-                n_words.append(np.diff(x.first))
-                starts, wins = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-                for at, i in b.found(x.hash):
-                    many = b.begin[i + 1] - b.begin[i]
-                    e = np.repeat(b.begin[i], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    start, win = np.repeat(at, many) - b.place[e], b.window[e]
-                    row = np.searchsorted(x.first, np.repeat(at, many), "right") - 1
-                    fits = (start >= x.first[row]) & (start + b.size[win] <= x.first[row + 1])
-                    start, win = start[fits], win[fits]
-                    for j in range(int(b.size[win].max()) if len(win) else 0):  # one word of all windows at a time
-                        short = j >= b.size[win]
-                        same = short | (x.hash[np.minimum(start + j, len(x.hash) - 1)] == b.flat[np.minimum(b.at[win] + j, len(b.flat) - 1)])
-                        start, win = start[same], win[same]
-                    starts.append(start)
-                    wins.append(win)
-                start, win = np.concatenate(starts), np.concatenate(wins)
-                order = np.argsort(start, kind="stable")
-                start, win = start[order], win[order]
-                row = np.searchsorted(x.first, start, "right") - 1
-                cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                for r, (p, q) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-                    merged: list[list[int]] = []
-                    for s, t in zip((start[p:q] - x.first[r]).tolist(), (start[p:q] - x.first[r] + b.size[win[p:q]]).tolist(), strict=True):
-                        if merged and s <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], t)
-                        else:
-                            merged.append([s, t])
-                    spans += merged
-                    span_at.append(len(spans))
-                    items.append(sorted({i for k in set(win[p:q].tolist()) for i in b.items[k]}))
-            both = np.array(spans, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(np.concatenate(n_words) if n_words else np.empty(0, np.int64), pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(span_at, pa.int32()), pa.StructArray.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["start", "end"])),
-                    pa.array(items, pa.list_(pa.string())),
-                ],
-                names=["row", "doc_id", "n_words", "spans", "items"],
-            )
+            yield _found(batch, shared.value)
 
     return rows.mapInArrow(run, "row long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, shingle: int = 3, block_windows: int = 100_000) -> DataFrame:
+def _blocks(windows: DataFrame, docs: DataFrame, n: int, shingle: int) -> Iterator[_Block]:
+    """The windows in n blocks, each window with its rarest shingle in docs(text)."""
+    for i in range(n):
+        block = _Block(windows.where(F.pmod(F.xxhash64("w"), F.lit(n)) == i).collect(), shingle)
+        block.rarest(_counts(docs, "text", block))
+        yield block
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, shingle: int = 3, block_windows: int = 250_000) -> DataFrame:
+    """The rows of `docs` that decontaminated finds no window in, with all their columns: each is judged where it lies, whatever its id, and nothing is shuffled."""
+    scratch = Scratch(docs.sparkSession)
+    windows = scratch.saved(item_windows(items, item_id, item_text, size), "windows")
+    n = max(1, -(-windows.count() // block_windows))
+    texts_ = docs.select(F.col(text).cast("string").alias("text"))
+    out, names = docs, docs.columns
+    for block in _blocks(windows, texts_, n, shingle):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                column = batch.column(names.index(text))
+                none = pa.nulls(len(column), pa.int64())
+                found = _found(pa.RecordBatch.from_arrays([none, none, column], names=["row", "doc_id", "text"]), shared.value)
+                yield batch.filter(pc.equal(pc.list_value_length(found.column(3)), 0))
+
+        out = out.mapInArrow(run, docs.schema)
+    scratch.close()
+    return out
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, shingle: int = 3, block_windows: int = 250_000) -> DataFrame:
     """(doc_id, n_words, spans, items) per row of `docs`: word spans covered by a window of an item, maximal and ascending, and those items as sorted strings.
 
     Words are runs of ASCII letters and digits and of any non-ASCII characters, A-Z lower-cased. A window is
@@ -164,16 +225,14 @@ def decontaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text:
     documents are written once with a number for each row and joined with one block after another, and the blocks'
     findings are merged by that number.
     """
-    windows = saved(item_windows(items, item_id, item_text, size), "windows")
+    scratch = Scratch(docs.sparkSession)
+    windows = scratch.saved(item_windows(items, item_id, item_text, size), "windows")
     n = max(1, -(-windows.count() // block_windows))
     rows = docs.select((F.monotonically_increasing_id() if n > 1 else F.lit(0).cast("long")).alias("row"), F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     if n > 1:
         rows = saved(rows, "rows")
-    parts = []
-    for i in range(n):
-        block = _Block(windows.where(F.pmod(F.xxhash64("w"), F.lit(n)) == i).collect(), shingle)
-        block.rarest(_counts(rows, "text", block))
-        parts.append(_hits(rows, block))
+    parts = [_hits(rows, block) for block in _blocks(windows, rows, n, shingle)]
+    scratch.close()
     if n == 1:
         return parts[0].drop("row")
     every = parts[0]

@@ -126,9 +126,13 @@ def identify(docs: DataFrame, profiles: DataFrame, id: str = "doc_id", text: str
         n = len(offsets) - 1
         key, count = _counted(data, offsets)
         row, gram = key >> U64(_CODE), key & U64((1 << _CODE) - 1)
-        # one sort by row, falling count, n-gram
-        order = np.sort((row << U64(51)) | ((U64((1 << 25) - 1) - np.minimum(count, (1 << 25) - 1).astype(U64)) << U64(_CODE)) | gram)
-        row, gram = (order >> U64(51)).astype(np.int64), (order & U64((1 << _CODE) - 1)).astype(np.int64)
+        # by row, falling count, n-gram: in one sort where the counts fit beside both
+        if count.max(initial=0) < 1 << 25:
+            order = np.sort((row << U64(51)) | ((U64((1 << 25) - 1) - count.astype(U64)) << U64(_CODE)) | gram)
+            row, gram = (order >> U64(51)).astype(np.int64), (order & U64((1 << _CODE) - 1)).astype(np.int64)
+        else:
+            order = np.lexsort((gram, -count, row))
+            row, gram = row[order].astype(np.int64), gram[order].astype(np.int64)
         begin = np.searchsorted(row, np.arange(n + 1))
         rank = np.arange(len(row)) - begin[row] + 1
         short = rank <= top

@@ -5,10 +5,11 @@ from collections import Counter
 
 import numpy as np
 
-from curalume.llm.decontaminate import decontaminated
+from curalume.llm.bytes_np import EXACT, NOT_SPACE, words
+from curalume.llm.decontaminate import _equal_spans, clean_documents, decontaminated
 from curalume.llm.langid import held_out, identify, language_profiles
 from curalume.llm.quality import good_documents, quality_model, quality_rules
-from curalume.llm.token_counts import PRE_TOKEN, token_counts, zipf_scores
+from curalume.llm.token_counts import PRE_TOKEN, Trie, token_counts, zipf_scores
 
 DOCS = "doc_id long, text string, kept string"
 
@@ -47,6 +48,41 @@ def test_quality_counts_match_brute_force_and_model_separates(frame):
     assert quality_rules(frame([], DOCS), model).count() == 0
 
 
+def test_quality_verdict_matches_a_plain_score(frame):
+    """Word and 4-byte buckets looked up one by one, scaled, calibrated and held against the threshold."""
+    r = random.Random(9)
+    rows = [(d, junk(r, 30) if d % 2 else prose(r, 40)) for d in range(80)] + [(200, "été " * 30), (201, "ab " * 25), (202, "river1 BUY!! " * 2 + prose(r, 18))]
+    docs = frame([(*x, "") for x in rows], DOCS)
+    model = quality_model(docs, frame([(d, d % 2) for d in range(80)], "doc_id long, quality int"))
+    for x in quality_rules(docs, model).collect():
+        data = dict(rows)[x.doc_id].encode()
+        tokens = re.findall(rb"[^\x20\x09-\x0D]+", data)
+        z = float(model.bias[0])
+        for t in tokens:
+            one = np.frombuffer(t, np.uint8)
+            z += 5.0 / len(tokens) ** 0.5 * float(model.weights[int(words(one, np.array([0, len(one)]), NOT_SPACE, EXACT).hash[0]) >> 48, 0])
+        for i in range(len(data) - 3):
+            code = (int.from_bytes(data[i : i + 4], "little") * 0x9E3779B1) % (1 << 32)
+            z += 50.0 / (len(data) - 3) * float(model.weights[(1 << 16) + (code >> 16), 0])
+        p = 1 / (1 + math.exp(-(model.slope * z + float(model.shift[0]))))
+        p = p if model.classes[1] == "1" else 1 - p
+        assert math.isclose(x.probability, p, rel_tol=1e-6, abs_tol=1e-9)
+        assert x.kept == (not x.base_failed and x.probability >= 0.5)
+
+
+def test_null_and_repeated_ids_in_quality_and_token_counts(frame):
+    r = random.Random(10)
+    text = prose(r, 40)
+    rows = [(None, text, ""), (1, text, ""), (1, text, ""), (1, "few words", ""), (None, None, "")]
+    found = sorted((str(x.doc_id), x.n_words, x.kept) for x in quality_rules(frame(rows, DOCS), None).collect())
+    assert found == [("1", 2, False), ("1", 40, True), ("1", 40, True), ("None", 0, False), ("None", 40, True)]
+    docs, labels = frame([(None, "a b", ""), (1, prose(r, 30), ""), (1, prose(r, 30), ""), (2, junk(r, 30), "")], DOCS), frame([(1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
+    assert quality_model(docs, labels).classes == ["0", "1"]
+    counts = sorted((str(x.doc_id), x.n_tokens) for x in token_counts(frame(rows, DOCS), {b"r": -1.0, b"few": -1.0, b" words": -1.0}).collect())
+    assert [d for d, _ in counts] == ["1", "1", "1", "None", "None"] and ("1", 2) in counts and ("None", 0) in counts
+    assert len({n for d, n in counts if n > 2}) == 1
+
+
 def decontaminate_brute(docs, items, size):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = {}
@@ -91,6 +127,53 @@ def test_decontamination_keeps_rows_of_null_and_repeated_ids(frame):
         assert sorted((str(x.doc_id), x.n_words, [(s.start, s.end) for s in x.spans], x["items"]) for x in found.collect()) == expected
 
 
+def test_clean_documents_are_the_rows_without_a_hit(frame):
+    items = frame([(i, " ".join(f"i{i}w{j}" for j in range(12))) for i in range(8)], "item_id long, text string")
+    hit = lambda i: "lead " + " ".join(f"I{i}W{j}" for j in range(12))
+    rows = [(None, "one", "a"), (None, hit(1), "b"), (7, hit(2), "c"), (7, "clean text", "d"), (8, None, "e"), (9, "", "f"), (10, hit(3)[:-5], "g"), (11, hit(3)[:-18], "h")]
+    for block in (100_000, 5):
+        found = clean_documents(frame(rows, DOCS), items, block_windows=block)
+        assert found.columns == ["doc_id", "text", "kept"] and sorted(x.kept for x in found.collect()) == list("adef") + ["h"]
+
+
+def test_words_are_compared_byte_by_byte():
+    x, y = (np.frombuffer(b, np.uint8) for b in (b"abcd ab", b"xabcabd"))
+    start, end = np.array([0, 0, 5, 0]), np.array([3, 3, 7, 2])
+    assert _equal_spans(x, start, end, y, np.array([1, 4, 4, 1]), np.array([4, 7, 6, 4])).tolist() == [True, False, True, False]
+
+
+def lang_grams(text):
+    """n-grams of 1 to 3 bytes of lower-cased words with a mark on both sides, by falling count, then size and bytes."""
+    folded = re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), text or "").encode()
+    counts = Counter()
+    for w in re.findall(rb"[a-z\x80-\xff]+", folded):
+        w = b" " + w + b" "
+        for n in (1, 2, 3):
+            counts.update(w[i : i + n] for i in range(len(w) - n + 1) if w[i : i + n] != b" ")
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], len(x[0]), x[0]))], counts
+
+
+def test_profiles_and_distances_match_brute_force(frame):
+    r = random.Random(11)
+    pool = {"en": "the and that Éve with from-this have x9y".split(), "fr": "les des une dans être leçon ÉTÉ".split(), "de": "und der nicht über Schön".split()}
+    rows = [(d, None if d % 17 == 0 else " ".join(r.choice(pool[lang]) for _ in range(r.randrange(0, 25))), lang) for d in range(90) for lang in [r.choice([*pool])]]
+    top = 25
+    learnt = {}
+    for lang in pool:
+        learnt[lang] = {g: i + 1 for i, g in enumerate(lang_grams("\n".join(t or "" for _, t, k in rows if k == lang))[0][:top])}
+    docs = frame(rows, "doc_id long, text string, lang string")
+    profiles = language_profiles(docs, top=top)
+    code = lambda g: int.from_bytes(g, "big") + ((len(g) - 1) << 24)
+    assert {(x.lang, x.gram): x["rank"] for x in profiles.collect()} == {(lang, code(g)): k for lang, p in learnt.items() for g, k in p.items()}
+    for x in identify(docs, profiles, top=top).collect():
+        own = lang_grams(dict((d, t) for d, t, _ in rows)[x.doc_id])[0][:top]
+        if not own:
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        far = {lang: sum(min(top, abs(p[g] - i)) if g in p else top for i, g in enumerate(own, 1)) / (top * len(own)) for lang, p in learnt.items()}
+        assert math.isclose(1 - x.score, min(far.values()), abs_tol=1e-9) and math.isclose(far[x.lang_pred], min(far.values()), abs_tol=1e-9)
+
+
 def test_language_profiles(frame):
     words = {"en": "the and that with from this have".split(), "fr": "les des une pour dans être leçon".split(), "de": "und der nicht über schön wird".split()}
     r = random.Random(3)
@@ -145,3 +228,16 @@ def test_token_counts_match_plain_dynamic_programming(frame, tmp_path):
     assert {x.doc_id: x.n_tokens for x in token_counts(docs, scores).collect()} == expected
     assert {x.doc_id: x.n_tokens for x in token_counts(docs, str(path)).collect()} == expected
     assert token_counts(docs.limit(0), scores).count() == 0
+
+
+def test_very_long_pre_tokens_are_counted_the_same(frame):
+    r = random.Random(6)
+    pieces = [b"a", b"b", b"ab", b"aab", b"abab", b"bbbbbb", b"ba"]
+    scores = {p: -1.0 - r.random() * len(p) ** 0.5 for p in pieces}
+    trie = Trie(scores, -30.0)
+    for _ in range(40):
+        token = bytes(r.choice(b"abc") for _ in range(r.randrange(1, 300)))
+        assert trie.count_of(token) == trie.add(token)
+    rows = [(1, "ab" * 400_000, ""), (2, "ab" * 400, ""), (3, "".join(r.choice("ab") for _ in range(900)), "")]
+    found = {x.doc_id: x.n_tokens for x in token_counts(frame(rows, DOCS), scores).collect()}
+    assert found[1] == found[2] * 1000 and found[3] == token_brute(rows[2][1], scores, -30.0)
