@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curalume.llm.decontaminate import decontaminated
+from curalume.llm.decontaminate import clean_documents
 from curalume.llm.mixing import mix_to_targets, with_rates
 from curalume.llm.ngram_join import ngram_jaccard_classes
 from curalume.llm.quality import good_documents, quality_model
 from curalume.llm.queries import domains
 from curalume.llm.suffix_dedup import suffix_dedup
-from curalume.plans.tables import saved, table
+from curalume.plans.tables import Scratch, saved, table
 
 
 #: Target shares of the tokens; documents of low quality have gone before.
@@ -40,12 +40,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    found = decontaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where(F.size("spans") > 0).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with the rate at which it should be drawn; documents of rate 0 go."""
+    """Each document with the rate at which it should be drawn, in place of a column rate that it may have; documents of rate 0 go."""
     _, mix = mix_to_targets(docs, domains(table(spark, sf_dir, "labels")).where("domain <> 'low'"), TARGETS)
     return with_rates(docs, mix).where("rate > 0")
 
@@ -64,7 +63,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name.split()[0])
+    """The last stage's rows. Each stage is written and read again; what came before is removed then."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    for i, (name, stage) in enumerate(STAGES):
+        kept = Scratch(spark)
+        save = saved if i == len(STAGES) - 1 else kept.saved
+        docs = save(stage(spark, docs, sf_dir), name.split()[0])
+        if last:
+            last.close()
+        last = kept
+    last.close()
     return docs
