@@ -59,18 +59,16 @@ def frequent_shingles(docs: DataFrame, text: str, n: int, share: float, limit: i
 
     def local(batches):
         counts: dict[int, int] = {}
-        rows = 0
         for batch in batches:
-            rows += batch.num_rows
             found = [*_sets(batch.column(0), n)]
             value, count = np.unique(np.concatenate(found) if found else np.empty(0, U64), return_counts=True)
             many = count >= max(3, share / 2 * batch.num_rows)
             for v, c in zip(signed(value[many]).tolist(), count[many].tolist(), strict=True):
                 counts[v] = counts.get(v, 0) + c
-        yield pa.RecordBatch.from_arrays([pa.array([*counts], pa.int64()), pa.array([*counts.values()], pa.int64()), pa.array([rows] * len(counts), pa.int64())], names=["token", "c", "rows"])
+        yield pa.RecordBatch.from_arrays([pa.array([*counts], pa.int64()), pa.array([*counts.values()], pa.int64())], names=["token", "c"])
 
     total = docs.count()
-    top = docs.select(text).mapInArrow(local, "token long, c long, rows long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= max(3, share * total)).orderBy(F.desc("c"), "token").limit(limit).toPandas()
+    top = docs.select(text).mapInArrow(local, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= max(3, share * total)).orderBy(F.desc("c"), "token").limit(limit).toPandas()
     token, count = top["token"].to_numpy(np.int64).view(U64), top["c"].to_numpy(np.int64)
     order = np.argsort(token)
     return token[order], count[order]
@@ -168,10 +166,8 @@ def verified(pairs: DataFrame, wanted: DataFrame, n: int, save: Callable[[DataFr
     part = F.when(F.col("m") <= group_rows, F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / group_rows))).cast("int")
     pairs = save(pairs.select("a", "b"), "pairs")
     counted = save(pairs.join(pairs.groupBy("b").agg(F.count("*").alias("m")), "b").select("a", "b", part.alias("part")), "dealt")
-    ids = counted.select(F.col("a").alias("doc_id")).unionByName(counted.select(F.col("b").alias("doc_id"))).distinct()
-    needed = save(wanted.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), "texts")
-    left = needed.select(F.col("doc_id").alias("a"), "text").join(counted.hint("merge"), "a").select("b", "part", "a", "text")
-    right = needed.select(F.col("doc_id").alias("b"), "text").join(counted.select("b", "part").distinct().hint("merge"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
+    # what each text is wanted for: as a's, or (a null) as b's, so that texts are shuffled to their pairs once
+    asked = counted.select(F.col("a").alias("doc_id"), "b", "part", "a").unionByName(counted.select(F.col("b").alias("doc_id"), "b", "part", F.lit(None).cast("long").alias("a")).distinct())
 
     def run(batches):
         key, mine = None, []
@@ -191,7 +187,7 @@ def verified(pairs: DataFrame, wanted: DataFrame, n: int, save: Callable[[DataFr
             cols = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i < 5 else pa.list_(pa.int64())) for i, x in enumerate(cols)], names=["a", "b", "common", "na", "nb", "change"])
 
-    both = left.unionByName(right).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    both = wanted.select("doc_id", "text").join(asked.hint("merge"), "doc_id").select("b", "part", "a", "text").repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
     return both.mapInArrow(run, "a long, b long, common long, na long, nb long, change array<long>")
 
 
