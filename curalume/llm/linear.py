@@ -91,16 +91,16 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def _fit(y: np.ndarray, index: np.ndarray, value: np.ndarray, at: np.ndarray, k: int, epochs: int, rate: float, l2: float):
-    """Multinomial logistic regression by AdaGrad over mini-batches in a fixed order."""
+def _fit(y: np.ndarray, index: np.ndarray, value: np.ndarray, lo: np.ndarray, hi: np.ndarray, chosen: np.ndarray, k: int, epochs: int, rate: float, l2: float):
+    """Multinomial logistic regression of the chosen rows by AdaGrad over mini-batches in a fixed order; row r has the features from lo[r] to hi[r]."""
     w, b = np.zeros((2 * BUCKETS, k - 1)), np.zeros(k - 1)
     gw, gb = np.full_like(w, 1e-3), np.full_like(b, 1e-3)
-    order = np.random.Generator(np.random.PCG64(1)).permutation(len(y))
+    order = chosen[np.random.Generator(np.random.PCG64(1)).permutation(len(chosen))]
     for _ in range(epochs):
         for s in range(0, len(order), 64):
             rows = order[s : s + 64]
-            pick = np.concatenate([np.arange(at[r], at[r + 1]) for r in rows])
-            own = np.repeat(np.arange(len(rows)), at[rows + 1] - at[rows])
+            pick = np.concatenate([np.arange(lo[r], hi[r]) for r in rows])
+            own = np.repeat(np.arange(len(rows)), hi[rows] - lo[rows])
             i, v = index[pick], value[pick]
             z = np.stack([np.bincount(own, v * w[i, j], len(rows)) for j in range(k - 1)], 1) + b
             e = (_softmax(z) - np.eye(k)[y[rows]])[:, 1:] / len(rows)
@@ -152,22 +152,22 @@ def trained(docs: DataFrame, labelled: DataFrame, max_rows: int = 8000, epochs:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        t = pa.Table.from_batches(held).sort_by("doc_id").combine_chunks()
-        names = sorted(set(t["label"].to_pylist()))
+        ids, labels = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in (0, 1))
+        size = np.concatenate([b.column(2).value_lengths().to_numpy(zero_copy_only=False) for b in held]).astype(np.int64)
+        i, v = (np.concatenate([b.column(c).flatten().to_numpy() for b in held]) for c in (2, 3))
+        held.clear()
+        order = np.argsort(ids, kind="stable")  # rows by id, whose features stay where they are
+        hi = np.cumsum(size)[order]
+        lo = hi - size[order]
+        names = sorted(set(labels.tolist()))
         if len(names) < 2:
             return
-        y = np.array([names.index(x) for x in t["label"].to_pylist()])
-        i, v = t["i"].combine_chunks(), t["v"].combine_chunks()
-        at = np.r_[0, np.cumsum(i.value_lengths().to_numpy(zero_copy_only=False))]
-        i, v = i.flatten().to_numpy().astype(np.int64), v.flatten().to_numpy().astype(float)
+        y = np.array([names.index(x) for x in labels[order].tolist()])
         held_out = np.arange(len(y)) % 5 == 0
         if len(set(y[~held_out])) < len(names):
             held_out[:] = False
-        rows = np.flatnonzero(~held_out)
-        pick = np.concatenate([np.arange(at[r], at[r + 1]) for r in rows]) if len(rows) else np.empty(0, np.int64)
-        w, b = _fit(y[rows], i[pick], v[pick], np.r_[0, np.cumsum(at[rows + 1] - at[rows])], len(names), epochs, rate, l2)
-        own = np.repeat(np.arange(len(y)), np.diff(at))
-        z = np.stack([np.bincount(own, v * w[i, j], len(y)) for j in range(len(names) - 1)], 1) + b
+        w, b = _fit(y, i, v, lo, hi, np.flatnonzero(~held_out), len(names), epochs, rate, l2)
+        z = np.array([v[p:q] @ w[i[p:q]] for p, q in zip(lo.tolist(), hi.tolist(), strict=True)]) + b
         slope, shift = _calibrated(z[held_out], y[held_out], len(names))
         yield pa.RecordBatch.from_arrays([pa.array([names]), pa.array([w.astype(np.float32).tobytes()]), pa.array([b.tolist()]), pa.array([float(slope)]), pa.array([shift.tolist()])], names=["classes", "w", "b", "slope", "shift"])
 
