@@ -117,13 +117,13 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def random_forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = saved(labelled_vectors(spark, sf_dir), "labelled")
-    scorer = training.train_scorer(rows.where("label = 1"), rows.where("label = 0"), trees=20, depth=8)
+    scorer = training.train_scorer(rows.where("label = 1"), rows.where("label = 0"))
     return training.validation_stats(training.score(rows, scorer))
 
 
 def one_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = saved(labelled_vectors(spark, sf_dir), "labelled")
-    return training.score(rows, training.train_scorer(rows.where("label = 1"), None, rounds=5))
+    return training.score(rows, training.train_scorer(rows.where("label = 1"), None))
 
 
 def written_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
