@@ -15,6 +15,7 @@ from curalume.llm.sentence_dedup import sentence_dedup
 from curalume.llm.suffix_dedup import suffix_dedup
 from curalume.llm.token_counts import token_counts
 from curalume.llm.warc import archived_pages
+from curalume.llm.whitening import whitened_embeddings
 from curalume.plans.tables import table
 
 #: Target shares of the tokens of the domains in the labels table.
@@ -79,6 +80,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mixing_to_targets": op1_mixing_to_targets,
     "op2_substring_dedup": op2_substring_dedup,
@@ -90,6 +95,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
