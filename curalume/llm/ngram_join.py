@@ -406,10 +406,23 @@ def _classes(docs: DataFrame, id: str, text: str, n: int, percent: int, share: f
     firsts = known.join(copies.select(F.col("first").alias("doc_id"), "n_shingles", "sig1", "sig2").hint("merge"), ["doc_id", "n_shingles", "sig1", "sig2"], "left_semi")
     entries = firsts.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode(F.arrays_zip("prefix", "chunk")).alias("pos", "x")).select(F.col("x.prefix").alias("token"), F.col("x.chunk").alias("chunk"), "doc_id", "n", F.col("pos").cast("long").alias("pos"))
     lists = save(index_lists(entries), "lists")
+    return classes_of_lists(docs, id, text, n, percent, cut, save, sets, copies, lists, leading_pairs(lists, percent), lambda pairs: pairs.where(_enough("na", "nb", "c", percent)))
+
+
+def classes_of_lists(
+    docs: DataFrame, id: str, text: str, n: int, percent: int, cut: int, save: Callable[[DataFrame, str], DataFrame],
+    sets: DataFrame, copies: DataFrame, lists: DataFrame, leaders: DataFrame, fits: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id) from the sets, the first ones of equal sets, and index lists that bring all sets together that can link.
+
+    `leaders` has pairs (a, b) to compare first, one an a at most; `fits` leaves those of the pairs (a, b, na, nb, c) of
+    different families that are worth reading texts for.
+    """
+    known = sets.where("n_shingles > 0 and doc_id is not null")
     wanted = save(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(lists.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "wanted")
 
     linked = (100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb"))
-    first = save(verified(leading_pairs(lists, percent), wanted, n, save, near=50), "compared")
+    first = save(verified(leaders, wanted, n, save, near=50), "compared")
     # an id with several texts is in no family
     mixed_ids = known.select("doc_id", "n_shingles", "sig1", "sig2").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
     close = first.where("change is not null")
@@ -436,7 +449,7 @@ def _classes(docs: DataFrame, id: str, text: str, n: int, percent: int, share: f
     labelled = save(labelled, "labelled")
     several = labelled.groupBy("token").agg(*(f(c).alias(f"{to}_{c}") for c in ("component", "family") for f, to in ((F.min, "low"), (F.max, "high")))).where("low_component <> high_component and low_family <> high_family").select("token")
     marked = labelled.join(several.hint("merge"), "token", "left_semi").join(known.select("doc_id", F.col("n_shingles").alias("n"), "mark").hint("merge"), ["doc_id", "n"])
-    across = meeting_pairs(marked, percent, inside=False).where(_enough("na", "nb", "c", percent))
+    across = fits(meeting_pairs(marked, percent, inside=False))
     outer = verified(across, wanted, n, save).where(linked).select(*ends)
 
     same_id = known.join(copies, ["n_shingles", "sig1", "sig2"]).where("doc_id <> first").select(F.col("first").alias("src"), F.col("doc_id").alias("dst"))

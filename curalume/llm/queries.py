@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from curalume.llm.decontaminate import decontaminated
 from curalume.llm.html_extract import extracted
+from curalume.llm.hyperminhash import minhash_classes
 from curalume.llm.langid import held_out, identify, language_profiles
+from curalume.llm.lexical_search import lexical_search
 from curalume.llm.mixing import mix_to_targets
 from curalume.llm.ngram_join import ngram_jaccard_classes
 from curalume.llm.quality import quality_model, quality_rules
@@ -84,6 +86,14 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing_to_targets": op1_mixing_to_targets,
     "op2_substring_dedup": op2_substring_dedup,
@@ -96,24 +106,32 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_ranked_lexical_search": op12_ranked_lexical_search,
+    "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-ORACLE_SQL = {
-    "op3_ngram_jaccard_join": rf"""
+
+def _near_copies_sql(words: int, more: str = "") -> str:
+    """Classes of texts whose sets of shingles of so many words have a Jaccard similarity of 0.85 or more."""
+    return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
-s AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+s AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= {words} THEN list_distinct(list_transform(range(1, len(ws) - {words} + 2), lambda i: array_to_string(ws[i:i + {words} - 1], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
 e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
 r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
 m AS (SELECT x, min(y) AS y FROM r GROUP BY x)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) AS component_id
-FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.x = d.doc_id""",
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) AS component_id{more}
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.x = d.doc_id"""
+
+
+ORACLE_SQL = {
+    "op3_ngram_jaccard_join": _near_copies_sql(4),
     "op6_benchmark_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER}, '{_ALNUM}') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_ASCII_LOWER}, '{_ALNUM}') AS ws FROM benchmark),
@@ -140,4 +158,15 @@ c AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (z IS NULL OR z < q
 k AS (SELECT a.doc_id, string_agg(a.c, '' ORDER BY a.q) AS h FROM (SELECT doc_id, s + i AS q, substr(x, 2 * i + 1, 2) AS c FROM y) a ANTI JOIN b ON b.doc_id = a.doc_id AND b.q = a.q GROUP BY a.doc_id)
 SELECT d.doc_id, len(d.h) // 2 AS n_bytes, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op12_ranked_lexical_search": rf"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_ASCII_LOWER}, '{_ALNUM}')) AS w FROM documents),
+p AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id),
+c AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_ASCII_LOWER}, '{_ALNUM}')) AS w FROM benchmark),
+f AS (SELECT w, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, c GROUP BY w, big_n),
+s AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l)))) AS BIGINT) AS score FROM q JOIN p USING (w) JOIN f USING (w) JOIN d USING (doc_id), c GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""",
+    "op13_minhash_near_dedup": _near_copies_sql(3, ", d.doc_id <= coalesce(m.y, d.doc_id) AS kept"),
 }
