@@ -7,10 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What a status link is, which files are images or videos.
+# What a status link is, which files are videos or images, what is cleaned from an announcement (each pattern with what replaces it).
 STATUS_LINK = r"https?://(?:twitter\.com|x\.com)/(\w+)/status/\d+"
-VIDEO_EXTENSIONS = (".mov", ".mp4", ".m4v", ".avi", ".mkv", ".webm")
-IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "heic", "heif", "tiff", "tif", "webp")
+VIDEO_EXTENSIONS = (".mp4", ".mov", ".m4v", ".avi", ".mkv", ".webm")
+IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "heic", "heif", "webp", "tiff", "tif")
+ANNOUNCEMENT_CLEANING = (
+    (r"(?U)\[#(\w+)\]\(<[^>]+>\)", "#$1"),
+    (r"\[([^\]]+)\]\(<[^>]+>\)", "$1"),
+    (r"(?U)https?://twitter\.com/\S+/status/\d+", ""),
+    (r"(?U)https?://x\.com/\S+/status/\d+", ""),
+    (r"(?U)\s+", " "),
+)
 
 
 def _c(x: Column | str) -> Column:
@@ -77,7 +84,7 @@ def media_filename(url: Column | str, link: Column | str, author: Column | str,
 def clean_announcement(text: Column | str) -> Column:
     """Text without link syntax and status links, white space collapsed."""
     out = F.coalesce(_c(text), F.lit(""))
-    for pattern, by in ((r"(?U)\[#(\w+)\]\(<[^>]+>\)", "#$1"), (r"\[([^\]]+)\]\(<[^>]+>\)", "$1"), (r"(?U)https?://twitter\.com/\S+/status/\d+", ""), (r"(?U)https?://x\.com/\S+/status/\d+", ""), (r"(?U)\s+", " ")):
+    for pattern, by in ANNOUNCEMENT_CLEANING:
         out = F.regexp_replace(out, pattern, by)
     return F.trim(out)
 

@@ -108,7 +108,7 @@ class Rules:
     accounts: tuple[str, ...] = ()
 
 
-#: Keywords where a rules file names none.
+# Keywords where a rules file names none.
 DEFAULT_KEYWORDS = ("announce", "release", "drop", "launch", "available now")
 
 
