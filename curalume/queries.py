@@ -123,7 +123,8 @@ def random_forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = saved(labelled_vectors(spark, sf_dir), "labelled")
-    return training.score(rows, training.train_scorer(rows.where("label = 1"), None))
+    scorer = training.train_scorer(rows.where("label = 1"), None)
+    return training.score(rows, scorer).withColumn("gap", F.lit(scorer.gap))
 
 
 def written_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +139,12 @@ def training_rows(spark: SparkSession, sf_dir: str, sample: int | None = None) -
     p = s.photos(spark, sf_dir)
     folder = s.files(spark, sf_dir).where("path like '/edited/%'")
     f = s.feedback(spark, sf_dir)
-    return training.training_set(p, cutoff(), folder, f.where("status = 'rescued'"), f.where("status = 'confirmed_delete'"), sample)
+    return training.training_set(p, s.files(spark, sf_dir), cutoff(), folder, f.where("status = 'rescued'"), f.where("status = 'confirmed_delete'"), sample)
+
+
+def training_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = s.feedback(spark, sf_dir)
+    return training.training_skipped(s.photos(spark, sf_dir), s.files(spark, sf_dir), cutoff(), f.where("status = 'rescued'"), f.where("status = 'confirmed_delete'"))
 
 
 def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,6 +233,7 @@ QUERIES = {
     "attach_features": lambda k, d: training.attach_features(s.scored(k, d).select("path", "uuid"), cache(k, d)).select("uuid", _digest("features", 1000).alias("features")),
     "features_to_extract": lambda k, d: training.features_to_extract(s.scored(k, d).select("path"), cache(k, d)),
     "training_set": lambda k, d: training_rows(k, d),
+    "training_skipped": training_skipped,
     "training_counts": lambda k, d: training.training_counts(training_rows(k, d), s.files(k, d).where(F.length("path") % 2 == 0)),
     "exact_sample": lambda k, d: training.exact_sample(s.photos(k, d).select("path"), 500),
     "fit_scaler": lambda k, d: training.fit_scaler(labelled_vectors(k, d).where("label = 1")).select(F.posexplode(F.arrays_zip("mean", "std")).alias("i", "v")).select("i", F.round("v.mean", 4).alias("mean"), F.round("v.std", 4).alias("std")),
@@ -282,8 +289,9 @@ _DECIDED = f"""{_SERIES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY s
  decided AS (SELECT uuid, series_id, path, CASE WHEN o >= q OR series_id % 501 = 500 THEN 'none' ELSE CASE series_id % 6 WHEN 0 THEN CASE WHEN rk IN (1, 3) THEN 'keep' ELSE 'delete' END WHEN 1 THEN CASE WHEN rk IN (1, 3) THEN 'delete' ELSE 'keep' END
  WHEN 2 THEN 'delete' WHEN 3 THEN CASE WHEN suggested_delete THEN 'delete' ELSE 'keep' END WHEN 4 THEN 'keep' ELSE 'none' END END AS decision FROM ranked JOIN ordered USING (series_id), quit)"""
 _VECTORS = "vectors AS (SELECT l.doc_id, l.quality AS label, CAST(e.embedding AS DOUBLE[]) AS v FROM labels l JOIN embeddings e ON e.vec_id = l.doc_id % (SELECT count(*) FROM embeddings))"
-_TRAINING = f"""{_PHOTOS}, {_FILES}, good AS (SELECT path FROM photos WHERE {_USABLE} AND date < TIMESTAMP '{CUTOFF}' UNION ALL SELECT path FROM photos WHERE n % 25 = 0 AND NOT ({_USABLE} AND date < TIMESTAMP '{CUTOFF}')),
- rows AS (SELECT path, 'library' AS origin, 1 AS label FROM good UNION ALL SELECT path, 'folder', 0 FROM files WHERE path LIKE '/edited/%' UNION ALL SELECT path, 'feedback', 0 FROM photos WHERE n % 35 = 0 AND NOT ismissing)"""
+_TRAINING = f"""{_PHOTOS}, {_FILES}, resolved AS (SELECT *, CASE WHEN path IN (FROM files) THEN path WHEN path_edited IN (FROM files) THEN path_edited END AS chosen FROM photos),
+ wanted AS (SELECT chosen, 'library' AS origin, 1 AS label FROM resolved WHERE {_USABLE} AND date < TIMESTAMP '{CUTOFF}' OR n % 25 = 0 UNION ALL SELECT chosen, 'feedback', 0 FROM resolved WHERE n % 35 = 0 AND NOT ismissing),
+ rows AS (SELECT chosen AS path, origin, label FROM wanted WHERE chosen IS NOT NULL AND NOT lower(chosen) LIKE '%.mov' UNION ALL SELECT path, 'folder', 0 FROM files WHERE path LIKE '/edited/%')"""
 _KEYWORDS = " OR ".join(f"contains(lower(coalesce(text, '')), '{k}')" for k in readers.DEFAULT_KEYWORDS)
 _IMPORTANT = " OR ".join(f"contains(lower(body), '{k}')" for k in RULES.keywords)
 _MESSAGES = f"""m AS (SELECT conv_id AS n, turn AS t, conv_id * 1000 + turn AS message_id, role, 'Author ' || conv_id % 20 AS author, conv_id || '_' || turn AS name,
@@ -374,6 +382,8 @@ SELECT uuid, cosine, CAST(bit_count(xor((n // 2) * 7919, ((n + 1) // 2) * 7919))
     "attach_features": f"WITH {_SCORED} SELECT s.uuid, {_DIGEST.format('CAST(e.embedding AS DOUBLE[])', 1000)} AS features FROM scored s JOIN embeddings e ON e.vec_id = s.n % (SELECT count(*) FROM embeddings) WHERE s.n % 2 = 0",
     "features_to_extract": f"WITH {_SCORED} SELECT path FROM scored WHERE n % 2 <> 0",
     "training_set": f"WITH {_TRAINING} SELECT path, origin, label FROM rows",
+    "exact_sample": f"WITH {_PHOTOS} SELECT path FROM photos ORDER BY substr(md5(path || '|42'), 1, 15), path LIMIT 500",
+    "training_skipped": f"WITH {_TRAINING} SELECT origin, count(*) FILTER (chosen IS NULL) AS skipped, count(*) FILTER (lower(chosen) LIKE '%.mov') AS skipped_videos FROM wanted GROUP BY origin",
     "training_counts": f"WITH {_TRAINING} SELECT label, origin, path IN (SELECT path FROM files WHERE length(path) % 2 = 0) AS cached, count(*) AS n FROM rows GROUP BY ALL",
     "fit_scaler": f"WITH {_VECTORS}, u AS (SELECT generate_subscripts(v, 1) - 1 AS i, unnest(v) AS x FROM vectors WHERE label = 1) SELECT i, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std FROM u GROUP BY i",
     "standardise": f"WITH {_VECTORS}, u AS (SELECT doc_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM vectors), m AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM u GROUP BY i) SELECT CAST(doc_id AS VARCHAR) AS path, md5(string_agg(CAST(CAST(round((x - m) / CASE WHEN s = 0 THEN 1 ELSE s END * 100) AS INTEGER) AS VARCHAR), ',' ORDER BY i)) AS z FROM u JOIN m USING (i) GROUP BY doc_id",

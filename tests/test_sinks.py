@@ -45,7 +45,9 @@ def test_feature_cache_and_lists(spark, frame, tmp_path):
     assert [(r.path, r.features) for r in readers.read_feature_cache(spark, str(tmp_path / "c")).collect()] == [("a", [1.0, 2.0])]
     paths = frame([("a",), ("a",), ("b",)], "path string")
     assert sorted(r.path for r in training.distinct_paths(paths).collect()) == ["a", "b"]
-    assert sorted(r.path for r in training.union_positives(paths, paths.limit(0)).collect()) == ["a", "a", "b"]
+    named = frame([("1", "a"), ("2", "b")], "uuid string, path string")
+    more = frame([("2", "other"), ("3", "c"), ("3", "c")], "uuid string, path string")
+    assert sorted(tuple(r) for r in training.union_positives(named, more).collect()) == [("1", "a"), ("2", "b"), ("3", "c")]
 
 
 def test_exact_sample_is_of_its_size_and_the_same_each_time(frame):
