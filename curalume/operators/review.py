@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from curalume.operators.ranks import with_rank_within
+
 
 def rank_in_series(scan: DataFrame) -> DataFrame:
     """Rank from 1 in the series by falling score, null last, ties by date and uuid; rank 1 is the best."""
-    order = W.partitionBy("series_id").orderBy(F.desc_nulls_last("score"), F.asc_nulls_first("date"), "uuid")
-    return scan.withColumn("rank_in_series", F.row_number().over(order))
+    return with_rank_within(scan, "series_id", F.desc_nulls_last("score"), F.asc_nulls_first("date"), F.asc_nulls_first("uuid"), name="rank_in_series")
 
 
 def series_with_suggestions(scan: DataFrame) -> DataFrame:

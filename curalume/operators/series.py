@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curalume.functions.vectors import abs_seconds, cosine, hamming, norm
+from curalume.functions.vectors import abs_seconds, cosine, hamming
 from curalume.operators.components import star_contraction
+from curalume.operators.halo import near_pairs, ranges
+from curalume.operators.ranks import with_rank, with_rank_within
 from curalume.plans.tables import saved
 
 
@@ -23,18 +29,8 @@ class SeriesRules:
 
 
 def with_global_rank(photos: DataFrame, rank: str = "rank") -> DataFrame:
-    """photos with their position from 0 by date (null first) and uuid.
-
-    Rows are dealt out by ranges of (date, uuid), so that photos without a date and those of one instant are split
-    too; a row's place in its partition and the sizes of the partitions before it give its position. The
-    sorted table is written once, as both are read from it.
-    """
-    place = F.monotonically_increasing_id()  # the partition's number above 33 bits of the row's place in it
-    ordered = saved(photos.repartitionByRange(F.asc_nulls_first("date"), "uuid").sortWithinPartitions(F.asc_nulls_first("date"), "uuid").withColumn("_at", place), "ranked")
-    part = F.shiftright("_at", 33)
-    sizes = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
-    return ordered.withColumn("_part", part).join(before, "_part").withColumn(rank, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_at", "_before")
+    """photos with their position from 0 by date (null first) and uuid; photos without a date and those of one instant are split too."""
+    return with_rank(photos, F.asc_nulls_first("date"), F.asc_nulls_first("uuid"), name=rank)
 
 
 def are_related(a: str, b: str, rules: SeriesRules, features: bool, phash: bool) -> Column:
@@ -43,7 +39,7 @@ def are_related(a: str, b: str, rules: SeriesRules, features: bool, phash: bool)
     apart = abs_seconds(f"{a}.date", f"{b}.date")
     alike = F.lit(False)
     if features:
-        alike = alike | F.coalesce(cosine(f"{a}.features", f"{b}.features", F.col(f"{a}._norm"), F.col(f"{b}._norm")) >= rules.cosine, F.lit(False))
+        alike = alike | F.coalesce(cosine(f"{a}.features", f"{b}.features") >= rules.cosine, F.lit(False))
     if phash:
         alike = alike | F.coalesce(hamming(f"{a}.phash", f"{b}.phash") <= rules.bits, F.lit(False))
     return ~F.coalesce(dated & (apart > rules.seconds), F.lit(False)) & (alike | F.coalesce(dated & (apart <= rules.close_seconds), F.lit(False)))
@@ -53,43 +49,92 @@ def _looks(photos: DataFrame) -> tuple[bool, bool]:
     return "features" in photos.columns, "phash" in photos.columns
 
 
-def ranked_photos(photos: DataFrame) -> DataFrame:
-    """What of a photo decides its series, with its rank: uuid, date, and features with their norm and phash where the table has them."""
-    features, phash = _looks(photos)
-    ranked = with_global_rank(photos.select("uuid", "date", *(["features"] if features else []), *(["phash"] if phash else [])))
-    return ranked.withColumn("_norm", norm("features")) if features else ranked
-
-
-def rank_pairs(ranked: DataFrame, rules: SeriesRules = SeriesRules()) -> DataFrame:
-    """(u, v): ranks of related photos, u before v and at most `cap` apart.
-
-    Photos meet in buckets of `cap` ranks, each with its own and the one before: so a photo meets at most twice
-    `cap` others, however many share an instant. Photos with a date also meet in buckets of the window's width only.
+class _Looks(NamedTuple):
+    """Features and hashes of a window's photos; rows of `valid` can be compared if their widths are equal."""
+
+    run: np.ndarray
+    features: np.ndarray | None = None
+    width: np.ndarray | None = None
+    valid: np.ndarray | None = None
+    norm: np.ndarray | None = None
+    bits: np.ndarray | None = None
+    hashed: np.ndarray | None = None
+
+    def alike(self, i: np.ndarray, j: np.ndarray, rules: SeriesRules) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        if self.features is not None:
+            length = self.norm[i] * self.norm[j]
+            dot = np.einsum("ij,ij->i", self.features[i], self.features[j])
+            cosine_ = np.where(length == 0, 0.0, dot / np.where(length == 0, 1.0, length))
+            out |= self.valid[i] & self.valid[j] & (self.width[i] == self.width[j]) & (cosine_ >= rules.cosine)
+        if self.bits is not None:
+            out |= self.hashed[i] & self.hashed[j] & (np.bitwise_count(self.bits[i] ^ self.bits[j]) <= rules.bits)
+        return out
+
+
+def _matrix(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows padded to one width, their widths, and whether they are arrays without null."""
+    width = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    flat = column.flatten()
+    known = flat.is_valid().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(column)), width)
+    out = np.zeros((len(column), int(width.max(initial=0))))
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width)] = pc.fill_null(flat.cast(pa.float64()), 0.0).to_numpy()
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    valid[row[~known]] = False
+    return out, width, valid
+
+
+def rank_pairs(photos: DataFrame, ranked: DataFrame, rules: SeriesRules = SeriesRules(), between_runs: bool = False, range_rows: int | None = None) -> DataFrame:
+    """(u, v, src, dst): ranks and uuids of related photos, the first before the second and at most `cap` apart.
+
+    `ranked` has uuid, date and rank of the photos. Photos go to ranges of ranks, those behind a range's end also to
+    that one, and are compared in a window that slides over each: features are shuffled once. between_runs leaves
+    out pairs that steps of the close time connect already.
     """
-    features, phash = _looks(ranked)
-    row = F.struct(*ranked.columns)
-    near = F.floor(F.col("rank") / rules.cap).cast("long")
-    when = F.floor(F.unix_micros("date") / max(1, int(rules.seconds * 1_000_000))).cast("long")
-
-    def joined(rows: DataFrame, time: bool, front: Column) -> DataFrame:
-        left = rows.where(front).select(row.alias("a"), near.alias("k"), *([when.alias("t")] if time else []))
-        right = rows.select(row.alias("b"), F.explode(F.array(near, near - 1)).alias("k"), *([when.alias("_t")] if time else []))
-        if time:
-            right = right.select("b", "k", F.explode(F.array("_t", F.col("_t") - 1)).alias("t"))
-        pairs = left.join(right, ["k", "t"] if time else ["k"])
-        ahead = (F.col("b.rank") - F.col("a.rank")).between(1, rules.cap)
-        new = F.col("a.run") != F.col("b.run") if "run" in ranked.columns else F.lit(True)
-        return pairs.where(ahead & new & are_related("a", "b", rules, features, phash))
-
-    found = joined(ranked.where("date is not null"), True, F.lit(True))
-    if features or phash:  # photos without a date come first; the first ones with a date are near the last of them
-        found = found.select("a", "b").unionByName(joined(ranked, False, F.col("date").isNull()).select("a", "b"))
-    return found.select(*(F.col(f"{x}.{c}").alias(to) for x, c, to in [("a", "rank", "u"), ("b", "rank", "v"), ("a", "uuid", "src"), ("b", "uuid", "dst"), *([("a", "run", "u_run"), ("b", "run", "v_run")] if "run" in ranked.columns else [])]))
+    features, phash = _looks(photos)
+    bits = F.conv(F.nullif("phash", F.lit("")), 16, -10).cast("long").alias("bits") if phash else None
+    rows = photos.select(F.col("uuid").cast("string").alias("uuid"), F.unix_micros(F.col("date").cast("timestamp")).alias("micros"), *(["features"] if features else []), *([bits] if phash else []))
+    step = min(rules.close_seconds, rules.seconds) * 1e6
+
+    def prepare(table: pa.Table) -> _Looks:
+        column = lambda c: table.column(c).combine_chunks()
+        micros, undated = (f(column("micros")) for f in (lambda c: c.fill_null(0).to_numpy(), lambda c: c.is_null().to_numpy(zero_copy_only=False)))
+        apart = np.r_[True, (np.diff(micros) > step) | undated[1:] | undated[:-1]][: len(micros)]
+        found = _Looks(np.cumsum(apart))
+        if features:
+            m, width, valid = _matrix(column("features"))
+            found = found._replace(features=m, width=width, valid=valid, norm=np.sqrt((m**2).sum(1)))
+        if phash:
+            found = found._replace(bits=column("bits").fill_null(0).to_numpy().view(np.uint64), hashed=column("bits").is_valid().to_numpy(zero_copy_only=False))
+        return found
+
+    def related(looks: _Looks, micros: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray | None:
+        undated = np.iinfo(np.int64).min
+        dated = (micros[i] != undated) & (micros[j] != undated)
+        apart = np.where(dated, micros[j] - np.where(dated, micros[i], micros[j]), 0)
+        far = dated & (apart > rules.seconds * 1e6)
+        if far.all() and micros[0] != undated:
+            return None
+        keep = dated & (apart <= rules.close_seconds * 1e6) & ~far
+        open_ = ~far & ~keep
+        if between_runs:
+            new = looks.run[i] != looks.run[j]
+            keep, open_ = keep & new, open_ & new
+        some = np.flatnonzero(open_)
+        keep[some] = looks.alike(i[some], j[some], rules)
+        return keep
+
+    return near_pairs(rows, ranges(ranked, rules.cap, range_rows), rules.cap, prepare, related)
+
+
+def _ranks(photos: DataFrame) -> DataFrame:
+    return with_global_rank(photos.select(F.col("uuid").cast("string").alias("uuid"), F.col("date").cast("timestamp").alias("date")))
 
 
 def series_pairs(photos: DataFrame, rules: SeriesRules = SeriesRules()) -> DataFrame:
     """(src, dst): related photos at most `cap` ranks apart, src before dst in rank. Needs uuid and date; features and phash count where the table has them."""
-    return rank_pairs(ranked_photos(photos), rules).select("src", "dst")
+    return rank_pairs(photos, _ranks(photos), rules).select("src", "dst")
 
 
 def with_runs(ranked: DataFrame, gap: float, bucket: int = 1 << 17) -> DataFrame:
@@ -133,10 +178,13 @@ def series_components(photos: DataFrame, rules: SeriesRules = SeriesRules()) ->
     Photos a few seconds apart belong together whatever they look like, so runs of them need no pairs; only runs
     that photos alike in look connect are joined as a graph, and without looks there is none.
     """
-    runs = saved(with_runs(ranked_photos(photos), min(rules.close_seconds, rules.seconds)), "runs")
+    runs = saved(with_runs(_ranks(photos), min(rules.close_seconds, rules.seconds)), "runs")
     if not any(_looks(photos)):
         return runs.select("uuid", "rank", F.col("run").alias("component"))
-    found = star_contraction(rank_pairs(runs, rules).select("u_run", "v_run").distinct(), "u_run", "v_run").withColumnRenamed("node", "run")
+    pairs = rank_pairs(photos, runs, rules, between_runs=True).select("u", "v")
+    for end in "uv":
+        pairs = pairs.join(runs.select(F.col("rank").alias(end), F.col("run").alias(f"{end}_run")), end)
+    found = star_contraction(pairs.select("u_run", "v_run").distinct(), "u_run", "v_run").withColumnRenamed("node", "run")
     return runs.select("uuid", "rank", "run").join(found, "run", "left").select("uuid", "rank", F.coalesce("component", "run").alias("component"))
 
 
@@ -157,23 +205,22 @@ def detect_series(photos: DataFrame, rules: SeriesRules = SeriesRules()) -> Data
     return photos.join(series_ids(series_components(photos, rules)), "uuid")
 
 
-def with_series_pos(photos: DataFrame) -> DataFrame:
-    """Position from 1 in the series by date (null first) and uuid."""
-    return photos.withColumn("pos_in_series", F.row_number().over(W.partitionBy("series_id").orderBy(F.asc_nulls_first("date"), "uuid")))
+_IN_SERIES = (F.asc_nulls_first, "date"), (F.asc_nulls_first, "uuid")
 
 
-def best_per_series(scan: DataFrame) -> DataFrame:
-    """(series_id, best_uuid, n): the best score, null read as 0.5, the earliest among equals."""
-    key = F.struct(F.coalesce("score", F.lit(0.5)), -F.col("pos_in_series"))
-    return with_series_pos(scan).groupBy("series_id").agg(F.max_by("uuid", key).alias("best_uuid"), F.count("*").alias("n"))
+def with_series_pos(photos: DataFrame) -> DataFrame:
+    """Position from 1 in the series by date (null first) and uuid. A series with many photos is ranked in ranges."""
+    return with_rank_within(photos, "series_id", *(f(c) for f, c in _IN_SERIES), name="pos_in_series")
 
 
 def with_best(scan: DataFrame) -> DataFrame:
-    """scan with pos_in_series, series_size and is_best."""
-    one = W.partitionBy("series_id")
-    key = F.struct(F.coalesce("score", F.lit(0.5)), -F.col("pos_in_series"))
-    ranked = with_series_pos(scan)
-    return ranked.withColumn("series_size", F.count("*").over(one)).withColumn("is_best", F.col("pos_in_series") == F.max_by("pos_in_series", key).over(one))
+    """scan with pos_in_series, series_size and is_best: the best score, null read as 0.5, the earliest among equals."""
+    return with_rank_within(scan, "series_id", *(f(c) for f, c in _IN_SERIES), name="pos_in_series", best=F.coalesce("score", F.lit(0.5)))
+
+
+def best_per_series(scan: DataFrame) -> DataFrame:
+    """(series_id, best_uuid, n) of with_best."""
+    return with_best(scan).where("is_best").select("series_id", F.col("uuid").alias("best_uuid"), F.col("series_size").alias("n"))
 
 
 def deletable_photos(scan: DataFrame) -> DataFrame:

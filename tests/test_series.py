@@ -2,8 +2,10 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from curalume.operators import series
+from curalume.operators import ranks, series
 from curalume.operators.components import star_contraction
 
 T0 = datetime(2024, 1, 1)
@@ -120,6 +122,52 @@ def test_series_components_match_components_of_all_pairs(frame, looks):
     assert found == {x.uuid: x.component for x in plain.collect()} and len(set(found.values())) < 150
 
 
+@pytest.mark.parametrize("range_rows", [None, 40, 7])
+def test_ranges_with_halos_make_the_pairs_of_a_plain_join(frame, range_rows):
+    r = random.Random(7)
+    rows = []
+    for i in range(260):
+        when = at(r.choice([0, 0, 40, 90, 95, 300]) + r.choice([0, 0, r.random() * 30])) if i % 9 else None
+        looks = r.choice([None, [], [r.random(), r.random() - 0.5], [r.random(), None], [0.0, 0.0], [1.0, 2.0, r.random()]])
+        rows.append((f"u{i % 250:03}", when, looks, r.choice([None, "", f"{r.getrandbits(4):016x}", f"{r.getrandbits(64):016x}"])))
+    rules, photos = series.SeriesRules(cosine=0.99, bits=2, cap=6), frame(rows, SHAPE)
+    ranked = photos.withColumn("key", F.struct(F.coalesce(F.unix_micros("date"), F.lit(-1)), "uuid")).withColumn("rank", F.row_number().over(Window.orderBy("key"))).drop("key")
+    joined = ranked.alias("a").join(ranked.alias("b"), (F.col("b.rank") - F.col("a.rank")).between(1, rules.cap)).select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
+    plain = joined.where(series.are_related("a", "b", rules, True, True)).select("a.uuid", "b.uuid")
+    found = series.rank_pairs(photos, series.with_global_rank(photos.select("uuid", "date")), rules, range_rows=range_rows)
+    repeated = {f"u{i:03}" for i in range(10)}  # ranks of rows with equal keys can be dealt out either way
+    keep = lambda df: sorted(tuple(x) for x in df.collect() if not repeated & {*x})
+    assert keep(found.select("src", "dst")) == keep(plain) and len(keep(plain)) > 100
+    assert all(1 <= x.v - x.u <= 6 for x in found.collect())
+
+
+def test_features_are_shuffled_once(frame):
+    photos = frame([(f"u{i}", at(i), [1.0], None) for i in range(40)], SHAPE)
+    plan = series.series_pairs(photos)._jdf.queryExecution().executedPlan().toString()
+    assert len([line for line in plan.split("\n") if "Exchange hashpartitioning" in line]) == 1 and "Join" not in plan
+
+
+def test_ranks_within_a_key_that_fills_many_ranges(spark, frame):
+    rows = spark.range(6000).selectExpr("cast(id as string) as uuid", "timestampadd(second, id % 50, timestamp'2024-01-01') as date", "if(id % 97 = 0, null, (id * 37 % 1000) / 1000) as score", "if(id < 5000, 0, if(id < 5900, null, id)) as series_id")
+    order = Window.partitionBy("series_id").orderBy(F.asc_nulls_first("date"), "uuid")
+    plain = rows.withColumn("pos", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("series_id")))
+    want = {r.uuid: (r.pos, r.n) for r in plain.collect()}
+    found = series.with_best(rows).collect()
+    assert {r.uuid: (r.pos_in_series, r.series_size) for r in found} == want
+    leaders = {}
+    for r in sorted(found, key=lambda r: (-(0.5 if r.score is None else r.score), r.pos_in_series)):
+        leaders.setdefault(r.series_id, r.uuid)
+    assert {r.uuid for r in found if r.is_best} == {*leaders.values()} and len(leaders) == 102
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges stay as they are, as those of a large table do
+    try:
+        sizes = ranks.dealt(rows, F.asc_nulls_first("series_id"), "date", "uuid").groupBy("_part", "series_id").count().agg(F.max("count")).first()[0]
+        found = series.with_best(rows).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sizes < 2500, "no task has the large key whole"
+    assert {r.uuid: (r.pos_in_series, r.series_size) for r in found} == want and sum(r.is_best for r in found) == 102
+
+
 def test_one_instant_makes_bounded_candidates(spark):
     photos = spark.range(3000).selectExpr("cast(id as string) as uuid", "timestamp'2024-01-01' as date")
     assert series.series_pairs(photos, series.SeriesRules(cap=10)).count() == 10 * 3000 - 55
