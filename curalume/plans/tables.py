@@ -31,6 +31,17 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def complete(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The tables of a folder that were written to the end, by name; none if there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return {}
+    found = [s.getPath() for s in fs.listStatus(path) if s.isDirectory()]
+    done = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return {p.getName(): p.toString() for p in done}
+
+
 def session_dir(spark: SparkSession) -> str:
     """A folder in the shared one for tables that results are read from; it is removed when the driver's Python ends."""
     shared = shared_dir(spark)

@@ -90,8 +90,13 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The messages as a stream of files, and behind them the heartbeat of a channel of its own, far enough ahead for the watermark to pass them."""
     base = f"{session_dir(spark)}/stream-{uuid.uuid4().hex}"
-    s.messages(spark, sf_dir).repartitionByRange(3, "message_id").write.parquet(f"{base}/in")
+    rows = s.messages(spark, sf_dir)
+    rows.repartitionByRange(3, "message_id").write.parquet(f"{base}/in")
+    given = {"message_id": F.lit(-1), "channel_id": F.lit(-1), "ts": F.col("last") + F.expr(f"interval {BACKLOG} 1 hour")}
+    beat = rows.agg(F.max("ts").alias("last")).where("last is not null")
+    beat.select(*((given.get(f.name, F.lit(None)).cast(f.dataType)).alias(f.name) for f in rows.schema)).write.mode("append").parquet(f"{base}/in")
     return readers.stream_messages(spark, f"{base}/in"), base
 
 
@@ -104,15 +109,19 @@ def curate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ledger lets through of the stream and of a second copy of it that comes a month later."""
     live, base = _streamed(spark, sf_dir)
-    messages.dedupe_messages(live, BACKLOG).select("message_id", "channel_id").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    for _ in range(2):
+        curation.deduplicated(live, f"{base}/out", f"{base}/state").awaitTermination()
+        late = s.messages(spark, sf_dir).withColumn("ts", F.col("ts") + F.expr("interval 30 days"))
+        late.repartitionByRange(3, "message_id").write.mode("append").parquet(f"{base}/in")
+    return spark.read.parquet(f"{base}/out/messages").where("channel_id >= 0").select("message_id", "channel_id")
 
 
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     live, base = _streamed(spark, sf_dir)
     curation.running_counters(live, RULES, f"{base}/out", f"{base}/state", BACKLOG).awaitTermination()
-    return curation.running_totals(spark, f"{base}/out")
+    return curation.running_totals(spark, f"{base}/out").where("channel_id >= 0")
 
 
 def random_forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,45 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from curalume.operators.messages import attach_media, classify, dedupe_messages, enrich, explode_media, route_media, take_previous, with_previous_message
+from curalume.operators.messages import attach_media, classify, dedupe_messages, enrich, explode_media, route_media, with_previous_message
 from curalume.sources.readers import Rules
 from curalume.sources.sinks import write_routed
+from curalume.streaming.ledger import Counters, Ledger
+from curalume.streaming.previous import with_previous_message_stream
 
-_LINK = ["tweet_url", "username", "author", "text"]
+_COUNTERS = "channel_id long, announcements long, media long"
 
 
-def with_previous_message_stream(enriched: DataFrame) -> DataFrame:
-    """take_previous in a stream: the last message of each channel is kept as state.
+def deduplicated(messages: DataFrame, path: str, checkpoint: str, available_now: bool = True, slot: int = 1 << 22, every: int = 32) -> StreamingQuery:
+    """Write a stream's messages to path/messages, once for each id however late a copy comes.
 
-    Rows of a channel that come in one batch are taken by id. A message that comes after one of a greater id
-    finds that one as its previous message; the batch form, which sees all, is the truth for such.
+    dedupe_messages keeps ids in its state as long as the watermark; here they are entered in a ledger of files
+    (path/ledger), and a batch looks up its own in the slots that they fall in. No id is forgotten, and the query has no state.
+    A batch that is run again writes its own folder again.
     """
+    spark = messages.sparkSession
+    ledger = Ledger(spark, f"{path}/ledger", slot=slot, every=every)
+
+    def write(batch: DataFrame, number: int) -> None:
+        to = f"{path}/messages/batch={number}"
+        ledger.unseen(batch, number).write.mode("overwrite").parquet(to)
+        ledger.add(spark.read.schema(batch.schema).parquet(to), number)
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("message_id")
-        last = state.get if state.exists else (None,) * len(_LINK)
-        previous = rows[_LINK].astype(object).shift(1)
-        previous.iloc[0] = list(last)
-        for c in _LINK:
-            values = previous[c]
-            rows[f"_{c}"] = values.where(values.notna(), None)
-        state.update(tuple(None if pd.isna(x) else x for x in rows[_LINK].iloc[-1]))
-        yield rows
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in enriched.schema.fields)
-    more = ", ".join(f"_{c} string" for c in _LINK)
-    state = ", ".join(f"{c} string" for c in _LINK)
-    found = enriched.groupBy("channel_id").applyInPandasWithState(run, f"{kinds}, {more}", state, "append", GroupStateTimeout.NoTimeout)
-    packed = F.struct(*(F.col(f"_{c}").alias(c) for c in _LINK))
-    return take_previous(found.withColumn("_previous", packed).drop(*(f"_{c}" for c in _LINK)))
+    out = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if available_now else out).start()
 
 
 def curate(messages: DataFrame, rules: Rules, watermark: str = "24 hours") -> DataFrame:
@@ -67,20 +58,21 @@ def run(messages: DataFrame, media: DataFrame, rules: Rules, now: Column, path:
     return (out.trigger(availableNow=True) if available_now else out).start()
 
 
-def running_counters(messages: DataFrame, rules: Rules, path: str, checkpoint: str, watermark: str = "24 hours") -> StreamingQuery:
-    """Announcements and media by channel so far: each batch writes the channels that it changed, running_totals reads the latest of each."""
+def running_counters(messages: DataFrame, rules: Rules, path: str, checkpoint: str, watermark: str = "24 hours", every: int = 32) -> StreamingQuery:
+    """Announcements and media by channel so far: each batch writes what it adds to the channels that it has, running_totals adds up."""
+    counters = Counters(messages.sparkSession, path, "channel_id", _COUNTERS, every)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        counters.add(batch.groupBy("channel_id").agg(F.count_if("is_important").alias("announcements"), F.sum("m").alias("media")), number)
 
-    media = (F.size("images") + F.size("videos")).alias("m")
-    counted = curate(messages, rules, watermark).select("channel_id", "is_important", media).groupBy("channel_id").agg(F.count_if("is_important").alias("announcements"), F.sum("m").alias("media"))
-    return counted.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    media = (F.size("images") + F.size("videos")).cast("long").alias("m")
+    counted = curate(messages, rules, watermark).select("channel_id", "is_important", media)
+    return counted.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_totals(spark: SparkSession, path: str) -> DataFrame:
-    """The latest counters of each channel that running_counters wrote."""
-    return spark.read.parquet(path).groupBy("channel_id").agg(F.max_by(F.struct("announcements", "media"), "batch").alias("_c")).select("channel_id", "_c.*")
+    """The counters of each channel that running_counters wrote so far, at a cost that does not grow with the number of batches."""
+    return Counters(spark, path, "channel_id", _COUNTERS).totals()
 
 
-__all__ = ["curate", "routed", "run", "running_counters", "running_totals", "with_previous_message_stream", "write_routed"]
+__all__ = ["curate", "deduplicated", "routed", "run", "running_counters", "running_totals", "with_previous_message_stream", "write_routed"]

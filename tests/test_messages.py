@@ -1,11 +1,16 @@
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from curalume.functions import text as tx
 from curalume.operators import digest, messages
+from curalume.plans.tables import complete, saved
 from curalume.sources import readers, schemas
 from curalume.streaming import curation
+from curalume.streaming.ledger import Counters, Ledger
+from curalume.streaming.previous import with_previous_message_stream
 
 D = datetime(2024, 1, 1)
 RULES = readers.Rules(threshold=0.7, keywords=("drop", "NEW"), accounts=("Star",))
@@ -79,8 +84,7 @@ def test_pipeline(frame):
 
 
 def test_stream_gives_what_the_batch_gives(spark, frame, tmp_path):
-    for i, part in enumerate(([0, 1], [2, 3, 4], [5, 6, 7])):
-        spark.createDataFrame([rows()[k] for k in part], schemas.MESSAGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    feed(spark, str(tmp_path / "in"), [*([rows()[k] for k in part] for part in ([0, 1], [2, 3, 4], [5, 6, 7])), [message(99, channel=-1, ts=D + timedelta(days=2))]])
     live = readers.stream_messages(spark, str(tmp_path / "in"))
     curation.run(live, media(frame), RULES, now(), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     batch = curation.routed(curation.curate(frame(rows(), schemas.MESSAGES), RULES), media(frame), RULES, now())
@@ -88,6 +92,78 @@ def test_stream_gives_what_the_batch_gives(spark, frame, tmp_path):
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(batch)
 
 
+def feed(spark, path, parts):
+    for part in parts:
+        spark.createDataFrame(part, schemas.MESSAGES).coalesce(1).write.mode("append").parquet(path)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_messages_out_of_order_get_their_previous_one(spark, frame, tmp_path, seed):
+    r = random.Random(seed)
+    told = []
+    for i in range(60):
+        link = f"https://x.com/u{i}/status/{i}" if r.random() < 0.4 else ""
+        media = [IMAGE] if r.random() < 0.6 else []
+        told.append(message(i, channel=r.choice([1, 1, 2]), ts=D + timedelta(seconds=i // 2), content=link, attachments=media, author=f"A{i}" if r.random() < 0.7 else ""))
+    disordered = sorted(told, key=lambda m: m[2] + timedelta(seconds=r.random() * 20))
+    heartbeat = [message(999, channel=-1, ts=D + timedelta(hours=1))]
+    feed(spark, str(tmp_path / "in"), [disordered[i : i + 13] for i in range(0, 60, 13)] + [heartbeat])
+    live = readers.stream_messages(spark, str(tmp_path / "in"))
+    curation.curate(live, RULES, "30 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    key = lambda df: sorted((m.message_id, m.channel_id, m.ts, m.author, m.text, m.tweet_url, m.username, m.images, m.videos) for m in df.collect())
+    found = key(spark.read.parquet(str(tmp_path / "out")).where("channel_id > 0"))
+    assert found == key(curation.curate(frame(told, schemas.MESSAGES), RULES)) and len(found) == 60
+    assert sum(m[5] is not None and not told[m[0]][5] for m in found) > 2, "some took a link from the message before"
+
+
+def test_a_silent_channel_forgets_its_last_message(spark, tmp_path):
+    link = message(1, content="https://x.com/a/status/1")
+    late = message(2, ts=D + timedelta(days=9), attachments=[IMAGE])
+    soon = message(3, channel=2, content="https://x.com/b/status/1"), message(4, channel=2, ts=D + timedelta(days=1), attachments=[IMAGE])
+    beats = [message(100 + i, channel=-1, ts=D + timedelta(days=d)) for i, d in enumerate((2, 8, 20))]
+    feed(spark, str(tmp_path / "in"), [[link, *soon], beats[:1], beats[1:2], [late], beats[2:]])
+    known = messages.enrich(readers.stream_messages(spark, str(tmp_path / "in")).withWatermark("ts", "1 second"))
+    with_previous_message_stream(known, ttl_days=5).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    found = {m.message_id: m.tweet_url for m in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found[2] is None and found[4] == "https://x.com/b/status/1"
+
+
+def test_a_copy_months_late_does_not_pass(spark, tmp_path):
+    copy = [message(1), message(1), message(2, ts=D + timedelta(days=40))]
+    parts = [[message(1), message(5)], [message(2, ts=D + timedelta(days=40))], copy, [message(3, ts=D - timedelta(days=99))], copy + [message(None)], [message(None), message(4)]]
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    feed(spark, str(tmp_path / "in"), parts)
+    live = readers.stream_messages(spark, str(tmp_path / "in"))
+    curation.deduplicated(live, out, state, slot=2, every=2).awaitTermination()
+    found = spark.read.parquet(f"{out}/messages")
+    assert sorted((m.message_id or 0, m.batch) for m in found.select("message_id", "batch").collect()) == [(0, 4), (0, 5), (1, 0), (2, 1), (3, 3), (4, 5), (5, 0)]
+    assert len(list((tmp_path / "out" / "ledger" / "merged").iterdir())) == 1 and len(list((tmp_path / "out" / "ledger" / "batch").iterdir())) <= 3
+
+
+def test_a_batch_of_the_ledger_that_is_run_again_decides_as_before(spark, frame, tmp_path):
+    ledger = Ledger(spark, str(tmp_path), slot=3, every=2)
+    ids = lambda df: sorted(x.message_id for x in df.collect())
+    for number in range(9):
+        rows = frame([(number + k,) for k in range(3)], "message_id long")
+        for _ in range(2):
+            fresh = saved(ledger.unseen(rows, number))
+            assert ids(fresh) == ([0, 1, 2] if number == 0 else [number + 2])
+            ledger.add(fresh, number)
+    assert ids(ledger.unseen(frame([(i,) for i in range(20)], "message_id long"), 99)) == list(range(11, 20))
+    assert len(complete(spark, f"{tmp_path}/batch")) <= 3 and complete(spark, f"{tmp_path}/none") == {}
+
+
+def test_counters_are_put_together_and_counted_once(spark, frame, tmp_path):
+    counters = Counters(spark, str(tmp_path), "channel_id", "channel_id long, n long", every=3)
+    assert counters.totals().count() == 0
+    for number in range(11):
+        for _ in range(2):  # a retry of the last batch
+            counters.add(frame([(number % 4, 1), (7, number)], "channel_id long, n long"), number)
+    counters.add(frame([(0, 1000)], "channel_id long, n long"), 2)  # put together with others long ago
+    assert {x.channel_id: x.n for x in counters.totals().collect()} == {0: 3, 1: 3, 2: 3, 3: 2, 7: 55}
+    assert len(complete(spark, f"{tmp_path}/batch")) <= 4 and len(complete(spark, f"{tmp_path}/merged")) == 1
+
+
 def test_backfill_cutoff(frame):
     m = frame(rows(), schemas.MESSAGES)
     now = F.lit(D + timedelta(hours=1)).cast("timestamp")
