@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +16,59 @@ def _larger_first(a: Column, b: Column) -> list[Column]:
     return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
 
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the nodes of these edges that are not the least of their component: a star for each component."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while True:  # every node points at the end of its path
+            further = root[root]
+            if (further == root).all():
+                break
+            root = further
+        a, b = (x[root[a] != root[b]] for x in (a, b))
+    some = np.flatnonzero(root != np.arange(len(root)))
+    return nodes[some], nodes[root[some]]
+
+
+def contracted(edges: DataFrame, held: int = 1_000_000) -> DataFrame:
+    """(u, v) with the same components as edges(u, v): each task leaves one star for each component of `held` of its edges at a time."""
+
+    def run(batches):
+        kept: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            kept.append(np.stack([c.to_numpy() for c in batch.columns]))
+            size += batch.num_rows
+            if size >= held:
+                kept = [np.stack(forest(*np.concatenate(kept, 1)))]
+                size = kept[0].shape[1]
+                if size >= held // 2:  # little to contract
+                    yield made(kept[0])
+                    kept, size = [], 0
+        if kept:
+            yield made(np.stack(forest(*np.concatenate(kept, 1))))
+
+    def made(x):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def star_contraction(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, save: Callable[[DataFrame, str], DataFrame] = saved) -> DataFrame:
     """(node, component) for every node that has an edge to another one; component is the least node reached.
 
     Each round is a large-star and a small-star step (Kiveris et al., SoCC 2014): both are one grouped
     minimum and one join, and their output is never larger than their input. A round's edges are written
     to the shared folder, by `save`. The loop ends when every edge points straight at the least node of its component.
-    Self-loops and rows with a null end are ignored; no edges give no rows.
+    Before the first round each task contracts its own edges to stars, so runs and groups that lie together are
+    not shuffled as chains or pairs. Self-loops and rows with a null end are ignored; no edges give no rows.
     """
-    e = save(edges.select(*_larger_first(F.col(src), F.col(dst))).where("u <> v").distinct(), "edges")
+    given = edges.select(*_larger_first(F.col(src).cast("long"), F.col(dst).cast("long"))).where("u <> v")
+    e = save(contracted(given).distinct(), "edges")
     for _ in range(max_rounds):
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in")))
         if ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or out = 1 and in = 1").isEmpty():

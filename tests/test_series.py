@@ -1,12 +1,14 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curalume.operators import ranks, series
-from curalume.operators.components import star_contraction
+from curalume.operators.components import contracted, forest, star_contraction
+from curalume.plans.tables import saved
 
 T0 = datetime(2024, 1, 1)
 SHAPE = "uuid string, date timestamp, features array<float>, phash string"
@@ -74,6 +76,38 @@ def test_components_match_union_find(spark, seed):
     assert star_contraction(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_tasks_leave_stars_of_their_own_edges(spark):
+    r = np.random.default_rng(3)
+    u, v = r.integers(0, 500, (2, 400))
+    parent = np.arange(500)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in zip(u.tolist(), v.tolist()):
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    node, root = forest(u, v)
+    assert dict(zip(node.tolist(), root.tolist())) == {x: find(x) for x in {*u.tolist(), *v.tolist()} if find(x) != x}
+    assert [len(x) for x in forest(u[:0], v[:0])] == [0, 0]
+    edges = spark.range(0, 20_000, 1, 4).selectExpr("id + 1 as u", "id as v")
+    assert contracted(edges, held=3000).count() == 20_000 and contracted(edges.unionByName(edges), held=50_000).distinct().count() <= 40_000
+
+
+def test_a_long_path_takes_few_rounds(spark):
+    rounds = []
+
+    def save(df, name):
+        rounds.append(name)
+        return saved(df, name)
+
+    path = spark.range(0, 200_000, 1, 8).selectExpr("id + 1 as src", "id as dst")
+    found = star_contraction(path, save=save)
+    assert found.agg(F.count("*"), F.max("component")).first() == (200_001, 0) and len(rounds) <= 6
+
+
 def scan(frame):
     rows = [("a", at(0), None, 0), ("b", at(1), 0.4, 0), ("c", at(2), 0.5, 0), ("d", at(9), 0.0, 1), ("e", at(20), 0.2, 2), ("f", at(21), 0.1, 2)]
     return frame(rows, "uuid string, date timestamp, score double, series_id long")
