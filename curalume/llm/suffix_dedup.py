@@ -9,7 +9,8 @@ Runs are compared in three steps, each exact:
 
 1. inside an input partition, equal runs are settled at once: all but the one of the smallest document go;
    so a passage that is everywhere is shuffled once for each partition;
-2. equal runs of all partitions meet by minimiser, and all but those of the smallest document go;
+2. equal runs of all partitions meet by minimiser, and all but those of the smallest document go; a minimiser
+   that very many different runs have is dealt out by window instead, each with its 50 bytes as key;
 3. different runs with one minimiser are sorted as suffixes, up to the end of their run's windows. With
    neighbours' common prefixes, the previous and the next suffix of a smaller document in suffix order give the
    longest previous factor of each start; where it reaches `length`, as many bytes are removed.
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curalume.llm.bytes_np import U64, Prefix, mix, signed, texts
-from curalume.plans.tables import saved
+from curalume.plans.tables import Scratch, saved
 
 _SLICE = 1 << 20
 #: Runs that a task holds before it settles them among themselves.
@@ -44,13 +45,14 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
+def runs(data: np.ndarray, offsets: np.ndarray, length: int, k: int, hot: np.ndarray | None = None):
     """(row, key, sig, at) of the runs of window starts that share a minimiser, for all rows.
 
     key is the minimiser's hash, sig the hash of all bytes of the run's windows. `at` packs the first start (31
     bits), the number of starts (8), 12 bits each of the bytes before and behind the minimiser, which two
     windows that match must agree on at one side (0: the text ends before), and a bit for a minimiser that
-    occurs twice in a window. A long row is taken in slices that overlap by a window.
+    occurs twice in a window. A long row is taken in slices that overlap by a window. Runs of the sorted keys in `hot`
+    are taken apart to runs of one window, whose key is the hash of its bytes.
     """
     width, half = length - k + 1, (length - k + 1) // 2
     row, last = 0, len(offsets) - 1
@@ -60,11 +62,11 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
         for lo in range(a, b, _SLICE) if end == row + 1 else (a,):
             hi = min(b, lo + _SLICE + length - 1) if end == row + 1 else b
             if hi - lo >= length:
-                yield _slice_runs(data[lo:hi], np.clip(offsets[row : end + 1] - lo, 0, hi - lo), row, lo - offsets[row : end + 1], length, k, width, half)
+                yield _slice_runs(data[lo:hi], np.clip(offsets[row : end + 1] - lo, 0, hi - lo), row, lo - offsets[row : end + 1], length, k, width, half, hot)
         row = end
 
 
-def _slice_runs(part, bounds, row, shift, length, k, width, half):
+def _slice_runs(part, bounds, row, shift, length, k, width, half, hot):
     p = Prefix(part)
     at = np.arange(len(part) - k + 1)
     h = p.hash(at, at + k)
@@ -89,7 +91,16 @@ def _slice_runs(part, bounds, row, shift, length, k, width, half):
     behind = np.where(m + k + half <= bounds[own + 1], _short(p, np.minimum(m + k, len(part)), np.minimum(m + k + half, len(part))), U64(0))
     first = (cut + shift[own]).astype(U64)
     packed = (first << U64(33)) | ((stop - cut).astype(U64) << U64(25)) | (before << U64(13)) | (behind << U64(1)) | twice.astype(U64)
-    return own + row, key[cut], p.hash(cut, stop + length - 1), packed
+    found = own + row, key[cut], p.hash(cut, stop + length - 1), packed
+    if hot is None or not len(hot):
+        return found
+    apart = hot[np.minimum(np.searchsorted(hot, found[1]), len(hot) - 1)] == found[1]
+    many = (stop - cut)[apart]
+    begin = np.repeat(cut[apart], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    whose = np.repeat(own[apart], many)
+    place = ((begin + shift[whose]).astype(U64) << U64(33)) | (U64(1) << U64(25))
+    sig = mix(p.hash(begin, begin + length - 1) ^ p.hash(begin + 1, begin + length))
+    return tuple(np.concatenate((x[~apart], y)) for x, y in zip(found, (whose + row, p.hash(begin, begin + length), sig, place), strict=True))
 
 
 def _short(p: Prefix, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -167,12 +178,39 @@ def _settle_locally(held, length: int):
         yield _batch(key[s][open_], sig[s][open_], doc[s][open_], h[s][open_], at[s][open_], None, None)
 
 
-def local_runs(docs: DataFrame, length: int, k: int) -> DataFrame:
+def hot_keys(docs: DataFrame, length: int, k: int, crowd: int, one_in: int = 16) -> np.ndarray:
+    """Minimisers that more than `crowd` different runs have, or a millionth of all runs if that is more; so they number a million at most.
+
+    They are estimated from one document in `one_in`, by hash: which ones are found decides how runs are dealt out,
+    not what is removed, and a crowd that is overlooked is dealt out where its runs meet.
+    """
+
+    def run(batches):
+        for batch in batches:
+            held = [(key, sig) for _, key, sig, _ in runs(*texts(batch.column(0)), length, k)]
+            key, sig = (np.concatenate([np.empty(0, U64), *(x[i] for x in held)]) for i in (0, 1))
+            order = np.lexsort((sig, key))
+            key = key[order][_changed(key[order], sig[order])]
+            value, count = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(value)), pa.array(count)], names=["key", "n"])
+
+    some = docs.where("doc_id is not null and text is not null").where(F.pmod(F.xxhash64("doc_id", "h"), F.lit(one_in)) == 0).select("text")
+    scratch = Scratch(docs.sparkSession)
+    counts = scratch.saved(some.mapInArrow(run, "key long, n long").groupBy("key").agg((F.sum("n") * one_in).alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") > max(crowd, total // 1_000_000)).select("key").toPandas()["key"]
+    scratch.close()
+    return np.sort(found.to_numpy(np.int64).view(U64))
+
+
+def local_runs(docs: DataFrame, length: int, k: int, hot: np.ndarray | None = None) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
     def run(batches):
         held, size = [], 0
         for batch in batches:
             doc, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-            for row, key, sig, at in runs(*texts(batch.column(1)), length, k):
+            for row, key, sig, at in runs(*texts(batch.column(1)), length, k, shared.value):
                 held.append((key, sig, doc[row], h[row], at))
                 size += len(row)
                 if size > _HELD:
@@ -384,15 +422,15 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length
     bytes and no spans, a text shorter than `length` stays whole. Rows with a null id are kept whole and remove
     nothing. Repeated rows of one id, with equal or different texts, remove nothing from each other, and each loses
     what smaller ids have. Other columns are ignored; an empty table gives no rows.
-    `k` is the minimiser's width; `crowd` is how many different runs of one minimiser a task sorts before they
-    are dealt out by window instead. `carry` names columns that come
+    `k` is the minimiser's width; `crowd` is how many different runs of one minimiser a task sorts; more
+    are dealt out by window instead (see hot_keys). `carry` names columns that come
     along in a struct named carried, and adds kept_text, the bytes left without those of a cut character.
     """
     if not 0 < k < length or length - k + 1 > 255:
         raise ValueError("k must be below length and within 254 of it")
     taken = [F.struct(*carry).alias("carried")] if carry else []
     whole = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), text_key(docs, id, text), *taken)
-    met = saved(meeting_runs(local_runs(whole, length, k), length, crowd), "runs")
+    met = saved(meeting_runs(local_runs(whole, length, k, hot_keys(whole, length, k, crowd)), length, crowd), "runs")
     dealt = whole.repartition("doc_id")
     classes = met.where("n is not null")
     apart = suffix_order_spans(open_windows(dealt, classes.where("not crowded"), length), length)

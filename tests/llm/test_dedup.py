@@ -4,9 +4,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from curalume.llm.sentence_dedup import sentence_dedup
-from curalume.llm.suffix_dedup import common_prefixes, longest_previous_factors, suffix_dedup, suffixes
+from curalume.llm.suffix_dedup import common_prefixes, hot_keys, local_runs, longest_previous_factors, suffix_dedup, suffixes
 
 SCHEMA = "doc_id long, text string, spans string"
 
@@ -63,6 +64,27 @@ def test_suffix_dedup_other_length_carry_and_edges(frame):
     assert sorted((str(r.doc_id), len(r.kept)) for r in twice.collect()) == [("1", 99), ("1", 99), ("2", 0), ("None", 99)]
 
 
+def one_passage(n):
+    r = random.Random(5)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(120))
+    noise = lambda: "".join(r.choice("ijklmnopqrstuvwxyz ") for _ in range(60))
+    return [(d, noise() + passage + noise()) for d in range(n)]
+
+
+def test_no_minimiser_brings_more_runs_together_than_a_bound(frame):
+    docs = frame(one_passage(3000), "doc_id long, text string").withColumn("h", F.lit(0).cast("long"))
+    most = lambda hot: local_runs(docs, 50, 12, hot).where("hi is null").groupBy("key").count().agg(F.max("count")).first()[0]
+    hot = hot_keys(docs, 50, 12, crowd=100)
+    assert most(None) > 2500 and 1 < len(hot) < 40 and most(hot) < 200
+
+
+@pytest.mark.parametrize("crowd", [20, 20_000])
+def test_a_passage_in_every_document_goes(frame, crowd):
+    rows = one_passage(200)
+    found = suffix_dedup(frame(rows, "doc_id long, text string"), crowd=crowd)
+    assert {r.doc_id: ([(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in found.collect()} == brute(rows, 50)
+
+
 def test_longest_previous_factors():
     r = random.Random(3)
     for _ in range(50):
