@@ -193,25 +193,45 @@ def _blocks(windows: DataFrame, docs: DataFrame, n: int, shingle: int) -> Iterat
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, shingle: int = 3, block_windows: int = 250_000) -> DataFrame:
-    """The rows of `docs` that decontaminated finds no window in, with all their columns: each is judged where it lies, whatever its id, and nothing is shuffled."""
+    """The rows of `docs` that decontaminated finds no window in, with all their columns: each is judged by itself, whatever its id.
+
+    With one block of windows rows are judged where they lie, and nothing is shuffled. With more, rows are written once with a
+    number, judged by one block after another, and those with a hit are taken out by that number.
+    """
     scratch = Scratch(docs.sparkSession)
     windows = scratch.saved(item_windows(items, item_id, item_text, size), "windows")
     n = max(1, -(-windows.count() // block_windows))
     texts_ = docs.select(F.col(text).cast("string").alias("text"))
-    out, names = docs, docs.columns
+    if n == 1:
+        out = _where_hit(docs, text, next(_blocks(windows, texts_, 1, shingle)), False)
+        scratch.close()
+        return out
+    number = "row"
+    while number in docs.columns:
+        number += "_"
+    rows = saved(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    judged = rows.select(number, F.col(text).cast("string").alias("text" if number != "text" else "words"))
+    hit = None
     for block in _blocks(windows, texts_, n, shingle):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        found = scratch.saved(_where_hit(judged, judged.columns[1], block, True).select(number), "hit")
+        hit = found if hit is None else hit.unionByName(found)
+    hit = saved(hit.distinct(), "hit")
+    scratch.close()
+    return rows.join(hit, number, "left_anti").select(*docs.columns)
 
-        def run(batches, shared=shared):
-            for batch in batches:
-                column = batch.column(names.index(text))
-                none = pa.nulls(len(column), pa.int64())
-                found = _found(pa.RecordBatch.from_arrays([none, none, column], names=["row", "doc_id", "text"]), shared.value)
-                yield batch.filter(pc.equal(pc.list_value_length(found.column(3)), 0))
 
-        out = out.mapInArrow(run, docs.schema)
-    scratch.close()
-    return out
+def _where_hit(rows: DataFrame, text: str, block: _Block, hit: bool) -> DataFrame:
+    """The rows whose text has a window of the block, or those whose text has none."""
+    shared, at = rows.sparkSession.sparkContext.broadcast(block), rows.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(at)
+            none = pa.nulls(len(column), pa.int64())
+            found = _found(pa.RecordBatch.from_arrays([none, none, column], names=["row", "doc_id", "text"]), shared.value)
+            yield batch.filter(pc.equal(pc.greater(pc.list_value_length(found.column(3)), 0), hit))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, shingle: int = 3, block_windows: int = 250_000) -> DataFrame:

@@ -134,6 +134,7 @@ def test_clean_documents_are_the_rows_without_a_hit(frame):
     for block in (100_000, 5):
         found = clean_documents(frame(rows, DOCS), items, block_windows=block)
         assert found.columns == ["doc_id", "text", "kept"] and sorted(x.kept for x in found.collect()) == list("adef") + ["h"]
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 1, "no task holds two blocks"
 
 
 def test_words_are_compared_byte_by_byte():
