@@ -191,10 +191,10 @@ def page_of(http):
 
 
 def first_copies(records: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """(page_id, refers_to): for each record whose payload of `least_bytes` or more a smaller page has, the record id of the smallest such page."""
+    """(record_id, refers_to): for each record whose payload of `least_bytes` or more a smaller page has, the record id of the smallest such page."""
     known = records.where(F.col("payload_bytes") >= least_bytes).select(page_of("http").alias("page_id"), "payload_digest", "record_id").where("page_id is not null")
     first = known.groupBy("payload_digest").agg(F.min(F.struct("page_id", "record_id")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return known.join(first, "payload_digest").where(F.col("page_id") > F.col("first.page_id")).select("page_id", F.col("first.record_id").alias("refers_to")).distinct()
+    return known.join(first, "payload_digest").where(F.col("page_id") > F.col("first.page_id")).select("record_id", F.col("first.record_id").alias("refers_to")).distinct()
 
 
 def write_warc(records: DataFrame, path: str, file_bytes: int = 1 << 25) -> None:
@@ -278,8 +278,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def archived_pages(pages: DataFrame, version: int = 1) -> DataFrame:
     """Pages as ARC archives, converted and written as WARC, and read back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
-    Of equal payloads of 100 bytes or more the smallest page is the response, later pages revisit it; page ids
-    are unique, a repeated row is a second response or revisit with the same record id. A null html is an empty
+    Of equal payloads of 100 bytes or more the smallest page is the response, later pages revisit it. A repeated row is
+    a second response or revisit with the same record id; rows of one page with different html are records of their
+    own, each response or revisit by its own payload. A null html is an empty
     payload, a null url is written as unknown:, a null page_id reads back as null and is never referred to.
     Other columns are ignored; an empty table gives no rows. The archives are removed when they have been read back.
     """
@@ -288,8 +289,10 @@ def archived_pages(pages: DataFrame, version: int = 1) -> DataFrame:
     first = first_copies(arc_records(archives, with_payload=False))
     records = arc_records(archives).withColumn("page_id", page_of("http"))
     path = f"{session_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(records.join(first, "page_id", "left"), path)
+    write_warc(records.join(first, "record_id", "left"), path)
     back = saved(read_warc(spark, path).withColumn("page_id", page_of("http")).drop("http", "uri", "date"), "records")
     delete(spark, path)
-    ids = back.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("of")).join(back.where("refers_to is not null").select("refers_to").distinct(), "refers_to").distinct()
-    return back.join(ids, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("of").alias("refers_to"))
+    revisits = back.where("refers_to is not null")  # responses refer to none and stay where they are
+    ids = back.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("of")).join(revisits.select("refers_to").distinct(), "refers_to").distinct()
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    return back.where("refers_to is null").select(*columns, F.lit(None).cast("long").alias("refers_to")).unionByName(revisits.join(ids, "refers_to", "left").select(*columns, F.col("of").alias("refers_to")))

@@ -136,6 +136,19 @@ def test_pages_to_warc_and_back(spark, frame):
     assert warc.archived_pages(frame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_of_one_id_keep_every_payload(frame, tmp_path, spark, monkeypatch):
+    a, b, c = ("<p>" + x * 150 for x in "abc")
+    rows = [(1, "u", a), (2, "u", a), (2, "u", b), (1, "v", c), (3, "u", b), (3, "u", b)]
+    folder = str(tmp_path / "w")
+    real = warc.write_warc
+    monkeypatch.setattr(warc, "write_warc", lambda records, path: (real(records, folder), real(records, path)))
+    found = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to or 0) for r in warc.archived_pages(frame(rows, "page_id long, url string, html string")).collect())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert found == sorted([(1, sha(a), "response", 0), (2, sha(a), "revisit", 1), (2, sha(b), "response", 0), (1, sha(c), "response", 0), (3, sha(b), "revisit", 2), (3, sha(b), "revisit", 2)])
+    bodies = {bytes(block).partition(b"\r\n\r\n")[2] for x in tmp_path.glob("w/*.gz") for f, block in warc.parse_warc(warc.unpacked(x.read_bytes())) if f["warc-type"] == "response"}
+    assert bodies == {x.encode() for x in (a, b, c)}
+
+
 def test_rates_meet_the_targets_and_the_optimum(frame):
     r = random.Random(1)
     rows = [(d, " ".join((["idiot", "moron"] if d % 4 == 0 else ["river", "stone"])[r.randrange(2)] + ("" if r.random() < 0.5 else str(r.randrange(30))) for _ in range(r.randrange(20, 60)))) for d in range(240)]
