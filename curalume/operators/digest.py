@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curalume.plans.tables import saved
+
 
 class TooLong(Exception):
     """Raised by a summary function for a text that it cannot take; the text is then halved."""
@@ -80,13 +82,24 @@ def summarise_chunks(chunks: DataFrame, fn: Callable[[str], str] = first_lines)
     return _mapped(chunks.withColumn("_told", told), fn, "_told", "summary").drop("_told")
 
 
-def merge_summaries(summaries: DataFrame, fn: Callable[[str], str] = first_lines, id: str = "doc_id") -> DataFrame:
-    """(id, summary): the one summary of a text, or fn's of its parts under headings. A text's parts meet in one row; fn halves what is too long."""
-    ordered = F.sort_array(F.collect_list(F.struct("part", "summary")))
-    joined = summaries.groupBy(id).agg(ordered.alias("s"))
-    text = F.array_join(F.transform("s", lambda x: F.concat(F.lit("### Part "), x["part"], F.lit("\n"), x["summary"])), "\n---\n")
-    one = joined.select(id, F.size("s").alias("n"), F.col("s")[0]["summary"].alias("only"), text.alias("_text"))
-    return _mapped(one, fn, "_text", "merged").select(id, F.rtrim(F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("merged"))).alias("summary"))
+def merge_summaries(summaries: DataFrame, fn: Callable[[str], str] = first_lines, id: str = "doc_id", fan: int = 64) -> DataFrame:
+    """(id, summary): the one summary of a text, or fn's of its parts under headings.
+
+    `fan` consecutive parts at most are merged at a time. A text of more is merged in rounds: a round's summaries are
+    the parts of the next one. So no row holds more than `fan` summaries, however many parts a text has.
+    """
+    rows = saved(summaries.select(id, "part", "parts", "summary"), "summaries")
+    most = rows.agg(F.max("parts")).first()[0] or 0
+    while most > 1:
+        group = F.floor((F.col("part") - 1) / fan).cast("int")
+        joined = rows.where("parts > 1").groupBy(id, group.alias("g")).agg(F.sort_array(F.collect_list(F.struct("part", "summary"))).alias("s"), F.max("parts").alias("parts"))
+        text = F.array_join(F.transform("s", lambda x: F.concat(F.lit("### Part "), x["part"], F.lit("\n"), x["summary"])), "\n---\n")
+        merged = _mapped(joined.select(id, (F.col("g") + 1).alias("part"), F.ceil(F.col("parts") / fan).cast("int").alias("parts"), text.alias("_text")), fn, "_text", "summary").drop("_text")
+        rows = rows.where("parts <= 1").unionByName(merged)
+        most = -(-most // fan)
+        if most > 1:
+            rows = saved(rows, "summaries")
+    return rows.select(id, F.rtrim("summary").alias("summary"))
 
 
 def summarise(docs: DataFrame, fn: Callable[[str], str] = first_lines, size: int = 5500, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from curalume.functions.text import IMAGE_EXTENSIONS
 from curalume.functions.vectors import hours_before
 from curalume.sources import schemas
+from curalume.sources.snapshots import Snapshots
 
 
 def _or_empty(spark: SparkSession, schema: str, read) -> DataFrame:
@@ -76,7 +77,15 @@ def read_label_list(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(F.from_json("value", "array<string>")).alias("uuid")).where("uuid is not null")
 
 
+def read_snapshots(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The latest snapshot of a table that the sinks of histories, lists, albums and caches write; none if there is no table."""
+    return Snapshots(spark, path, schema, []).read()
+
+
 def read_feature_cache(spark: SparkSession, path: str) -> DataFrame:
+    """A cache that append_features writes, or a plain Parquet table of that shape; absent or unreadable gives none."""
+    if Snapshots(spark, path, schemas.FEATURES, ["path"]).version():
+        return read_snapshots(spark, path, schemas.FEATURES)
     return read_table(spark, path, schemas.FEATURES)
 
 

@@ -1,5 +1,5 @@
-"""Sinks: scans, reports, caches, histories, routed media, logs. Writing a thing twice leaves it once: appends take only what is not there yet,
-and scans, routed media and logs replace what they wrote before."""
+"""Sinks: scans, reports, caches, histories, routed media, logs. Writing a thing twice leaves it once: caches, histories, lists and albums
+are tables of snapshots that take only what is not there yet, and scans, routed media and logs replace what they wrote before."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from curalume.operators.feedback import new_labels, new_members, new_records
 from curalume.operators.training import new_features
 from curalume.sources import schemas
+from curalume.sources.snapshots import Snapshots
 
 
 def scan_header(scan: DataFrame, scan_id: str, scan_date: Column, after: Column, threshold: float) -> DataFrame:
@@ -43,25 +44,26 @@ def write_lines(lines: DataFrame, path: str) -> None:
         lines.write.mode("overwrite").text(path)
 
 
-def append_features(extracted: DataFrame, cache: DataFrame, path: str) -> None:
-    new_features(extracted, cache).write.mode("append").parquet(path)
+def append_features(extracted: DataFrame, cache: DataFrame, path: str) -> int:
+    """Commit features of paths that neither `cache` nor the table at `path` has; the number added."""
+    table = Snapshots(extracted.sparkSession, path, schemas.FEATURES, ["path"])
+    return table.append_new(new_features(extracted, cache).select("path", F.col("features").cast("array<float>")))
 
 
-def record_added(history: DataFrame, uuids: DataFrame, scan_file: str, now: Column, path: str) -> None:
-    new_records(history, uuids, scan_file, now).write.mode("append").parquet(path)
+def record_added(history: DataFrame, uuids: DataFrame, scan_file: str, now: Column, path: str) -> int:
+    """Commit records of uuids that neither `history` nor the table at `path` has; the number added. Of two writers the first one's record stays."""
+    table = Snapshots(uuids.sparkSession, path, schemas.FEEDBACK, ["uuid", "status"])
+    return table.append_new(new_records(history, uuids, scan_file, now))
 
 
-def append_label_list(labels: DataFrame, uuids: DataFrame, path: str) -> None:
-    new_labels(labels, uuids).write.mode("append").parquet(path)
+def append_label_list(labels: DataFrame, uuids: DataFrame, path: str) -> int:
+    """Commit uuids that neither `labels` nor the list at `path` has; the number added."""
+    return Snapshots(uuids.sparkSession, path, "uuid string", ["uuid"]).append_new(new_labels(labels, uuids))
 
 
 def add_to_album(album_members: DataFrame, uuids: DataFrame, photos: DataFrame, album: str, path: str) -> int:
-    """Append new members; the number added."""
-    fresh = new_members(album_members, uuids, photos, album).persist()
-    n = fresh.count()
-    fresh.write.mode("append").parquet(path)
-    fresh.unpersist()
-    return n
+    """Commit new members; the number added."""
+    return Snapshots(uuids.sparkSession, path, schemas.ALBUM_MEMBERS, ["album", "uuid"]).append_new(new_members(album_members, uuids, photos, album))
 
 
 def write_routed(routed: DataFrame, path: str, batch: str = "all") -> None:

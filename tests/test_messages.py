@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 from curalume.functions import text as tx
@@ -14,6 +15,16 @@ from curalume.streaming.previous import with_previous_message_stream
 
 D = datetime(2024, 1, 1)
 RULES = readers.Rules(threshold=0.7, keywords=("drop", "NEW"), accounts=("Star",))
+
+
+class Longest(AccumulatorParam):
+    def zero(self, value):
+        return value
+
+    def addInPlace(self, a, b):
+        return max(a, b)
+
+
 def now():
     return F.lit("2024-01-08 14:30:22").cast("timestamp")
 
@@ -164,6 +175,18 @@ def test_counters_are_put_together_and_counted_once(spark, frame, tmp_path):
     assert len(complete(spark, f"{tmp_path}/batch")) <= 4 and len(complete(spark, f"{tmp_path}/merged")) == 1
 
 
+def test_a_text_of_very_many_parts_is_merged_in_bounded_rows(spark):
+    rows = spark.range(1, 100_001, 1, 8).selectExpr("1L as doc_id", "cast(id as int) as part", "100000 as parts", "concat('summary ', id) as summary")
+    longest = spark.sparkContext.accumulator(0, Longest())
+
+    def fn(text):
+        longest.add(len(text))
+        return text.split("\n")[1]
+
+    assert [r.summary for r in digest.merge_summaries(rows, fn).collect()] == ["summary 1"]
+    assert longest.value < 64 * 50
+
+
 def test_backfill_cutoff(frame):
     m = frame(rows(), schemas.MESSAGES)
     now = F.lit(D + timedelta(hours=1)).cast("timestamp")
@@ -183,5 +206,20 @@ def test_chunks_and_summaries(frame):
             raise digest.TooLong
         return text[:2]
 
+    summaries = [(d, i + 1, n, f"{d}{i}") for d, n in (("p", 1), ("q", 3), ("r", 4), ("s", 21)) for i in range(n)]
+
+    def joined(text):
+        return text.replace("\n---\n", "|")
+
+    found = digest.merge_summaries(frame(summaries, "doc_id string, part int, parts int, summary string"), joined, fan=4).collect()
+    want = {d: [s for x, _, _, s in summaries if x == d] for d in "pqrs"}
+
+    def expected(parts):
+        if len(parts) == 1:
+            return parts[0]
+        first = [parts[i : i + 4] for i in range(0, len(parts), 4)]
+        return expected(["|".join(f"### Part {4 * g + i + 1}\n{x}" for i, x in enumerate(some)) for g, some in enumerate(first)])
+
+    assert {r.doc_id: r.summary for r in found} == {d: expected(x) for d, x in want.items()}
     out = {r.doc_id: r.summary for r in digest.summarise(docs, fn).collect()}
     assert set(out) == {"a", "b", "c"} and out["a"] == "xx"

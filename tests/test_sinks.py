@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from curalume.functions import text as tx
 from curalume.operators import media, photos, training
 from curalume.plans import tables
-from curalume.sources import readers, sinks
+from curalume.sources import readers, schemas, sinks
+from curalume.sources.snapshots import Snapshots
 
 import pytest
 
@@ -28,6 +29,48 @@ def test_routed_media_overwrite_equal_names_and_retries(spark, frame, tmp_path):
     assert {(r.message_id, r.url, r.destination) for r in spark.read.parquet(str(tmp_path)).collect()} == {(2, "v", "all"), (2, "v", "curated")}
 
 
+def test_two_writers_from_one_snapshot(spark, frame, tmp_path):
+    path, keys = str(tmp_path / "t"), ["uuid"]
+    one, other = (Snapshots(spark, path, "uuid string, scan_file string", keys) for _ in range(2))
+    assert one.read().count() == 0 and one.version() == 0
+    rows = lambda names, file: frame([(n, file) for n in names], "uuid string, scan_file string")
+    seen = []
+
+    def late(now):
+        seen.append(now.count())
+        if len(seen) == 1:  # another writer commits after this one has read the table
+            assert other.append_new(rows("bc", "second")) == 2
+        return rows("abb", "first")
+
+    assert one.append_new(late) == 1 and seen == [0, 2]
+    assert sorted(tuple(r) for r in one.read().collect()) == [("a", "first"), ("b", "second"), ("c", "second")]
+    assert one.append_new(rows("abc", "again")) == 0 and one.version() == 2
+    assert sorted(r.uuid for r in one.read(1).collect()) == ["b", "c"]
+    rows("z", "of a job that broke off").write.parquet(f"{path}/commit=orphan")
+    assert one.append_new(rows([None, None], "null")) == 1 and one.append_new(rows([None], "null")) == 0
+    assert one.read().count() == 4 and one.vacuum() == 1 and one.read().count() == 4 and one.version() == 3
+
+
+def test_many_commits_are_packed(spark, frame, tmp_path):
+    table = Snapshots(spark, str(tmp_path / "t"), "uuid string", ["uuid"], every=3)
+    for i in range(8):
+        assert table.append_new(frame([(str(i),), (str(i // 2),)], "uuid string")) == 1
+    assert sorted(r.uuid for r in table.read().collect()) == [str(i) for i in range(8)]
+    assert len(table._folders(table.version())) <= 3 and table.vacuum() > 0 and table.read().count() == 8
+
+
+def test_sinks_of_histories_take_each_row_once(spark, frame, tmp_path):
+    none = frame([], "uuid string, added_date timestamp, scan_file string, status string")
+    for file in ("one", "two"):
+        n = sinks.record_added(none, frame([("a",), ("b",), ("b",)], "uuid string"), file, F.lit(D), str(tmp_path / "h"))
+        assert n == (2 if file == "one" else 0)
+    assert {r.scan_file for r in readers.read_snapshots(spark, str(tmp_path / "h"), schemas.FEEDBACK).collect()} == {"one"}
+    labels = frame([("a",)], "uuid string")
+    assert [sinks.append_label_list(labels, frame([("a",), ("b",)], "uuid string"), str(tmp_path / "l")) for _ in range(2)] == [1, 0]
+    sinks.append_features(frame([("p", [1.0])], "path string, features array<double>"), frame([], "path string, features array<double>"), str(tmp_path / "c"))
+    assert [(r.path, r.features) for r in readers.read_feature_cache(spark, str(tmp_path / "c")).collect()] == [("p", [1.0])]
+
+
 def test_logs_and_summaries(spark, frame, tmp_path):
     log = frame([("\n---\nDate: x\n",)], "entry string").coalesce(1)
     for batch in ("1", "2", "1"):
