@@ -14,41 +14,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curalume.llm.bytes_np import LOWER, NOT_SPACE, U64, mix, row_groups, signed, texts, words
+from curalume.llm.bytes_np import LOWER, NOT_SPACE, U64, Words, mix, row_groups, signed, span_hashes, texts, words
 from curalume.llm.suffix_dedup import _changed, _merged, merged_by_text, text_key
 
 _HELD = 1_500_000
 _STOP = np.zeros(256, bool)
 _STOP[[*b".!?"]] = True
+#: Ends of sentences in other scripts, which need no space behind them.
+_MARKS = [x.encode() for x in "。！？｡؟۔।॥"]
 _B = 0x2545F4914F6CDD1D
 
 
+def _marked(data: np.ndarray) -> np.ndarray:
+    """Whether a byte is the last one of an end mark of another script."""
+    out = np.zeros(len(data), bool)
+    for m in _MARKS:
+        at = np.flatnonzero(data[len(m) - 1 :] == m[-1])
+        for k, byte in enumerate(m[:-1]):
+            at = at[data[at + k] == byte]
+        out[at + len(m) - 1] = True
+    return out
+
+
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """Whether a byte begins a character of a script that is written without spaces: ideographs, kana, Thai, Lao, Khmer, Burmese."""
+    after = np.r_[data[1:], np.zeros(min(1, len(data)), np.uint8)]
+    return ((data >= 0xE3) & (data <= 0xE9)) | ((data == 0xE0) & (after >= 0xB8) & (after <= 0xBB)) | ((data == 0xE1) & ((after >= 0x9E) & (after <= 0x9F) | (after >= 0x80) & (after <= 0x82)))
+
+
 def sentences(data: np.ndarray, offsets: np.ndarray):
-    """Words, and the index of the first word of each sentence: a sentence ends behind a word that ends in . ! or ?, at a line end, and at the row's end."""
+    """Words, the index of the first word of each sentence, and how many words each word counts for.
+
+    A sentence ends behind a word that ends in . ! or ?, behind an end mark of another script, at a line end, and at
+    the row's end. Such a mark also ends a word. Two characters of a script without spaces count as a word.
+    """
     w = words(data, offsets, NOT_SPACE, LOWER)
+    marked, counts = np.zeros(len(data), bool), np.ones(len(w.start), np.int64)
+    if len(data) and data.max() >= 0xD8:
+        marked = _marked(data)
+        after = np.flatnonzero(marked) + 1
+        after = after[np.searchsorted(w.start, after, "left") != np.searchsorted(w.end, after, "right")]  # inside a word
+        if len(after):
+            start, end = np.sort(np.r_[w.start, after]), np.sort(np.r_[w.end, after])
+            w = Words(start, end, np.searchsorted(start, offsets), span_hashes(data, start, end, LOWER))
+        wide = np.r_[0, np.cumsum(_unspaced(data))]
+        counts = np.maximum(1, (wide[w.end] - wide[w.start] + 1) // 2)
     n = len(w.start)
     if not n:
-        return w, np.empty(0, np.int64)
+        return w, np.empty(0, np.int64), counts
     lines = np.zeros(len(data) + 1, np.int64)
     np.cumsum(data == 10, out=lines[1:])
     begin = np.ones(n, bool)
-    begin[1:] = _STOP[data[w.end[:-1] - 1]] | (lines[w.start[1:]] > lines[w.end[:-1]])
+    begin[1:] = _STOP[data[w.end[:-1] - 1]] | marked[w.end[:-1] - 1] | (lines[w.start[1:]] > lines[w.end[:-1]])
     begin[w.first[:-1][w.first[:-1] < n]] = True
-    return w, np.flatnonzero(begin)
+    return w, np.flatnonzero(begin), counts
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, least: int, min_words: int):
     """(row, key, sig, index of the first sentence in its row, sentences) of each span, and the sentences of each row."""
-    w, first = sentences(data, offsets)
+    w, first, counts = sentences(data, offsets)
     end = np.r_[first[1:], len(w.start)]
+    so_far = np.r_[0, np.cumsum(counts)]
+    before, behind = so_far[first], so_far[end]  # words up to each sentence and with it
     row = np.searchsorted(w.first, first, "right") - 1
     many = np.bincount(row, minlength=len(offsets) - 1)
     base = np.cumsum(many) - many
     every = np.arange(len(first))
-    last = np.maximum(every + least - 1, np.searchsorted(end, first + min_words))  # of the shortest span from each sentence
+    last = np.maximum(every + least - 1, np.searchsorted(behind, before + min_words))  # of the shortest span from each sentence
     ok = last < (base + many)[row]
     i, last = every[ok], last[ok]
-    to = np.minimum(every - least + 1, np.searchsorted(first, end - min_words, "right") - 1)  # first of the shortest span up to each
+    to = np.minimum(every - least + 1, np.searchsorted(before, behind - min_words, "right") - 1)  # first of the shortest span up to each
     ok = to >= base[row]
     both = np.unique(np.r_[i, to[ok]] * (len(first) + 1) + np.r_[last, every[ok]])
     i, last = both // (len(first) + 1), both % (len(first) + 1)
@@ -129,10 +164,11 @@ def repeated_sentences(docs: DataFrame, least: int, min_words: int) -> DataFrame
 def sentence_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = 2, min_words: int = 12) -> DataFrame:
     """(doc_id, n_sentences, removed, kept): per row of `docs` the removed runs of sentences (start, end), maximal and ascending, and the text left.
 
-    Sentences are compared by their words, A-Z lower-cased, whatever the white space between; the first span is
+    Sentences end at . ! or ? before white space, at the end marks of other scripts and at line ends. They are
+    compared by their words, A-Z lower-cased, whatever the white space between; the first span is
     the one of the least id, and in it the earliest. A sentence takes its white space up to the next one with it.
     Every run of `least` sentences and `min_words` words that repeats goes whole; shorter ones, which many clean
-    texts share by chance, stay (1 takes every run). A null or empty text has no
+    texts share by chance, stay (1 takes every run); of scripts without spaces, two characters count as a word. A null or empty text has no
     sentences; a text shorter than a span loses nothing. Rows with a null id stay whole and remove nothing. Equal rows
     are one text, and each of them loses the same; of different texts of one id, that of the least hash comes first.
     Other columns are ignored; an empty table gives no rows.
@@ -148,7 +184,7 @@ def sentence_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", leas
             for a, b in row_groups(offsets):
                 base = int(offsets[a])
                 part = offsets[a : b + 1] - base
-                w, first = sentences(data[base : offsets[b]], part)
+                w, first, _ = sentences(data[base : offsets[b]], part)
                 per = np.searchsorted(first, w.first)
                 for r in range(b - a):
                     lo_byte, hi_byte = int(part[r]) + base, int(part[r + 1]) + base

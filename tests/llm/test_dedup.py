@@ -191,6 +191,50 @@ def test_previous_factors_of_real_suffixes(frame):
         assert factor[i] == best
 
 
+CHINESE = "今天的天气非常好，我们一起去公园散步。孩子们在草地上玩耍！你想和我们一起来吗？晚上我们回家吃饭。"
+THAI = "วันนี้อากาศดีมากเราไปเดินเล่นในสวนสาธารณะด้วยกัน\nเด็กๆเล่นอยู่บนสนามหญ้าและหัวเราะเสียงดัง\n"
+
+
+def test_repeats_in_scripts_without_spaces_go(frame):
+    rows = [(1, CHINESE), (2, CHINESE), (3, "他说了别的话。" + CHINESE + "最后一句不同。"), (4, "很好。谢谢。"), (5, "很好。谢谢。"), (6, THAI), (7, "หัวข้อ\n" + THAI + "จบ"), (8, "क्या यह सही है? हाँ यह बिल्कुल सही है। हम सब यहाँ बहुत खुश हैं।"), (9, "क्या यह सही है? हाँ यह बिल्कुल सही है। हम सब यहाँ बहुत खुश हैं। और।")]
+    found = {x.doc_id: x for x in sentence_dedup(frame([(*x, "") for x in rows], SCHEMA)).collect()}
+    assert {d: x.kept for d, x in found.items()} == {1: CHINESE, 2: "", 3: "他说了别的话。最后一句不同。", 4: "很好。谢谢。", 5: "很好。谢谢。", 6: THAI, 7: "หัวข้อ\nจบ", 8: rows[7][1], 9: "और।"}
+    assert found[1].n_sentences == 4 and found[3].n_sentences == 6 and found[8].n_sentences == 3
+
+
+def in_marks(text):
+    """Words with the bytes that they span, split behind end marks of other scripts; whether a sentence begins there; and words each counts for."""
+    out = []
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+        for p in re.finditer(r"[^。！？｡؟۔।॥]*[。！？｡؟۔।॥]|[^。！？｡؟۔।॥]+", m[0]):
+            fresh = not out or out[-1][0][-1] in ".!?。！？｡؟۔।॥" or "\n" in text[out[-1][2] : m.start() + p.start()]
+            wide = len(re.findall(r"[\u3000-\u9fff\u0e00-\u0eff\u1780-\u17ff\u1000-\u10bf]", p[0]))
+            out.append((p[0], m.start() + p.start(), m.start() + p.end(), fresh, max(1, -(-wide // 2))))
+    return out
+
+
+def test_mixed_scripts_match_all_runs(frame):
+    r = random.Random(4)
+    part = lambda: r.choice(["好", "天气很好", "ไทย", "word", "Two words", "é", "हाँ", "。", "!", "の"]) + r.choice(["。", "！", "", " ", "\n", ".", "? ", "।"])
+    pool = ["".join(part() for _ in range(r.randrange(1, 7))) for _ in range(25)]
+    rows = [(d, "".join(r.choice(pool) for _ in range(r.randrange(0, 9)))) for d in range(60)]
+    seen, want = set(), {}
+    for d, text in rows:
+        w = in_marks(text)
+        starts = [i for i, x in enumerate(w) if x[3]]
+        ends, gone = [*starts[1:], len(w)], set()
+        for j in range(len(starts)):
+            for i in range(j):
+                key = tuple(re.sub("[A-Z]", lambda m: m[0].lower(), x[0]) for x in w[starts[i] : ends[j]])
+                if sum(x[4] for x in w[starts[i] : ends[j]]) >= 4:
+                    if (key, tuple(ends[k] - starts[k] for k in range(i, j + 1))) in seen or key in seen:
+                        gone |= set(range(i, j + 1))
+                    seen.add(key)
+        want[d] = (len(starts), gone)
+    found = sentence_dedup(frame([(*x, "") for x in rows], SCHEMA), min_words=4).collect()
+    assert {x.doc_id: (x.n_sentences, {k for s in x.removed for k in range(s.start, s.end)}) for x in found} == want and any(g for _, g in want.values())
+
+
 def test_planted_passage_goes_from_later_documents(frame):
     passage = "This is the first sentence of it here. " + " ".join(f"word{i}" for i in range(30)) + ". And a third one closes the passage now. "
     rows = [(d, f"Lead {d} of its own kind. {passage}Tail {d} is its own as well.", "") for d in range(20)]
