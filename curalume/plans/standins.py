@@ -76,7 +76,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     attachment = lambda cond, ext, kind: F.when(cond, F.struct(F.concat(F.lit("https://cdn.example/"), name, F.lit(ext)).alias("url"), F.lit(kind).alias("content_type")))
     embed = F.struct(
         F.when(n % 4 == 0, F.concat(F.lit("https://netflix.com/"), name)).otherwise(link).alias("url"),
-        F.substring("text", 1, 40).alias("description"),
+        F.col("text").alias("description"),
         F.struct(F.when(t % 4 == 0, F.concat(F.lit("https://img.example/"), name, F.lit(".png"))).otherwise(F.concat(F.lit("https://img.example/"), name, F.lit(".GIF"))).alias("url")).alias("image"),
         F.struct(F.when(n % 6 == 0, F.concat(F.lit("https://v.example/"), name, F.lit(".mp4"))).alias("url")).alias("video"),
         F.struct(F.concat(F.lit("https://t.example/"), name, F.lit(".jpg")).alias("url"), (t * 60).cast("int").alias("width")).alias("thumbnail"),

@@ -305,7 +305,7 @@ _KEYWORDS = " OR ".join(f"contains(lower(coalesce(text, '')), '{k}')" for k in r
 _IMPORTANT = " OR ".join(f"contains(lower(body), '{k}')" for k in RULES.keywords)
 _MESSAGES = f"""m AS (SELECT conv_id AS n, turn AS t, conv_id * 1000 + turn AS message_id, role, 'Author ' || conv_id % 20 AS author, conv_id || '_' || turn AS name,
  'https://x.com/user' || conv_id % 50 || '/status/' || (conv_id * 100 + turn) AS link, text FROM conversations),
- e AS (SELECT *, CASE WHEN t = 0 THEN text || ' ' || link ELSE text END || CASE WHEN n % 5 = 0 AND text <> '' THEN chr(10) || substr(text, 1, 40) ELSE '' END AS body,
+ e AS (SELECT *, CASE WHEN t = 0 THEN text || ' ' || link ELSE text END || CASE WHEN n % 5 = 0 AND text <> '' THEN chr(10) || text ELSE '' END AS body,
  CASE WHEN n % 5 = 0 THEN CASE WHEN n % 4 = 0 THEN 'https://netflix.com/' || name ELSE link END WHEN t = 0 THEN link END AS url, CASE WHEN t = 0 OR n % 5 = 0 AND n % 4 <> 0 THEN 'user' || n % 50 END AS username,
  CASE WHEN t % 3 = 1 THEN ['https://cdn.example/' || name || '.jpg?x=1'] ELSE [] END || CASE WHEN n % 5 = 0 AND t % 4 = 0 THEN ['https://img.example/' || name || '.png'] ELSE [] END || CASE WHEN n % 5 = 0 AND t * 60 > 100 THEN ['https://t.example/' || name || '.jpg'] ELSE [] END AS images,
  CASE WHEN t % 5 = 2 THEN ['https://cdn.example/' || name || '.mp4'] ELSE [] END || CASE WHEN t % 7 = 3 THEN ['https://cdn.example/' || name || '.gif'] ELSE [] END || CASE WHEN n % 5 = 0 AND n % 6 = 0 THEN ['https://v.example/' || name || '.mp4'] ELSE [] END || CASE WHEN n % 5 = 0 AND t % 4 <> 0 THEN ['https://img.example/' || name || '.GIF'] ELSE [] END AS videos FROM m),
