@@ -447,8 +447,10 @@ def classes_of_lists(
     # pairs of different families, or of none: by their shingles
     labelled = lists.join(placed.select("doc_id", "component", "family"), "doc_id", "left").select("token", "chunk", "doc_id", "n", F.col("n").alias("size"), "pos", *(F.coalesce(c, "doc_id").alias(c) for c in ("component", "family")))
     labelled = save(labelled, "labelled")
-    several = labelled.groupBy("token").agg(*(f(c).alias(f"{to}_{c}") for c in ("component", "family") for f, to in ((F.min, "low"), (F.max, "high")))).where("low_component <> high_component and low_family <> high_family").select("token")
-    marked = labelled.join(several.hint("merge"), "token", "left_semi").join(known.select("doc_id", F.col("n_shingles").alias("n"), "mark").hint("merge"), ["doc_id", "n"])
+    several = labelled.groupBy("token").agg(*(f(c).alias(f"{to}_{c}") for c in ("component", "family") for f, to in ((F.min, "low"), (F.max, "high"))), F.count("*").alias("k")).where("low_component <> high_component and low_family <> high_family").select("token", "k")
+    # any list that is still whole and long is dealt out here, whether its shingle was known as frequent or not
+    lot = F.when((F.col("chunk") == 0) & (F.col("k") > cut), 1 + F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("k") / cut))).otherwise(F.col("chunk")).cast("int")
+    marked = labelled.join(several.hint("merge"), "token").withColumn("chunk", lot).drop("k").join(known.select("doc_id", F.col("n_shingles").alias("n"), "mark").hint("merge"), ["doc_id", "n"])
     across = fits(meeting_pairs(marked, percent, inside=False))
     outer = verified(across, wanted, n, save).where(linked).select(*ends)
 

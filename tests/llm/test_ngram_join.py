@@ -88,6 +88,12 @@ def test_lists_dealt_in_chunks_match_brute_force(frame):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == brute(rows, 4, 85)
 
 
+def test_long_lists_of_shingles_that_are_not_known_as_frequent(frame):
+    rows = two_families(9)
+    found = ngram_jaccard_classes(frame([(*x, "clash") for x in rows], SCHEMA), cut=8, share=2.0).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == brute(rows, 4, 85)
+
+
 def two_families(seed, copies=50, words=150):
     """Two families whose bases share about three in four shingles, with copies between them, so that pairs of both are near the bound."""
     r = random.Random(seed)
