@@ -169,11 +169,15 @@ def verified(pairs: DataFrame, wanted: DataFrame, n: int, save: Callable[[DataFr
     # what each text is wanted for: as a's, or (a null) as b's, so that texts are shuffled to their pairs once
     asked = counted.select(F.col("a").alias("doc_id"), "b", "part", "a").unionByName(counted.select(F.col("b").alias("doc_id"), "b", "part", F.lit(None).cast("long").alias("a")).distinct())
 
+    def made(rows):
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i < 5 else pa.list_(pa.int64())) for i, x in enumerate(cols)], names=["a", "b", "common", "na", "nb", "change"])
+
     def run(batches):
         key, mine = None, []
         for batch in batches:
             b, part, a = (batch.column(i).to_pylist() for i in range(3))
-            rows = []
+            rows, held = [], 0
             for i, s in enumerate(_sets(batch.column(3), n)):
                 if (b[i], part[i]) != key:
                     key, mine = (b[i], part[i]), []
@@ -184,8 +188,11 @@ def verified(pairs: DataFrame, wanted: DataFrame, n: int, save: Callable[[DataFr
                     common = len(np.intersect1d(s, o, assume_unique=True))
                     close = 100 * common >= near * (len(s) + len(o) - common)
                     rows.append((a[i], b[i], common, len(s), len(o), signed(np.r_[np.setdiff1d(s, o, True), np.setdiff1d(o, s, True)]) if close else None))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i < 5 else pa.list_(pa.int64())) for i, x in enumerate(cols)], names=["a", "b", "common", "na", "nb", "change"])
+                    held += len(s) + len(o) - 2 * common if close else 0
+                if held > 1_000_000:
+                    yield made(rows)
+                    rows, held = [], 0
+            yield made(rows)
 
     both = wanted.select("doc_id", "text").join(asked.hint("merge"), "doc_id").select("b", "part", "a", "text").repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
     return both.mapInArrow(run, "a long, b long, common long, na long, nb long, change array<long>")
