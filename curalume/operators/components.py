@@ -68,7 +68,8 @@ def star_contraction(edges: DataFrame, src: str = "src", dst: str = "dst", max_r
     not shuffled as chains or pairs. Self-loops and rows with a null end are ignored; no edges give no rows.
     """
     given = edges.select(*_larger_first(F.col(src).cast("long"), F.col(dst).cast("long"))).where("u <> v")
-    e = save(contracted(save(given.distinct(), "edges")).distinct(), "edges")  # written first: edges made in Python would need two workers a task
+    # written as they lie: edges made in Python would need two workers a task, and a shuffle would part those that lie together
+    e = save(contracted(save(given, "edges")).distinct(), "edges")
     for _ in range(max_rounds):
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in")))
         if ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or out = 1 and in = 1").isEmpty():
