@@ -4,8 +4,10 @@ A page is a sequence of text blocks, each at the end of a path of tags from the
 length of its text and its punctuation are summed over its blocks; their means are smoothed over its siblings,
 weighted by their characters, so that a short heading or paragraph stands with the paragraphs around it, and fused,
 with the share of the text outside links as a factor. Paths above a share of the best one are content. Blocks inside
-elements that never hold an article's text are not candidates. Where the page marks an article, what is outside of it
-weighs little; all paths are scored and thresholded alike.
+elements that never hold an article's text are not candidates. The core is the deepest element that, at each step from
+the root, holds more than half of the fused mass; a path outside of it weighs the share of the mass that is outside, or
+its root where its tag is that of the best path, so that a few paragraphs of the text in an element of their own stay.
+Where the page marks an article, what is outside of it weighs little; all paths are scored and thresholded alike.
 
 Siblings have the same parent, where lists, quotes, tables and figures without a label count as their parent's own
 children; each list without a label is a path of its own. A heading's siblings are all blocks beneath its parent.
@@ -151,6 +153,29 @@ def _parent(path: tuple[str, ...]) -> tuple[str, ...]:
     return path[:n]
 
 
+def _core(mass: dict[tuple[str, ...], float]) -> tuple[set[tuple[str, ...]], float]:
+    """Paths inside the element reached from the root by steps that keep more than half of the mass, and the share outside of it.
+
+    A heading whose parent holds that element counts as inside, for its siblings are all blocks beneath its parent.
+    """
+    inside, total = set(mass), sum(mass.values())
+    holder = {path: _parent(path) if path and _tag(path[-1]) in _SIBLING | _HEADING else path for path in mass}
+    held, depth = total, 0
+    while held:
+        child: dict[str, float] = defaultdict(float)
+        for path in inside:
+            if len(holder[path]) > depth:
+                child[holder[path][depth]] += mass[path]
+        name = max(child, key=child.get, default=None)
+        if name is None or 2 * child[name] <= held:
+            break
+        inside = {path for path in inside if len(holder[path]) > depth and holder[path][depth] == name}
+        held, depth = child[name], depth + 1
+    core = next(iter(holder[path][:depth] for path in inside), ())
+    inside |= {path for path in mass if path and _tag(path[-1]) in _HEADING and core[: len(path) - 1] == path[:-1]}
+    return inside, 1 - held / total if total else 0.0
+
+
 def main_text(page: str | None, share: float = 0.1) -> str:
     """The content blocks of a page, joined by empty lines; empty if there are none."""
     found = [*blocks(page or "")]
@@ -178,6 +203,10 @@ def main_text(page: str | None, share: float = 0.1) -> str:
             size, punct = (size + near[1] / near[0]) / 2, (punct + near[2] / near[0]) / 2
             plain = 1 - near[3] / near[0] if tag in _HEADING else plain
         score[path] = size * (1 + punct) * plain * (_OUTSIDE if path in outside else 1)
+    top = max(score, key=score.get, default=())
+    inside, share_out = _core({path: count[path][0] * score[path] for path in score})
+    for path in score.keys() - inside:
+        score[path] *= share_out**0.5 if path and _tag(path[-1]) == _tag(top[-1] if top else "") else share_out
     best = max(score.values(), default=0.0)
     return "\n\n".join(s for path, _, s, _ in found if score[path] >= share * best)
 
