@@ -164,10 +164,14 @@ def close_time_runs(photos: DataFrame, gap: int = 5) -> DataFrame:
 def connected_components(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
     """(uuid, component): the least rank of each photo's component; photos without a pair are their own.
 
-    `vertices` has uuid and rank, `pairs` src and dst.
+    `vertices` has uuid and rank, `pairs` src and dst. Spark takes pairs made in Python for no larger than the photos
+    they come from, so without a hint it would send them all through the driver.
     """
     number = vertices.select("uuid", "rank")
-    edges = pairs.join(number.select(F.col("uuid").alias("src"), F.col("rank").alias("u")), "src").join(number.select(F.col("uuid").alias("dst"), F.col("rank").alias("v")), "dst").select("u", "v")
+    edges = pairs
+    for end, rank in (("src", "u"), ("dst", "v")):
+        edges = edges.join(number.select(F.col("uuid").alias(end), F.col("rank").alias(rank)).hint("merge"), end)
+    edges = edges.select("u", "v")
     found = star_contraction(edges, "u", "v").withColumnRenamed("node", "rank")
     return number.join(found, "rank", "left").select("uuid", "rank", F.coalesce("component", "rank").alias("component"))
 
@@ -183,7 +187,7 @@ def series_components(photos: DataFrame, rules: SeriesRules = SeriesRules()) ->
         return runs.select("uuid", "rank", F.col("run").alias("component"))
     pairs = rank_pairs(photos, runs, rules, between_runs=True).select("u", "v")
     for end in "uv":
-        pairs = pairs.join(runs.select(F.col("rank").alias(end), F.col("run").alias(f"{end}_run")), end)
+        pairs = pairs.join(runs.select(F.col("rank").alias(end), F.col("run").alias(f"{end}_run")).hint("merge"), end)
     found = star_contraction(pairs.select("u_run", "v_run").distinct(), "u_run", "v_run").withColumnRenamed("node", "run")
     return runs.select("uuid", "rank", "run").join(found, "run", "left").select("uuid", "rank", F.coalesce("component", "run").alias("component"))
 

@@ -206,3 +206,15 @@ def test_one_instant_makes_bounded_candidates(spark):
     photos = spark.range(3000).selectExpr("cast(id as string) as uuid", "timestamp'2024-01-01' as date")
     assert series.series_pairs(photos, series.SeriesRules(cap=10)).count() == 10 * 3000 - 55
     assert series.detect_series(photos).select("series_id").distinct().count() == 1
+
+
+def test_pairs_are_never_sent_through_the_driver(spark, frame, monkeypatch):
+    """Spark's guess of their size is far too small, so only a hint keeps them from a broadcast."""
+    rows = [(f"{k}", at(k), None, None) for k in range(20)]
+    given = []
+    monkeypatch.setattr(series, "star_contraction", lambda edges, *_: given.append(edges) or star_contraction(edges, *_))
+    photos = frame(rows, SHAPE).select("uuid", "date")
+    found = series.connected_components(series.with_global_rank(photos), series.series_pairs(photos, series.SeriesRules()))
+    assert {r.component for r in found.collect()} == {0}
+    plan = given[0]._jdf.queryExecution().executedPlan().toString()
+    assert "rank" in plan and plan.count("SortMergeJoin") == 2
