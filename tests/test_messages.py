@@ -1,6 +1,8 @@
 import random
+import types
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from curalume.plans.tables import complete, saved
 from curalume.sources import readers, schemas
 from curalume.streaming import curation
 from curalume.streaming.ledger import Counters, Ledger
-from curalume.streaming.previous import with_previous_message_stream
+from curalume.streaming.previous import PreviousMessage, with_previous_message_stream
 
 D = datetime(2024, 1, 1)
 RULES = readers.Rules(threshold=0.7, keywords=("drop", "NEW"), accounts=("Star",))
@@ -223,3 +225,53 @@ def test_chunks_and_summaries(frame):
     assert {r.doc_id: r.summary for r in found} == {d: expected(x) for d, x in want.items()}
     out = {r.doc_id: r.summary for r in digest.summarise(docs, fn).collect()}
     assert set(out) == {"a", "b", "c"} and out["a"] == "xx"
+
+
+class _Store:
+    """State of a shard as the processor sees it, with the number of calls."""
+
+    def __init__(self):
+        self.calls = 0
+        self.value, self.list, self.map, self.timers = None, [], {}, set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return getattr(self, f"_{name}")(*args)
+
+        return call
+
+    def _getMapState(self, *_):
+        return self
+
+    _getListState = _getValueState = _getMapState
+
+    def _exists(self):
+        return self.value is not None
+
+    def _get(self):
+        return self.value if self.value is not None else iter(self.list)
+
+    def _update(self, value):
+        self.value = value
+
+    def _appendList(self, rows):
+        self.list += rows
+
+    _put = _updateValue = _clear = _registerTimer = _removeKey = lambda self, *_: None
+
+    def _containsKey(self, key):
+        return False
+
+
+def test_calls_of_the_state_store_do_not_grow_with_messages():
+    columns = ["message_id", "channel_id", "ts", "author", "text", "tweet_url", "username", "images", "videos"]
+    calls = []
+    for n in (10, 1000):
+        processor, store = PreviousMessage(columns, 1000), _Store()
+        processor.init(store)
+        rows = pd.DataFrame([(k, k % 3, pd.Timestamp(D) + pd.Timedelta(seconds=k), "a", "t", None, None, ["i"], []) for k in range(n)], columns=columns)
+        clock = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+        assert list(processor.handleInputRows((0,), iter([rows]), clock)) == []
+        calls.append(store.calls)
+    assert calls[0] == calls[1] < 10
