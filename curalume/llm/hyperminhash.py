@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curalume.llm.bytes_np import U64, mix, signed
+from curalume.llm.bytes_np import U64, mix, row_groups, signed, texts
 from curalume.llm.ngram_join import _sets, classes_of_lists, parity_mark
 from curalume.plans.tables import Scratch, saved
 
@@ -85,11 +85,12 @@ def estimated(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> t
 def sketches(docs: DataFrame, id: str, text: str, n: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, sig1, sig2, mark, registers, bands) per row: set size, 128 bits of the set, parity mark, registers and band keys.
 
-    A set so small that no other set can be similar enough has no bands.
+    A set so small that no other set can be similar enough has no bands. A batch is taken in slices of bounded text, so
+    that a worker holds the shingles of one slice.
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in row_groups(texts(whole.column(1))[1])):
             sets = [*_sets(batch.column(1), n)]
             size = np.array([len(s) for s in sets], np.int64)
             flat = np.concatenate([np.empty(0, U64), *sets])

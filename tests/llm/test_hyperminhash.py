@@ -1,10 +1,12 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from curalume.llm.bytes_np import U64, mix
-from curalume.llm.hyperminhash import EMPTY, _collisions, band_keys, band_lists, compressed, estimated, minhash_classes, registers
+from curalume.llm.hyperminhash import EMPTY, _collisions, band_keys, band_lists, compressed, estimated, minhash_classes, registers, sketches
 from tests.llm.test_ngram_join import SCHEMA, brute, families
 
 
@@ -96,3 +98,19 @@ def test_lists_of_frequent_bands_are_dealt_out(frame):
     rows = [(i, 10, [1, 100 + i] if i % 2 else [2]) for i in range(60)]
     found = band_lists(frame(rows, "doc_id long, n_shingles long, bands array<long>"), 8).collect()
     assert len(found) == 60 and {r.token for r in found} == {1, 2} and len({(r.token, r.chunk) for r in found}) > 4
+
+
+def test_a_batch_of_many_texts_is_held_in_slices(spark):
+    class Docs:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    run = sketches(Docs(), "doc_id", "text", 3, 85)
+    told = [" ".join(f"w{i}x{k}" for k in range(800)) for i in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(told)], names=["doc_id", "text"])
+    [*run(iter([batch.slice(0, 400)]))]
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1500 and peak < 60e6, peak
