@@ -8,14 +8,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Model
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curalume.functions.vectors import sigmoid, standardise
+from curalume.operators.forest import Forest, fit_forest, forest_scores
 from curalume.operators.photos import resolve_path, training_positives
 from curalume.plans.tables import Scratch, saved
 
@@ -151,7 +150,7 @@ class Scorer:
 
     mean: list[float]
     std: list[float]
-    forest: Model | None = None
+    forest: Forest | None = None
     vectors: np.ndarray | None = None
     alphas: np.ndarray | None = None
     rho: float = 0.0
@@ -168,13 +167,13 @@ class Scorer:
         alphas = None if self.alphas is None else self.alphas.tolist()
         spark.createDataFrame([(self.mean, self.std, self.rho, vectors, alphas, self.gap, self.divisor)], "mean array<double>, std array<double>, rho double, vectors array<array<double>>, alphas array<double>, gap double, divisor double").write.mode("overwrite").parquet(f"{path}/params")
         if self.forest is not None:
-            self.forest.write().overwrite().save(f"{path}/forest")
+            self.forest.save(f"{path}/forest")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Scorer:
         p = spark.read.parquet(f"{path}/params").first()
         one_class = p.vectors is not None
-        return Scorer(list(p.mean), list(p["std"]), None if one_class else RandomForestClassificationModel.load(f"{path}/forest"), np.array(p.vectors) if one_class else None, np.array(p.alphas) if one_class else None, p.rho, p.gap, p.divisor)
+        return Scorer(list(p.mean), list(p["std"]), None if one_class else Forest.load(spark, f"{path}/forest"), np.array(p.vectors) if one_class else None, np.array(p.alphas) if one_class else None, p.rho, p.gap, p.divisor)
 
 
 def _kernel_sum(x: np.ndarray, vectors: np.ndarray, weights: np.ndarray, gamma: float) -> np.ndarray:
@@ -300,8 +299,8 @@ def train_scorer(good: DataFrame, bad: DataFrame | None, trees: int = 100, depth
     m = fit_scaler(good).first()
     scaler = good.sparkSession.createDataFrame([(m["mean"], m["std"])], "mean array<double>, std array<double>")
     if bad is not None and bad.limit(10).count() >= 10:
-        rows = scaled(label_rows(good.select("features"), bad.select("features")), scaler).select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("v"))
-        forest = RandomForestClassifier(labelCol="label", featuresCol="v", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
+        rows = scaled(label_rows(good.select("features"), bad.select("features")), scaler)
+        forest = fit_forest(rows, trees, depth, seed)
         return Scorer(list(m["mean"]), list(m["std"]), forest)
     fit = fit_one_class(scaled(good.where("features is not null").select("features"), scaler), nu, rounds)
     return Scorer(list(m["mean"]), list(m["std"]), None, fit.vectors, fit.alphas, fit.rho, fit.gap, float(fit.total) if scale == "normalised" else 1.0)
@@ -314,7 +313,9 @@ def score(rows: DataFrame, scorer: Scorer | None) -> DataFrame:
     fixed = rows.sparkSession.createDataFrame([(scorer.mean, scorer.std)], "mean array<double>, std array<double>")
     ready = scaled(rows, fixed)
     if scorer.forest is not None:
-        out = scorer.forest.transform(ready.withColumn("v", array_to_vector("features"))).withColumn("score", vector_to_array("probability")[1])
+        numbered = saved(ready.drop("score").withColumn("_id", F.monotonically_increasing_id()), "numbered")
+        found = forest_scores(numbered.select(F.col("_id").alias("id"), "features"), scorer.forest).withColumnRenamed("id", "_id")
+        out = numbered.join(found, "_id", "left")
     else:
         out = _with_kernel(ready, "_k", scorer.vectors, scorer.alphas, 1 / len(scorer.mean)).withColumn("score", sigmoid((F.col("_k") - scorer.rho) / scorer.divisor))
     return out.select(*[c for c in rows.columns if c != "features"], "score")
