@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _ROWS = 4096
+#: Pairs that are sent on together.
+_SENT = 1 << 16
+#: What can be told of a pair.
+_PAIR = {"u": "long", "v": "long", "src": "string", "dst": "string"}
 _NEVER = np.iinfo(np.int64).min
 
 
@@ -94,8 +98,8 @@ def _routed(rows: DataFrame, to: Ranges) -> DataFrame:
     return rows.mapInArrow(run, f"{kinds}, _range long, _own boolean")
 
 
-def near_pairs(rows: DataFrame, to: Ranges, cap: int, prepare: Callable[[pa.Table], object], related: Callable[[object, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(u, v, src, dst): ranks and names of the pairs, at most `cap` ranks apart, that `related` leaves.
+def near_pairs(rows: DataFrame, to: Ranges, cap: int, prepare: Callable[[pa.Table], object], related: Callable[[object, np.ndarray, np.ndarray, np.ndarray], np.ndarray], columns: tuple[str, ...] = tuple(_PAIR)) -> DataFrame:
+    """`columns` of (u, v, src, dst), ranks and names of the pairs, at most `cap` ranks apart, that `related` leaves.
 
     `rows` has uuid, micros and what `prepare` needs, which is called with each window's table. related(window,
     micros, i, j) says which of the pairs of its rows i and j may be kept; it gets all pairs of one distance at a time, and
@@ -124,6 +128,7 @@ def near_pairs(rows: DataFrame, to: Ranges, cap: int, prepare: Callable[[pa.Tabl
     def pairs_of(table, old, place):
         window, micros, own = prepare(table), _micros(table.column("micros").combine_chunks()), table.column("_own").to_numpy()
         names = table.column("uuid").combine_chunks()
+        kept: list[tuple[np.ndarray, int]] = []
         for k in range(1, cap + 1):
             i = np.arange(max(0, old - k), max(0, table.num_rows - k))
             i = i[own[i]]
@@ -132,9 +137,17 @@ def near_pairs(rows: DataFrame, to: Ranges, cap: int, prepare: Callable[[pa.Tabl
             keep = related(window, micros, i, i + k)
             if keep is None:
                 break
-            i = i[keep]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(place + i), pa.array(place + i + k), names.take(pa.array(i)), names.take(pa.array(i + k))], names=["u", "v", "src", "dst"])
+            kept.append((i[keep], k))
+            if sum(len(x) for x, _ in kept) >= _SENT:
+                yield made(names, place, kept)
+                kept = []
+        if any(len(x) for x, _ in kept):
+            yield made(names, place, kept)
+
+    def made(names, place, kept):
+        i, j = np.concatenate([x for x, _ in kept]), np.concatenate([x + k for x, k in kept])
+        have = {"u": lambda: pa.array(place + i), "v": lambda: pa.array(place + j), "src": lambda: names.take(pa.array(i)), "dst": lambda: names.take(pa.array(j))}
+        return pa.RecordBatch.from_arrays([have[c]() for c in columns], names=[*columns])
 
     ready = _routed(rows, to).repartition("_range").sortWithinPartitions("_range", F.asc_nulls_first("micros"), F.asc_nulls_first("uuid"))
-    return ready.mapInArrow(run, "u long, v long, src string, dst string")
+    return ready.mapInArrow(run, ", ".join(f"{c} {_PAIR[c]}" for c in columns))

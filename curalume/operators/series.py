@@ -85,8 +85,8 @@ def _matrix(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, width, valid
 
 
-def rank_pairs(photos: DataFrame, ranked: DataFrame, rules: SeriesRules = SeriesRules(), between_runs: bool = False, range_rows: int | None = None) -> DataFrame:
-    """(u, v, src, dst): ranks and uuids of related photos, the first before the second and at most `cap` apart.
+def rank_pairs(photos: DataFrame, ranked: DataFrame, rules: SeriesRules = SeriesRules(), between_runs: bool = False, range_rows: int | None = None, columns: tuple[str, ...] = ("u", "v", "src", "dst")) -> DataFrame:
+    """`columns` of (u, v, src, dst): ranks and uuids of related photos, the first before the second and at most `cap` apart.
 
     `ranked` has uuid, date and rank of the photos. Photos go to ranges of ranks, those behind a range's end also to
     that one, and are compared in a window that slides over each: features are shuffled once. between_runs leaves
@@ -125,7 +125,7 @@ def rank_pairs(photos: DataFrame, ranked: DataFrame, rules: SeriesRules = Series
         keep[some] = looks.alike(i[some], j[some], rules)
         return keep
 
-    return near_pairs(rows, ranges(ranked, rules.cap, range_rows), rules.cap, prepare, related)
+    return near_pairs(rows, ranges(ranked, rules.cap, range_rows), rules.cap, prepare, related, columns)
 
 
 def _ranks(photos: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def _ranks(photos: DataFrame) -> DataFrame:
 
 def series_pairs(photos: DataFrame, rules: SeriesRules = SeriesRules()) -> DataFrame:
     """(src, dst): related photos at most `cap` ranks apart, src before dst in rank. Needs uuid and date; features and phash count where the table has them."""
-    return rank_pairs(photos, _ranks(photos), rules).select("src", "dst")
+    return rank_pairs(photos, _ranks(photos), rules, columns=("src", "dst"))
 
 
 def with_runs(ranked: DataFrame, gap: float, bucket: int = 1 << 17) -> DataFrame:
@@ -185,7 +185,7 @@ def series_components(photos: DataFrame, rules: SeriesRules = SeriesRules()) ->
     runs = saved(with_runs(_ranks(photos), min(rules.close_seconds, rules.seconds)), "runs")
     if not any(_looks(photos)):
         return runs.select("uuid", "rank", F.col("run").alias("component"))
-    pairs = rank_pairs(photos, runs, rules, between_runs=True).select("u", "v")
+    pairs = rank_pairs(photos, runs, rules, between_runs=True, columns=("u", "v"))
     for end in "uv":
         pairs = pairs.join(runs.select(F.col("rank").alias(end), F.col("run").alias(f"{end}_run")).hint("merge"), end)
     found = star_contraction(pairs.select("u_run", "v_run").distinct(), "u_run", "v_run").withColumnRenamed("node", "run")

@@ -1,12 +1,15 @@
 import random
+import re
+import types
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from curalume.operators import ranks, series
+from curalume.operators import halo, ranks, series
 from curalume.operators.components import contracted, forest, star_contraction
 from curalume.plans.tables import saved
 
@@ -218,3 +221,19 @@ def test_pairs_are_never_sent_through_the_driver(spark, frame, monkeypatch):
     assert {r.component for r in found.collect()} == {0}
     plan = given[0]._jdf.queryExecution().executedPlan().toString()
     assert "rank" in plan and plan.count("SortMergeJoin") == 2
+
+
+def test_pairs_leave_python_with_what_is_asked_for_and_many_together(frame):
+    """Each distance of a window had a batch of its own, and ranks and names were always sent."""
+    photos = frame([(f"u{i:04}", at(i), None, None) for i in range(1500)], SHAPE).select("uuid", "date")
+    found = series.series_pairs(photos, series.SeriesRules(seconds=30, close_seconds=30))
+    assert re.search(r"MapInArrow run\([^\n]*\[src#\d+, dst#\d+\]", found._jdf.queryExecution().executedPlan().toString())
+    assert sorted(tuple(r) for r in found.collect()) == [(f"u{i:04}", f"u{j:04}") for i in range(1500) for j in range(i + 1, min(i + 31, 1500))]
+    table = pa.table({"uuid": [f"u{i:04}" for i in range(1500)], "micros": np.arange(1500), "_range": np.zeros(1500, int), "_own": np.ones(1500, bool)})
+    sent = []
+    rows = types.SimpleNamespace(sparkSession=types.SimpleNamespace(sparkContext=types.SimpleNamespace(broadcast=lambda x: types.SimpleNamespace(value=x))))
+    ready = types.SimpleNamespace(repartition=lambda *_: ready, sortWithinPartitions=lambda *_: ready, mapInArrow=lambda run, _: sent.extend(run(table.combine_chunks().to_batches())))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(halo, "_routed", lambda *_: ready)
+        halo.near_pairs(rows, halo.Ranges(None, None, np.array([0])), 30, lambda _: None, lambda _, micros, i, j: np.ones(len(i), bool), ("u", "v"))
+    assert len(sent) == 1 and sent[0].num_rows == 30 * 1500 - 30 * 31 // 2
