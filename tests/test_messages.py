@@ -11,7 +11,7 @@ from curalume.functions import text as tx
 from curalume.operators import digest, messages
 from curalume.plans.tables import complete, saved
 from curalume.sources import readers, schemas
-from curalume.streaming import curation
+from curalume.streaming import curation, previous
 from curalume.streaming.ledger import Counters, Ledger
 from curalume.streaming.previous import PreviousMessage, with_previous_message_stream
 
@@ -275,3 +275,89 @@ def test_calls_of_the_state_store_do_not_grow_with_messages():
         assert list(processor.handleInputRows((0,), iter([rows]), clock)) == []
         calls.append(store.calls)
     assert calls[0] == calls[1] < 10
+
+
+class _Entries(dict):
+    """A map, list or value of the state store, entry by entry."""
+
+    updateValue, getValue, containsKey = dict.__setitem__, dict.get, dict.__contains__
+    removeKey, iterator = dict.__delitem__, lambda self: iter(list(self.items()))
+    keys = lambda self: iter(list(self))
+
+    def appendList(self, rows):
+        super().update({len(self) + k: x for k, x in enumerate(rows)})
+
+    def put(self, rows):
+        self.clear()
+        self.appendList(rows)
+
+    def exists(self):
+        return bool(self)
+
+    def get(self):
+        return self["value"] if "value" in self else list(self.values())
+
+    def update(self, value):
+        self["value"] = value
+
+
+class _Shard:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+        self.registerTimer = self.timers.add
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, _Entries())
+
+    getListState = getValueState = getMapState
+
+
+_COLUMNS = ["message_id", "channel_id", "ts", "author", "text", "tweet_url", "username", "images", "videos"]
+
+
+def test_a_frame_of_messages_is_one_entry_of_the_state_however_many_they_are():
+    entries = []
+    for n in (10, 1000):
+        processor, shard = PreviousMessage(_COLUMNS, 1000), _Shard()
+        processor.init(shard)
+        rows = pd.DataFrame([(k, k % 3, pd.Timestamp(D) + pd.Timedelta(seconds=k), "a", "t" * 500, "u" if k % 2 else None, "n", ["i"], []) for k in range(n)], columns=_COLUMNS)
+        list(processor.handleInputRows((0,), iter([rows]), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+        entries.append(len(shard.states["waiting"]))
+    assert entries == [1, 1], "an entry a message makes each append read all that waits"
+
+
+@pytest.mark.parametrize("block", [100, 4 << 20])
+def test_blocks_of_the_state_are_released_in_part(monkeypatch, block):
+    monkeypatch.setattr(previous, "_BLOCK", block)
+    r = random.Random(7)
+    processor, shard = PreviousMessage(_COLUMNS, 10**9), _Shard()
+    processor.init(shard)
+    told = []
+    for i in range(400):
+        url = r.choice([f"https://x.com/u{i}/status/{i}", "", None])
+        told.append((i, r.choice([1, 1, 2, 3]), pd.Timestamp(D) + pd.Timedelta(seconds=i // 2), r.choice([f"A{i}", None]), r.choice([f"t{i}", ""]), url, f"n{i}" if url else None, r.choice([[], ["i"], None]), r.choice([[], ["v"]])))
+    arrived = sorted(told, key=lambda m: m[2] + pd.Timedelta(seconds=r.random() * 20))
+    found, clock, blocks, ms = [], 0, 0, lambda ts: ts.value // 1_000_000
+    for at in [*range(0, 400, 37), None]:
+        some = arrived[at : at + 37] if at is not None else []
+        now = types.SimpleNamespace(getCurrentWatermarkInMs=lambda t=clock: t)
+        if some:
+            found += processor.handleInputRows((0,), iter([pd.DataFrame(some[:20], columns=_COLUMNS), pd.DataFrame(some[20:], columns=_COLUMNS)]), now)
+        blocks = max(blocks, len(shard.states["waiting"]))
+        for timer in sorted(t for t in shard.timers if t <= clock):
+            shard.timers.discard(timer)
+            found += processor.handleExpiredTimer((0,), now, types.SimpleNamespace(getExpiryTimeInMs=lambda t=timer: t))
+        clock = max(clock, max((ms(m[2]) - 21_000 for m in some), default=0)) if at is not None and at + 37 < 400 else ms(told[-1][2])
+    got = {m["message_id"]: m for f in found for m in f.to_dict("records")}
+    assert len(got) == sum(len(f) for f in found) == 400 and not shard.states["waiting"]
+    last = {}
+    for m in told:
+        row = got[m[0]]
+        assert (row["channel_id"], row["ts"], row["author"], row["text"], row["tweet_url"]) == (*m[1:6],)
+        assert [x for k in ("images", "videos") if row[k] is not None for x in row[k]] == (m[7] or []) + m[8]
+        if not m[5] and (m[7] or m[8]) and (before := last.get(m[1])) and before[5]:
+            assert (row["_tweet_url"], row["_username"], row["_author"], row["_text"]) == (before[5], before[6], before[3], before[4])
+        else:
+            assert not row["_tweet_url"]
+        last[m[1]] = m
+    assert blocks > 20 or block > 100, "entries are cut by their size"
