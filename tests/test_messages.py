@@ -323,7 +323,7 @@ def test_a_frame_of_messages_is_one_entry_of_the_state_however_many_they_are():
         rows = pd.DataFrame([(k, k % 3, pd.Timestamp(D) + pd.Timedelta(seconds=k), "a", "t" * 500, "u" if k % 2 else None, "n", ["i"], []) for k in range(n)], columns=_COLUMNS)
         list(processor.handleInputRows((0,), iter([rows]), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
         entries.append(len(shard.states["waiting"]))
-    assert entries == [1, 1], "an entry a message makes each append read all that waits"
+    assert entries == [1, 1], "entries of the state grow with messages"
 
 
 @pytest.mark.parametrize("block", [100, 4 << 20])
