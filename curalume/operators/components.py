@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curalume.plans.tables import saved
@@ -16,26 +17,38 @@ def _larger_first(a: Column, b: Column) -> list[Column]:
     return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) of the nodes of these edges that are not the least of their component: a star for each component."""
-    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
-    a, b = at[: len(u)], at[len(u) :]
-    root = np.arange(len(nodes))
-    while len(a):
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of each node's component when edges from a to b are added; `root` has it for those before."""
+    while True:
+        apart = root[a] != root[b]
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
         low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        root = root.copy()
         np.minimum.at(root, high, low)
         while True:  # every node points at the end of its path
             further = root[root]
             if (further == root).all():
                 break
             root = further
-        a, b = (x[root[a] != root[b]] for x in (a, b))
+
+
+def star_of(root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the nodes that are not the least of their component."""
     some = np.flatnonzero(root != np.arange(len(root)))
-    return nodes[some], nodes[root[some]]
+    return some, root[some]
 
 
-def contracted(edges: DataFrame, held: int = 1_000_000) -> DataFrame:
-    """(u, v) with the same components as edges(u, v): each task leaves one star for each component of `held` of its edges at a time."""
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the nodes of these edges that are not the least of their component: a star for each component."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    node, root = star_of(joined(np.arange(len(nodes)), at[: len(u)], at[len(u) :]))
+    return nodes[node], nodes[root]
+
+
+def contracted(edges: DataFrame, held: int = 1_000_000, roots: bool = False) -> DataFrame:
+    """(u, v) with the same components as edges(u, v): each task leaves one star for each component of `held` of its edges at a time. With `roots`, also a row (root, root) for each."""
 
     def run(batches):
         kept: list[np.ndarray] = []
@@ -53,6 +66,7 @@ def contracted(edges: DataFrame, held: int = 1_000_000) -> DataFrame:
             yield made(np.stack(forest(*np.concatenate(kept, 1))))
 
     def made(x):
+        x = np.concatenate((x, np.tile(np.unique(x[1]), (2, 1))), 1) if roots else x
         return pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["u", "v"])
 
     return edges.mapInArrow(run, "u long, v long")
@@ -81,3 +95,16 @@ def star_contraction(edges: DataFrame, src: str = "src", dst: str = "dst", max_r
         small = large.join(small_least.hint("merge"), "u")
         e = save(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
+
+
+def components_by_roots(edges: DataFrame, src: str = "src", dst: str = "dst", save: Callable[[DataFrame, str], DataFrame] = saved) -> DataFrame:
+    """(node, component) as star_contraction, for edges of which those of a component lie mostly together.
+
+    Tasks contract their own edges to stars, and each node is dealt out once, with the roots of all its stars. The least of
+    them stands for the node; the others are edges of a graph of roots, and only that one goes through rounds.
+    """
+    given = edges.select(*_larger_first(F.col(src).cast("long"), F.col(dst).cast("long"))).where("u <> v")
+    stars = contracted(save(given, "edges"), roots=True).repartition("u").distinct()
+    nodes = save(stars.withColumn("least", F.min("v").over(W.partitionBy("u"))), "nodes")
+    found = star_contraction(nodes.where("v <> least"), "v", "least", save=save).withColumnRenamed("node", "least")
+    return nodes.where("v = least").select(F.col("u").alias("node"), "least").join(found, "least", "left").select("node", F.coalesce("component", "least").alias("component"))

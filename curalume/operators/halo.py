@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curalume.operators.components import joined, star_of
+
 _ROWS = 4096
 #: Pairs that are sent on together.
 _SENT = 1 << 16
@@ -98,12 +100,13 @@ def _routed(rows: DataFrame, to: Ranges) -> DataFrame:
     return rows.mapInArrow(run, f"{kinds}, _range long, _own boolean")
 
 
-def near_pairs(rows: DataFrame, to: Ranges, cap: int, prepare: Callable[[pa.Table], object], related: Callable[[object, np.ndarray, np.ndarray, np.ndarray], np.ndarray], columns: tuple[str, ...] = tuple(_PAIR)) -> DataFrame:
+def near_pairs(rows: DataFrame, to: Ranges, cap: int, prepare: Callable[[pa.Table], object], related: Callable[[object, np.ndarray, np.ndarray, np.ndarray], np.ndarray], columns: tuple[str, ...] = tuple(_PAIR), stars: bool = False) -> DataFrame:
     """`columns` of (u, v, src, dst), ranks and names of the pairs, at most `cap` ranks apart, that `related` leaves.
 
     `rows` has uuid, micros and what `prepare` needs, which is called with each window's table. related(window,
     micros, i, j) says which of the pairs of its rows i and j may be kept; it gets all pairs of one distance at a time, and
-    returns None once no pair further apart can be kept.
+    returns None once no pair further apart can be kept. With `stars`, a window's pairs become one star for each component of
+    them: each of its rows but the first, as the second of a pair, with the first, whether or not the two are a pair themselves.
     """
     shared = rows.sparkSession.sparkContext.broadcast(to)
 
@@ -128,7 +131,8 @@ def near_pairs(rows: DataFrame, to: Ranges, cap: int, prepare: Callable[[pa.Tabl
     def pairs_of(table, old, place):
         window, micros, own = prepare(table), _micros(table.column("micros").combine_chunks()), table.column("_own").to_numpy()
         names = table.column("uuid").combine_chunks()
-        kept: list[tuple[np.ndarray, int]] = []
+        kept: list[tuple[np.ndarray, int | np.ndarray]] = []
+        root = np.arange(table.num_rows)
         for k in range(1, cap + 1):
             i = np.arange(max(0, old - k), max(0, table.num_rows - k))
             i = i[own[i]]
@@ -137,10 +141,16 @@ def near_pairs(rows: DataFrame, to: Ranges, cap: int, prepare: Callable[[pa.Tabl
             keep = related(window, micros, i, i + k)
             if keep is None:
                 break
+            if stars:
+                root = joined(root, i[keep], i[keep] + k)
+                continue
             kept.append((i[keep], k))
             if sum(len(x) for x, _ in kept) >= _SENT:
                 yield made(names, place, kept)
                 kept = []
+        if stars:
+            node, first = star_of(root)
+            kept = [(first, node - first)]
         if any(len(x) for x, _ in kept):
             yield made(names, place, kept)
 

@@ -27,7 +27,7 @@ def with_rank(rows: DataFrame, *order: Column | str, name: str = "rank") -> Data
     ordered = dealt(rows, *order)
     sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
-    return ordered.join(before, "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(_PLACE)).drop("_part", "_at", "_before")
+    return ordered.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(_PLACE)).drop("_part", "_at", "_before")
 
 
 def with_rank_within(rows: DataFrame, key: str, *order: Column | str, name: str, best: Column | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curalume.functions.vectors import abs_seconds, cosine, hamming
-from curalume.operators.components import star_contraction
+from curalume.operators.components import components_by_roots, star_contraction
 from curalume.operators.halo import near_pairs, ranges
 from curalume.operators.ranks import with_rank, with_rank_within
 from curalume.plans.tables import saved
@@ -85,12 +85,12 @@ def _matrix(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, width, valid
 
 
-def rank_pairs(photos: DataFrame, ranked: DataFrame, rules: SeriesRules = SeriesRules(), between_runs: bool = False, range_rows: int | None = None, columns: tuple[str, ...] = ("u", "v", "src", "dst")) -> DataFrame:
+def rank_pairs(photos: DataFrame, ranked: DataFrame, rules: SeriesRules = SeriesRules(), between_runs: bool = False, range_rows: int | None = None, columns: tuple[str, ...] = ("u", "v", "src", "dst"), stars: bool = False) -> DataFrame:
     """`columns` of (u, v, src, dst): ranks and uuids of related photos, the first before the second and at most `cap` apart.
 
     `ranked` has uuid, date and rank of the photos. Photos go to ranges of ranks, those behind a range's end also to
     that one, and are compared in a window that slides over each: features are shuffled once. between_runs leaves
-    out pairs that steps of the close time connect already.
+    out pairs that steps of the close time connect already; stars leaves, in place of a window's pairs, as few as connect the same photos.
     """
     features, phash = _looks(photos)
     bits = F.conv(F.nullif("phash", F.lit("")), 16, -10).cast("long").alias("bits") if phash else None
@@ -125,7 +125,7 @@ def rank_pairs(photos: DataFrame, ranked: DataFrame, rules: SeriesRules = Series
         keep[some] = looks.alike(i[some], j[some], rules)
         return keep
 
-    return near_pairs(rows, ranges(ranked, rules.cap, range_rows), rules.cap, prepare, related, columns)
+    return near_pairs(rows, ranges(ranked, rules.cap, range_rows), rules.cap, prepare, related, columns, stars)
 
 
 def _ranks(photos: DataFrame) -> DataFrame:
@@ -137,6 +137,11 @@ def series_pairs(photos: DataFrame, rules: SeriesRules = SeriesRules()) -> DataF
     return rank_pairs(photos, _ranks(photos), rules, columns=("src", "dst"))
 
 
+def linked_ranks(photos: DataFrame, ranked: DataFrame, rules: SeriesRules = SeriesRules()) -> DataFrame:
+    """(u, v): ranks of photos that connect the same photos as series_pairs, a row or so a photo where pairs can be `cap`. `ranked` as in rank_pairs."""
+    return rank_pairs(photos, ranked, rules, columns=("u", "v"), stars=True)
+
+
 def with_runs(ranked: DataFrame, gap: float, bucket: int = 1 << 17) -> DataFrame:
     """ranked with run: the least rank of the photos that steps of at most `gap` seconds connect, from one rank to the next; a photo without a date is alone.
 
@@ -164,15 +169,19 @@ def close_time_runs(photos: DataFrame, gap: int = 5) -> DataFrame:
 def connected_components(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
     """(uuid, component): the least rank of each photo's component; photos without a pair are their own.
 
-    `vertices` has uuid and rank, `pairs` src and dst. Spark takes pairs made in Python for no larger than the photos
-    they come from, so without a hint it would send them all through the driver.
+    `vertices` has uuid and rank, `pairs` the ranks u and v, as linked_ranks makes them, or src and dst. Those are joined
+    with the ranks, so all pairs are shuffled twice, with a hint: Spark takes pairs made in Python for no larger than the
+    photos they come from and would send them all through the driver.
     """
     number = vertices.select("uuid", "rank")
-    edges = pairs
-    for end, rank in (("src", "u"), ("dst", "v")):
-        edges = edges.join(number.select(F.col("uuid").alias(end), F.col("rank").alias(rank)).hint("merge"), end)
-    edges = edges.select("u", "v")
-    found = star_contraction(edges, "u", "v").withColumnRenamed("node", "rank")
+    if {"u", "v"} <= {*pairs.columns}:
+        found = components_by_roots(pairs, "u", "v")
+    else:
+        edges = pairs
+        for end, rank in (("src", "u"), ("dst", "v")):
+            edges = edges.join(number.select(F.col("uuid").alias(end), "rank").hint("merge"), end).withColumnRenamed("rank", rank)
+        found = star_contraction(edges.select("u", "v"), "u", "v")
+    found = found.withColumnRenamed("node", "rank").hint("merge")
     return number.join(found, "rank", "left").select("uuid", "rank", F.coalesce("component", "rank").alias("component"))
 
 
@@ -185,7 +194,7 @@ def series_components(photos: DataFrame, rules: SeriesRules = SeriesRules()) ->
     runs = saved(with_runs(_ranks(photos), min(rules.close_seconds, rules.seconds)), "runs")
     if not any(_looks(photos)):
         return runs.select("uuid", "rank", F.col("run").alias("component"))
-    pairs = rank_pairs(photos, runs, rules, between_runs=True, columns=("u", "v"))
+    pairs = rank_pairs(photos, runs, rules, between_runs=True, columns=("u", "v"), stars=True)
     for end in "uv":
         pairs = pairs.join(runs.select(F.col("rank").alias(end), F.col("run").alias(f"{end}_run")).hint("merge"), end)
     found = star_contraction(pairs.select("u_run", "v_run").distinct(), "u_run", "v_run").withColumnRenamed("node", "run")

@@ -2,6 +2,7 @@ import random
 import re
 import types
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curalume.operators import halo, ranks, series
-from curalume.operators.components import contracted, forest, star_contraction
-from curalume.plans.tables import saved
+from curalume.operators.components import components_by_roots, contracted, forest, star_contraction
+from curalume.plans.tables import saved, session_dir
+from curalume.queries import QUERIES
 
 T0 = datetime(2024, 1, 1)
 SHAPE = "uuid string, date timestamp, features array<float>, phash string"
@@ -223,6 +225,45 @@ def test_pairs_are_never_sent_through_the_driver(spark, frame, monkeypatch):
     assert "rank" in plan and plan.count("SortMergeJoin") == 2
 
 
+def test_components_of_a_crowd_write_no_more_than_photos(spark, tmp_path):
+    """All pairs, 99 a photo, were shuffled twice to find their ranks and then written."""
+    n = 4000
+    spark.range(n).selectExpr("id as event_id", "timestampadd(second, id, timestamp'2024-01-01') as ts", "'{}' as props").write.parquet(str(tmp_path / "events.parquet"))
+    shared = Path(session_dir(spark).removeprefix("file://"))
+    before = {*shared.iterdir()} if shared.exists() else set()
+    found = QUERIES["connected_components"](spark, str(tmp_path))
+    assert found.agg(F.count("*"), F.min("component"), F.max("component")).first() == (n, 0, 0)
+    assert sum(spark.read.parquet(str(p)).count() for p in {*shared.iterdir()} - before if p.name.startswith("edges")) <= 2 * n
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan, "what is returned is read from tables"
+
+
+@pytest.mark.parametrize("range_rows", [None, 40, 7])
+def test_stars_connect_the_same_photos_as_all_pairs(spark, frame, range_rows):
+    r = random.Random(8)
+    rows = [(f"u{i:03}", at(r.choice([0, 40, 90, 300, 700]) + r.randrange(40)) if i % 11 else None, [r.random(), r.random() - 0.5], f"{r.getrandbits(64):016x}") for i in range(240)]
+    photos, rules = frame(rows, SHAPE), series.SeriesRules(cosine=0.999, cap=9, close_seconds=1)
+    ranked = series.with_global_rank(photos.select("uuid", "date"))
+    pairs = series.rank_pairs(photos, ranked, rules, range_rows=range_rows).select("u", "v")
+    stars = series.rank_pairs(photos, ranked, rules, range_rows=range_rows, columns=("u", "v", "src", "dst"), stars=True)
+    rank = {x.uuid: x["rank"] for x in ranked.collect()}
+    assert all(x.u < x.v and (rank[x.src], rank[x.dst]) == (x.u, x.v) for x in stars.collect()) and stars.count() < pairs.count()
+    want = {x.node: x.component for x in star_contraction(pairs, "u", "v").collect()}
+    assert {x.node: x.component for x in components_by_roots(stars, "u", "v").collect()} == want and 3 < len(set(want.values()))
+    assert {x.node: x.component for x in components_by_roots(pairs, "u", "v").collect()} == want
+
+
+def test_roots_of_tasks_meet(spark):
+    """Edges that do not lie together: each node is in stars of many tasks, roots among them."""
+    r = np.random.default_rng(5)
+    edges = [*map(tuple, r.integers(0, 600, (500, 2)).tolist()), *((i + 1, i) for i in range(700, 760)), (900, 900), (901, None)]
+    spread = spark.createDataFrame(edges, "src long, dst long").repartition(8)
+    want = {x.node: x.component for x in star_contraction(spread).collect()}
+    found = components_by_roots(spread).collect()
+    assert {x.node: x.component for x in found} == want and len(found) == len(want)
+    assert components_by_roots(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
 def test_pairs_leave_python_with_what_is_asked_for_and_many_together(frame):
     """Each distance of a window had a batch of its own, and ranks and names were always sent."""
     photos = frame([(f"u{i:04}", at(i), None, None) for i in range(1500)], SHAPE).select("uuid", "date")
